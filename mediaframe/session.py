@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(app: str = "mediaframe", cpus: int | str = 8, partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -21,3 +26,26 @@ def local_session(app: str = "mediaframe", cpus: int | str = 8, partitions: int
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's sources to the Python workers, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="mediaframe-")) / "mediaframe.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(app)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow with the package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
