@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediaframe.llm import decontaminate, url_filter
+from mediaframe.llm import bpe, decontaminate, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe": bpe.op1_bpe,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_url_filter": url_filter.op3_url_filter,
         "op9_decontaminate": decontaminate.op9_decontaminate,
     }
