@@ -196,3 +196,77 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         raise RuntimeError("connected components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal keys in sorted batches, each run as one table; keys are integers without nulls."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        values = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in keys])
+        cut = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
+        edges = [0, *cut.tolist(), n]
+        for a, b in zip(edges[:-1], edges[1:]):
+            key = tuple(values[:, a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def pack_groups(tables: Iterator[pa.Table], rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Groups put together up to so many rows: a table, and the n + 1 offsets of its groups. A larger group stands alone."""
+    held, sizes = [], []
+    for t in tables:
+        if held and sum(sizes) + t.num_rows > rows:
+            yield pa.concat_tables(held).combine_chunks(), np.concatenate([[0], np.cumsum(sizes)])
+            held, sizes = [], []
+        held.append(t)
+        sizes.append(t.num_rows)
+    if held:
+        yield pa.concat_tables(held).combine_chunks(), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def blocks(rows: DataFrame, keys: list[str], by: str, block: int) -> DataFrame:
+    """Split large groups into pairs of blocks: adds own_block, low_block and high_block.
+
+    A group of up to `block` rows is the one pair (0, 0). A larger one has n = ceil(rows / block) blocks, dealt by a hash of
+    column `by`; each row goes to all n pairs (low, high) that its block is in, so that every two rows of a group meet in
+    exactly one pair: of their two blocks, or their common block with itself.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    sizes = sizes.where(F.col("__n") > block)
+    large = materialize(sizes, "sizes")
+    if large.isEmpty():
+        return rows.select("*", *[F.lit(0).alias(c) for c in ("own_block", "low_block", "high_block")])
+    out = rows.join(maybe_broadcast(large), keys, "left").withColumn("__b", F.coalesce(F.ceil(F.col("__n") / block).cast("int"), F.lit(1)))
+    out = out.withColumn("own_block", F.pmod(F.xxhash64(by, F.lit(11)), F.col("__b")).cast("int"))
+    out = out.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
+    return out.select(*rows.columns, "own_block", F.least("own_block", "__o").alias("low_block"), F.greatest("own_block", "__o").alias("high_block"))
+
+
+def forest(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest id) that connect what the symmetric boolean matrix links; nodes without links are left out."""
+    label = np.full(len(ids), -1)
+    a, b = [], []
+    for s in np.flatnonzero(linked.any(axis=1)):
+        if label[s] >= 0:
+            continue
+        reached, frontier = np.zeros(len(ids), bool), np.array([s])
+        reached[s] = True
+        while len(frontier):
+            new = linked[frontier].any(axis=0) & ~reached
+            reached |= new
+            frontier = np.flatnonzero(new)
+        label[reached] = s
+        members = ids[reached]
+        root = members.min()
+        a.append(members[members != root])
+        b.append(np.full(len(a[-1]), root))
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))

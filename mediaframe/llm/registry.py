@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediaframe.llm import bpe, decontaminate, toxicity, url_filter
+from mediaframe.llm import bpe, decontaminate, embed_dedup, pii, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": bpe.op1_bpe,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op5_pii": pii.op5_pii,
         "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_embed_dedup": embed_dedup.op10_embed_dedup,
     }
 
 
