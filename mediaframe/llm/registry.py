@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediaframe.llm import bpe, decontaminate, embed_dedup, pii, toxicity, url_filter
+from mediaframe.llm import bpe, decontaminate, embed_dedup, jaccard, pii, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": bpe.op1_bpe,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_jaccard_join": jaccard.op4_jaccard_join,
         "op5_pii": pii.op5_pii,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_embed_dedup": embed_dedup.op10_embed_dedup,
@@ -23,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filter": url_filter.ORACLE,
+        "op4_jaccard_join": jaccard.ORACLE,
         "op9_decontaminate": decontaminate.ORACLE,
     }
