@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mediaframe.llm.common import chunks, one_column
+from mediaframe.llm.common import chunks, materialize, maybe_broadcast, one_column
 from mediaframe.session import map_arrow
 
 ORDERS = (3, 4, 5)
@@ -110,11 +110,12 @@ def present(batch: pa.RecordBatch, table: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", use: Column | None = None, sample: int = SAMPLE, features: int = FEATURES) -> Model:
     """Fit to the labelled documents; `use` is a condition on the column `key` for training rows."""
-    spark = documents.sparkSession
     rows = one_column(labels, key=key, label=label).where("label IN (0, 1) AND key IS NOT NULL")
-    rows = rows.where(use) if use is not None else rows
-    rows = rows.join(one_column(documents, key=key, text=text), "key").select("text", F.col("label").cast("int").alias("label"), F.xxhash64(F.col("key").cast("string"), F.lit(7)).alias("order"))
-    counted = map_arrow(rows.select("text", "label"), _count, "feature int, no long, yes long").groupBy("feature").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
+    rows = (rows.where(use) if use is not None else rows).select("key", F.col("label").cast("int").alias("label"))
+    docs = one_column(documents, key=key, text=text)
+    texts = docs.join(maybe_broadcast(rows), "key").select("text", "label")
+    counted = map_arrow(texts, _count, "feature int, no long, yes long").groupBy("feature").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
+    counted = materialize(counted, "features")
     stats = counted.where("feature < 0").first()
     n0, n1 = (int(stats["no"]), int(stats["yes"])) if stats else (0, 0)
     if not n0 or not n1:
@@ -136,13 +137,10 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)), pa.array(slot.astype(np.int16)))
             yield pa.RecordBatch.from_arrays([batch.column("label"), lists], ["label", "slots"])
 
-    chosen = None
-    for which in (0, 1):
-        part = rows.where(F.col("label") == which)
-        if (n0, n1)[which] > sample:  # the rows of lowest hash: about `sample` of them, then exactly
-            bound = int(part.selectExpr(f"percentile_approx(`order`, {sample / (n0, n1)[which]}, 10000) AS b").first()["b"])
-            part = part.where(F.col("order") <= bound)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    # at most `sample` label rows of each class, those of lowest hash: few enough to be broadcast
+    order = F.xxhash64(F.col("key").cast("string"), F.lit(7))
+    least = [rows.where(F.col("label") == which).orderBy(order, "key").limit(sample) for which in (0, 1)]
+    chosen = docs.join(F.broadcast(least[0].unionByName(least[1])), "key")
     data = map_arrow(chosen.select("text", "label"), pick, "label int, slots array<smallint>").toPandas()
     return _fit(kept, r, data["slots"].tolist(), data["label"].to_numpy(np.float64), (n0, n1))
 
