@@ -1,4 +1,59 @@
-STAGES = []
+"""The corpus pipeline: toxic documents go, one of each group of near copies stays, contaminated documents go, personal
+data is masked, and what is left is encoded.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as Parquet and
+read again as the next one's docs. All stages but the last return the columns of `documents`. `n_chars` follows the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from mediaframe.llm import bpe, decontaminate, jaccard, pii, toxicity
+from mediaframe.llm.common import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on labelled rows of `documents`, scores under 0.5."""
+    model = toxicity.train_tables(spark, sf_dir, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of every group linked by a Jaccard similarity of 0.8 of five-word shingles."""
+    return jaccard.keep_first(docs, size=5, num=80, den=100)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any ten-word window of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind."""
+    return pii.mask(docs, length="n_chars" if "n_chars" in docs.columns else None)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return bpe.digests(docs, bpe.default_vocabulary())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("encoding", encode),
+]
+
+#: No SQL can express the trained classifier; the tests compare the stages with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, on the documents of sf_dir; each but the last is written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

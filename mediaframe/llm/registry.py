@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediaframe.llm import bpe, decontaminate, embed_dedup, jaccard, lpf_dedup, pii, toxicity, tree_dedup, url_filter
+from mediaframe.llm import bpe, decontaminate, embed_dedup, jaccard, lpf_dedup, pii, secrets, toxicity, tree_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_jaccard_join": jaccard.op4_jaccard_join,
         "op5_pii": pii.op5_pii,
         "op6_suffix_dedup": lpf_dedup.op6_suffix_dedup,
+        "op7_secret_scan": secrets.op7_secret_scan,
         "op8_tree_dedup": tree_dedup.op8_tree_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_embed_dedup": embed_dedup.op10_embed_dedup,
