@@ -34,8 +34,8 @@ from mediaframe.session import map_arrow
 
 #: Bytes up to which a piece is a row of a matrix.
 LONG = 2048
-#: Pieces that a worker remembers, and the bytes of those.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 32 << 20
+#: Pieces that a worker remembers from one chunk of texts to the next.
+REMEMBERED = 200_000
 NONE = np.int64(1) << np.int64(40)
 
 
@@ -95,14 +95,31 @@ class PairTable:
         return out.reshape(left.shape)
 
 
+class Pieces(dict):
+    """Piece to its row; a piece that is new gets the next row, and is listed in `new`."""
+
+    def __init__(self, *known):
+        super().__init__(*known)
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = row = len(self)
+        self.new.append(piece)
+        return row
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.tokens = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.ranks.splitlines() if line)}
         self.pattern = regex.compile(vocabulary.pattern)
         self.pairs = PairTable(self.tokens)
         self.single = np.array([self.tokens[bytes([i])] for i in range(256)], np.int64)
-        self.seen: dict[str, tuple[np.ndarray, int]] = {}
-        self.seen_bytes = 0
+        # ranks of pairs of bytes, at (left + 1) * 257 + right + 1; padding is -1
+        self.first = np.full(257 * 257, NONE, np.int64)
+        left, right = np.repeat(np.arange(256), 256), np.tile(np.arange(256), 256)
+        self.first[(left + 1) * 257 + right + 1] = self.pairs.look(self.single[left], self.single[right])
+        self.seen = Pieces()
+        self.start, self.flat, self.uses = np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
         size = max(self.tokens.values()) + 1
         parts = [b""] * size
         for token, rank in self.tokens.items():
@@ -140,11 +157,12 @@ class Encoder:
         size = np.array([len(p) for p in pieces])
         width = int(size.max())
         ids = np.full((len(pieces), width), -1, np.int64)
-        flat = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
-        ids[np.arange(width)[None, :] < size[:, None]] = flat
+        inside = np.arange(width)[None, :] < size[:, None]
+        ids[inside] = np.frombuffer(b"".join(pieces), np.uint8)  # bytes, for the table of first ranks
         done: list[np.ndarray] = [None] * len(pieces)  # type: ignore[list-item]
         number = np.arange(len(pieces))
-        rank = self.pairs.look(ids[:, :-1], ids[:, 1:]) if width > 1 else np.full((len(pieces), 0), NONE)
+        rank = self.first[(ids[:, :-1] + 1) * 257 + ids[:, 1:] + 1] if width > 1 else np.full((len(pieces), 0), NONE)
+        ids[inside] = self.single[ids[inside]]
         while len(number):
             if rank.shape[1] == 0:
                 best = np.full(len(number), NONE)
@@ -212,23 +230,33 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and n + 1 offsets."""
-        split = [self.pattern.findall(t) if t else [] for t in texts]
-        if len(self.seen) > REMEMBERED or self.seen_bytes > REMEMBERED_BYTES:
-            self.seen, self.seen_bytes = {}, 0
-        seen = self.seen
-        new = list({p for pieces in split for p in pieces if p not in seen})
-        coded = [p.encode() for p in new]
-        for p, b, ids in zip(new, coded, self.merge(coded)):
-            seen[p] = tuple(ids.tolist())
-            self.seen_bytes += len(b)
-        flat: list[int] = []
-        at = np.zeros(len(texts) + 1, np.int64)
-        look = seen.__getitem__
-        for i, pieces in enumerate(split):
-            for ids in map(look, pieces):
-                flat += ids
-            at[i + 1] = len(flat)
-        return np.array(flat, np.int32), at
+        if len(self.seen) > REMEMBERED:
+            self._forget()
+        find, look = self.pattern.findall, self.seen.__getitem__
+        rows = [np.fromiter(map(look, find(t)), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+        if self.seen.new:
+            found = self.merge([p.encode() for p in self.seen.new])
+            self.seen.new = []
+            size = np.array([len(x) for x in found], np.int64)
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
+            self.flat = np.concatenate([self.flat, *found])
+            self.uses = np.concatenate([self.uses, np.zeros(len(found), np.int64)])
+        row = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        self.uses += np.bincount(row, minlength=len(self.uses))
+        size = self.start[row + 1] - self.start[row]
+        end = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(end[-1]) + np.repeat(self.start[row] - end[:-1], size)]
+        return ids, end[np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)]
+
+    def _forget(self) -> None:
+        """Keep the half of the pieces that were used most."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2])
+        names = list(self.seen)
+        size = self.start[keep + 1] - self.start[keep]
+        end = np.concatenate([[0], np.cumsum(size)])
+        self.flat = self.flat[np.arange(end[-1]) + np.repeat(self.start[keep] - end[:-1], size)]
+        self.start, self.uses = end, self.uses[keep] // 2
+        self.seen = Pieces({names[k]: i for i, k in enumerate(keep.tolist())})
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of the ids, and n + 1 offsets."""
@@ -256,8 +284,8 @@ def default_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> Vocabulary:
     return Vocabulary.read(public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
-def encode(documents: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>) for every document."""
+def encode(documents: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """(key, ids array<int>) for every document; with `decoded`, also the bytes that those ids decode to."""
     docs = one_column(documents, key=key, text=text)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -265,9 +293,17 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", te
         coder = encoder(shared.value)
         for batch in chunks(batches, "text", 2 << 20):
             ids, at = coder.encode(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["key", "ids"])
+            out = {"key": batch.column("key"), "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))}
+            if decoded:
+                out["decoded"] = binary(*coder.decode(ids, at))
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    more = ", decoded binary" if decoded else ""
+    return map_arrow(docs, run, f"key {dict(docs.dtypes)['key']}, ids array<int>{more}").withColumnRenamed("key", key)
+
 
-    return map_arrow(docs, run, f"key {dict(docs.dtypes)['key']}, ids array<int>").withColumnRenamed("key", key)
+def binary(raw: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -283,15 +319,14 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
             lists = batch.column(ids)
             lists = lists.fill_null([]) if lists.null_count else lists
             at = np.asarray(lists.offsets).astype(np.int64)
-            raw, cut = coder.decode(np.asarray(lists.flatten()), at - at[0])
-            made = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+            made = binary(*coder.decode(np.asarray(lists.flatten()), at - at[0]))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, out])
 
     return map_arrow(encoded, run, schema)
 
 
 def digests(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    coded = decode(encode(documents, vocabulary), vocabulary)
+    coded = encode(documents, vocabulary, decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
