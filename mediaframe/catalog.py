@@ -1,30 +1,300 @@
-"""The registered queries over the driver's tables and their SQL counterparts."""
+"""The registered queries over the driver's tables and their SQL counterparts.
+
+The tables hold no media, so media tables are derived from them by integer arithmetic: 8x8 gray or 4:2:0 pictures from the
+embeddings, mono and interleaved sound from the events, packets from the line items, raw bytes from the documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from mediaframe.functions import layouts, samples
+from mediaframe.functions.kernels import ONE_H, ONE_V, TABLE_KERNELS, tap_table
+from mediaframe.functions.picture import Video
+from mediaframe.functions.rational import MODES, rescale_column
+from mediaframe.operators import audio, pixels
+from mediaframe.plans.graph import filter_video
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image_histogram(spark, sf_dir)
+GRAY, YUV = Video("gray", 8, 8), Video("yuv420p", 8, 8)
 
 
-def image_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels of the 8x8 gray images made from the embeddings, counted by value."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.explode("embedding").alias("e"))
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def img_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("n"), F.posexplode("embedding").alias("i", "e"))
     v = F.floor(F.least(F.greatest((F.col("e").cast("double") + 1) * 127.5, F.lit(0.0)), F.lit(255.0))).cast("int")
-    return e.groupBy(v.alias("v")).agg(F.count("*").alias("n_pixels"))
+    return e.where("i < 64").select("n", F.lit(0).alias("p"), F.expr("cast(i div 8 AS int)").alias("y"), (F.col("i") % 8).alias("x"), v.alias("v"))
+
+
+def img_yuv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = img_gray(spark, sf_dir)
+    half = lambda p, rest: g.where((F.col("y") % 2 == rest) & (F.col("x") % 2 == rest)).select("n", F.lit(p).alias("p"), F.expr("cast(y div 2 AS int)").alias("y"), F.expr("cast(x div 2 AS int)").alias("x"), "v")
+    return g.unionByName(half(1, 0)).unionByName(half(2, 1))
+
+
+def pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return _read(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), (F.row_number().over(w) - 1).cast("long").alias("k"), F.lit(0).alias("ch"), (F.rint(F.col("value") * 8) - 4096).cast("int").alias("v"))
+
+
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    den = F.element_at(F.array(F.lit(48000), F.lit(44100), F.lit(90000), F.lit(1000)), (F.col("l_orderkey") % 4 + 1).cast("int"))
+    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("stream_id"), (F.row_number().over(w) - 1).cast("long").alias("seq"), F.col("l_quantity").cast("bigint").alias("duration"), den.alias("den"))
+    return audio.packet_times(rows)
+
+
+GRAY_SQL = """img AS (SELECT vec_id AS n, 0 AS p, cast((i - 1) // 8 AS int) AS y, cast((i - 1) % 8 AS int) AS x,
+    cast(floor(least(greatest((cast(embedding[i] AS double) + 1) * 127.5, 0), 255)) AS int) AS v
+  FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS i FROM embeddings))"""
+YUV_SQL = (
+    GRAY_SQL
+    + """, yuv AS (SELECT * FROM img UNION ALL SELECT n, 1, y // 2, x // 2, v FROM img WHERE y % 2 = 0 AND x % 2 = 0
+    UNION ALL SELECT n, 2, y // 2, x // 2, v FROM img WHERE y % 2 = 1 AND x % 2 = 1)"""
+)
+PCM_SQL = """pcm AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, 0 AS ch,
+    cast(round_even(value * 8, 0) - 4096 AS int) AS v FROM events)"""
+PACKETS_SQL = """pk AS (SELECT l_orderkey AS stream_id, row_number() OVER w - 1 AS seq, cast(l_quantity AS bigint) AS duration,
+    [48000, 44100, 90000, 1000][cast(l_orderkey % 4 + 1 AS int)] AS den FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+  packets AS (SELECT *, cast(coalesce(sum(duration) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS pts FROM pk)"""
+
+
+def _sum(of: str) -> str:
+    return f"SELECT n, count(*) AS pixels, cast(sum(((cast(p AS bigint) * 31 + y) * 1009 + x + 1) * v) AS bigint) AS checksum FROM {of} GROUP BY n"
+
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+@query("image_histogram", f"WITH {GRAY_SQL} SELECT v, count(*) AS n_pixels FROM img GROUP BY v")
+def image_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return img_gray(spark, sf_dir).groupBy("v").agg(F.count("*").alias("n_pixels"))
+
+
+@query("hflip_yuv", f"WITH {YUV_SQL}, o AS (SELECT n, p, y, CASE WHEN p = 0 THEN 7 ELSE 3 END - x AS x, v FROM yuv) {_sum('o')}")
+def hflip_yuv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.checksum(pixels.hflip(img_yuv(spark, sf_dir), YUV))
+
+
+@query("vflip_yuv", f"WITH {YUV_SQL}, o AS (SELECT n, p, CASE WHEN p = 0 THEN 7 ELSE 3 END - y AS y, x, v FROM yuv) {_sum('o')}")
+def vflip_yuv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.checksum(pixels.vflip(img_yuv(spark, sf_dir), YUV))
+
+
+def _transpose(direction: int) -> None:
+    m = "CASE WHEN p = 0 THEN 7 ELSE 3 END"
+    x = f"{m} - y" if direction & 1 else "y"
+    y = f"{m} - x" if direction & 2 else "x"
+
+    @query(f"transpose_{direction}", f"WITH {YUV_SQL}, o AS (SELECT n, p, {y} AS y, {x} AS x, v FROM yuv) {_sum('o')}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pixels.checksum(pixels.transpose(img_yuv(spark, sf_dir), YUV, direction)[0])
+
+
+for _d in range(4):
+    _transpose(_d)
+
+
+@query("crop_yuv", f"WITH {YUV_SQL}, o AS (SELECT n, p, y - CASE WHEN p = 0 THEN 4 ELSE 2 END AS y, x - CASE WHEN p = 0 THEN 2 ELSE 1 END AS x, v FROM yuv WHERE CASE WHEN p = 0 THEN y BETWEEN 4 AND 7 AND x BETWEEN 2 AND 5 ELSE y BETWEEN 2 AND 3 AND x BETWEEN 1 AND 2 END) {_sum('o')}")
+def crop_yuv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.checksum(pixels.crop(img_yuv(spark, sf_dir), YUV, 2, 4, 4, 4)[0])
+
+
+def _values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join(f"({', '.join(map(str, r))})" for r in rows) + ")"
+
+
+def _scale(kernel: str, width: int, height: int) -> None:
+    h, v = tap_table(kernel, 8, width, ONE_H).rows(), tap_table(kernel, 8, height, ONE_V).rows()
+    sql = f"""WITH {GRAY_SQL}, th(o, x, c) AS {_values(h)}, tv(o, y, c) AS {_values(v)},
+      lines AS (SELECT n, p, y, o AS x, least(cast(sum(cast(v AS bigint) * c) AS bigint) >> 7, 32767) AS v FROM img JOIN th USING (x) GROUP BY n, p, y, o),
+      o AS (SELECT n, p, o AS y, x, greatest(0, least(255, (cast(sum(v * c) AS bigint) + 262144) >> 19)) AS v FROM lines JOIN tv USING (y) GROUP BY n, p, o, x) {_sum('o')}"""
+
+    @query(f"scale_{kernel}_{width}x{height}", sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pixels.checksum(pixels.scale(img_gray(spark, sf_dir), GRAY, width, height, kernel)[0])
+
+
+for _k in TABLE_KERNELS:
+    _scale(_k, 4, 4)
+_scale("area", 16, 12)
+_scale("lanczos", 16, 12)
+
+
+@query(
+    "yuv_to_rgb",
+    f"""WITH {YUV_SQL}, j AS (SELECT a.n, a.y, a.x, cast(a.v AS float) AS l, cast(u.v AS float) - cast(128 AS float) AS u, cast(w.v AS float) - cast(128 AS float) AS w
+      FROM yuv a JOIN yuv u ON u.n = a.n AND u.p = 1 AND u.y = a.y // 2 AND u.x = a.x // 2 JOIN yuv w ON w.n = a.n AND w.p = 2 AND w.y = a.y // 2 AND w.x = a.x // 2 WHERE a.p = 0),
+      f AS (SELECT *, (l - cast(16 AS float)) * cast(1.1643835616438356 AS float) AS e FROM j)
+      SELECT n, cast(sum((y * 8 + x + 1) * cast(greatest(0, least(255, round(cast(e + cast(1.59603 AS float) * w AS double), 0))) AS bigint)) AS bigint) AS red,
+        cast(sum((y * 8 + x + 1) * cast(greatest(0, least(255, round(cast(e - cast(0.39176 AS float) * u - cast(0.81297 AS float) * w AS double), 0))) AS bigint)) AS bigint) AS green,
+        cast(sum((y * 8 + x + 1) * cast(greatest(0, least(255, round(cast(e + cast(2.01723 AS float) * u AS double), 0))) AS bigint)) AS bigint) AS blue FROM f GROUP BY n""",
+)
+def yuv_to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("y") * 8 + F.col("x") + 1
+    return pixels.to_rgb(img_yuv(spark, sf_dir), YUV).groupBy("n").agg(*[F.sum(w * F.col(c)).cast("bigint").alias(name) for c, name in (("r", "red"), ("g", "green"), ("b", "blue"))])
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gray pictures as FRAME rows, made without a shuffle."""
+    e = _read(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 64).alias("e"))
+    v = F.transform("e", lambda x: F.floor(F.least(F.greatest((x.cast("double") + 1) * 127.5, F.lit(0.0)), F.lit(255.0))).cast("int"))
+    raw = F.unhex(F.array_join(F.transform(v, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    return e.select(F.lit(0).cast("long").alias("stream_id"), F.col("vec_id").alias("n"), F.col("vec_id").alias("pts"), F.lit(1).cast("long").alias("duration"), F.array(raw).alias("planes"))
+
+
+def _frame_sums(df: DataFrame) -> DataFrame:
+    return df.select("n", F.md5(F.element_at("planes", 1)).alias("md5"))
+
+
+CHAIN_SQL = """SELECT n, md5(unhex(string_agg(printf('%02X', v), '' ORDER BY y, x))) AS md5 FROM o GROUP BY n"""
+
+
+@query("filter_chain", f"WITH {GRAY_SQL}, o AS (SELECT n, 3 - (x - 2) AS x, 5 - (y - 1) AS y, v FROM img WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 6) {CHAIN_SQL}")
+def filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """crop, then both flips, from the textual language, on whole frames."""
+    return _frame_sums(filter_video(frames(spark, sf_dir), GRAY, "crop=4:6,hflip,vflip")[0])
+
+
+@query("filter_transpose", f"WITH {GRAY_SQL}, o AS (SELECT n, 7 - y AS x, x AS y, v FROM img) {CHAIN_SQL}")
+def filter_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frame_sums(filter_video(frames(spark, sf_dir), GRAY, "null,transpose=clock")[0])
+
+
+@query(
+    "filter_scale",
+    f"""WITH {GRAY_SQL}, th(o, x, c) AS {_values(tap_table('lanczos', 8, 4, ONE_H).rows())}, tv(o, y, c) AS {_values(tap_table('lanczos', 8, 6, ONE_V).rows())},
+      lines AS (SELECT n, y, o AS x, least(cast(sum(cast(v AS bigint) * c) AS bigint) >> 7, 32767) AS v FROM img JOIN th USING (x) GROUP BY n, y, o),
+      o AS (SELECT n, o AS y, x, greatest(0, least(255, (cast(sum(v * c) AS bigint) + 262144) >> 19)) AS v FROM lines JOIN tv USING (y) GROUP BY n, o, x) {CHAIN_SQL}""",
+)
+def filter_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _frame_sums(filter_video(frames(spark, sf_dir), GRAY, "scale=iw/2:6:flags=lanczos")[0])
+
+
+@query("filter_format_rgb", f"WITH {GRAY_SQL}, g AS (SELECT n, y, x, cast(greatest(0, least(255, round(cast((cast(v AS float) - cast(16 AS float)) * cast(1.1643835616438356 AS float) AS double), 0))) AS int) AS v FROM img) SELECT n, md5(unhex(string_agg(printf('%02X%02X%02X', v, v, v), '' ORDER BY y, x))) AS md5 FROM g GROUP BY n")
+def filter_format_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversion that the planner inserts."""
+    return _frame_sums(filter_video(frames(spark, sf_dir), GRAY, "format=rgb24")[0])
+
+
+def _cast(target: str, sql: str) -> None:
+    @query(f"cast_s16_{target}", f"WITH {PCM_SQL} SELECT stream_id, k, {sql} AS v FROM pcm")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return audio.cast(pcm(spark, sf_dir), "s16", target).select("stream_id", "k", "v")
+
+
+_cast("u8", "cast((v >> 8) + 128 AS int)")
+_cast("s32", "cast(v * 65536 AS int)")
+_cast("s64", "cast(v AS bigint) * 281474976710656")
+_cast("flt", "cast(v AS float) * cast(0.000030517578125 AS float)")
+_cast("dbl", "cast(v AS double) * 0.000030517578125")
+
+
+@query("cast_round_trip", f"WITH {PCM_SQL} SELECT stream_id, k, v AS through_flt, v AS through_dbl, v AS through_s32, (v >> 8) * 256 AS through_u8 FROM pcm")
+def cast_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    through = lambda f: samples.cast(samples.cast(F.col("v"), "s16", f), f, "s16")
+    return pcm(spark, sf_dir).select("stream_id", "k", *[through(f).alias(f"through_{f}") for f in ("flt", "dbl", "s32", "u8")])
+
+
+@query(
+    "cast_overdriven",
+    f"WITH {PCM_SQL}, o AS (SELECT stream_id, k, cast(v AS bigint) * 48 AS r FROM pcm) SELECT stream_id, k, cast(greatest(-32768, least(32767, r)) AS int) AS s16, cast(greatest(0, least(255, round_even(cast(r AS double) / 256, 0) + 128)) AS int) AS u8 FROM o",
+)
+def cast_overdriven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of up to 6 times full scale clip."""
+    loud = pcm(spark, sf_dir).withColumn("f", F.col("v").cast("double") * 48 / 32768)
+    return loud.select("stream_id", "k", samples.cast(F.col("f"), "dbl", "s16").alias("s16"), samples.cast(F.col("f"), "dbl", "u8").alias("u8"))
+
+
+MATRIX = layouts.quantized([[1.0, 0.0, 0.5, 0.0, 0.25, 0.0], [0.0, 1.0, 0.5, 0.0, 0.0, 0.25]])
+
+
+@query(
+    "mix_fixed",
+    f"""WITH {PCM_SQL}, s AS (SELECT stream_id, k // 6 AS k, k % 6 AS ch, v FROM pcm), m(o, ch, c) AS {_values([(o, i, c) for o, r in enumerate(MATRIX) for i, c in enumerate(r) if c])}
+      SELECT stream_id, k, o AS ch, greatest(-32768, least(32767, (cast(sum(cast(v AS bigint) * c) AS bigint) + 16384) >> 15)) AS v FROM s JOIN m USING (ch) GROUP BY stream_id, k, o""",
+)
+def mix_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six interleaved channels to two."""
+    return audio.mix_fixed(audio.interleave(pcm(spark, sf_dir), 6), MATRIX).select("stream_id", "k", "ch", "v")
+
+
+@query("channel_swap", f"WITH {PCM_SQL} SELECT stream_id, k // 2 AS k, cast(1 - k % 2 AS int) AS ch, v FROM pcm")
+def channel_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.select_channels(audio.interleave(pcm(spark, sf_dir), 2), [1, 0]).select("stream_id", "k", "ch", "v")
+
+
+@query("gapless_trim", f"WITH {PCM_SQL} SELECT stream_id, count(*) AS samples, min(k) - 5 AS first, cast(sum((k - 5) * v) AS bigint) AS checksum FROM pcm WHERE k >= 5 AND k < 40 GROUP BY stream_id")
+def gapless_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.trim(pcm(spark, sf_dir), 5, 40).groupBy("stream_id").agg(F.count("*").alias("samples"), F.min("k").alias("first"), F.sum(F.col("k") * F.col("v")).alias("checksum"))
+
+
+@query("packet_times", f"WITH {PACKETS_SQL} SELECT stream_id, seq, pts, duration FROM packets")
+def packet_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets(spark, sf_dir).select("stream_id", "seq", "pts", "duration")
+
+
+_ROUNDED = {"zero": "a * 1000000 // den", "inf": "(a * 1000000 + den - 1) // den", "down": "a * 1000000 // den", "up": "(a * 1000000 + den - 1) // den", "near": "(a * 1000000 + den // 2) // den"}
+
+
+@query("rescale", f"WITH {PACKETS_SQL} SELECT stream_id, seq, {', '.join(f'cast({s.replace("a *", "cast(pts AS hugeint) *")} AS bigint) AS {m}' for m, s in _ROUNDED.items())} FROM packets")
+def rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packet times in microseconds, in every rounding."""
+    return packets(spark, sf_dir).select("stream_id", "seq", *[rescale_column(F.col("pts"), 1_000_000, F.col("den"), m).alias(m) for m in MODES])
+
+
+@query("gapless_packets", f"WITH {PACKETS_SQL} SELECT stream_id, seq, CASE WHEN pts = 0 THEN 7 ELSE 0 END AS skip_samples, CASE WHEN pts + duration > 60 AND pts < 90 THEN least(pts + duration - 60, duration) ELSE 0 END AS discard_padding FROM packets")
+def gapless_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.gapless(packets(spark, sf_dir), 7, 60, 90).select("stream_id", "seq", "skip_samples", "discard_padding")
+
+
+@query("run_summary", f"WITH {PACKETS_SQL} SELECT stream_id, count(*) AS frames, cast(sum(duration) AS bigint) AS ticks, max(pts) AS last_pts, arg_max(duration, seq) AS last_duration FROM packets GROUP BY stream_id")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets(spark, sf_dir).groupBy("stream_id").agg(F.count("*").alias("frames"), F.sum("duration").alias("ticks"), F.max("pts").alias("last_pts"), F.max_by("duration", "seq").alias("last_duration"))
+
+
+@query("resample_rows")
+def resample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3:2 rate conversion as joins, rounded to 1e-6."""
+    out = audio.resample_rows(pcm(spark, sf_dir), 48000, 32000)
+    return out.select("stream_id", "k", F.round("v", 6).alias("v"))
+
+
+@query("resample_signal")
+def resample_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, a whole signal at a time."""
+    return audio.resample(pcm(spark, sf_dir), 48000, 32000).select("stream_id", "k", F.round("v", 6).alias("v"))
+
+
+@query("downmix_51", None)
+def downmix_51(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = audio.remix(audio.interleave(pcm(spark, sf_dir), 6), "5.1", "stereo")
+    return out.groupBy("stream_id", "ch").agg(F.count("*").alias("samples"), F.round(F.sum("v"), 3).alias("total"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_chain(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"image_histogram": image_histogram}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "image_histogram": """
-            SELECT cast(floor(least(greatest((cast(e AS double) + 1) * 127.5, 0), 255)) AS int) AS v, count(*) AS n_pixels
-            FROM (SELECT unnest(embedding) AS e FROM embeddings) GROUP BY 1"""
-    }
+    return dict(SQL)
