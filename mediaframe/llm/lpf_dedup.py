@@ -162,6 +162,10 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     return out.withColumnRenamed("key", key)
 
 
+def op6_columns(out: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The digest columns of remove_repeats()."""
+    return out.select(key, "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return op6_columns(remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")))
