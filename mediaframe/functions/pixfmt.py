@@ -105,3 +105,43 @@ def pixel_format(name: str) -> PixelFormat:
     if found is None:
         raise ValueError(f"unknown pixel format {name!r}")
     return found
+
+
+def colour_kind(f: PixelFormat) -> str:
+    return "rgb" if f.rgb else "gray" if len(f.components) == 1 else "yuv"
+
+
+def padded_bits(f: PixelFormat) -> int:
+    """Bits of a pixel in memory, with unused ones."""
+    w, h = f.chroma
+    steps: dict[tuple[int, int], int] = {}
+    for i, (plane, step, *_rest) in enumerate(f.components):
+        shift = 0 if i in (1, 2) else w + h
+        steps[plane, 0] = max(steps.get((plane, 0), 0), step * 8 << shift)
+    return sum(steps.values()) >> (w + h)
+
+
+def fitness(target: PixelFormat, source: PixelFormat, alpha: bool = True) -> int:
+    """How well the target keeps what the source has: 0 for the same format, else less, the more is lost.
+
+    Fixed values: what losses of depth, resolution, colour, chroma and alpha cost, and the small preferences besides.
+    """
+    if target == source:
+        return 0
+    cost = 1
+    pairs = list(zip(source.components, target.components))
+    for s, t in pairs:
+        cost += 65536 >> (t[4] - 1) if s[4] > t[4] else t[4] - s[4]
+    for s, t in zip(source.chroma, target.chroma):
+        cost += 256 << t if t > s else 1 << (s - t) if t < s else 0
+    if target.chroma == (1, 1) and source.chroma == (0, 0):
+        cost -= 512
+    kinds = colour_kind(target), colour_kind(source)
+    accepted = {"rgb": ("rgb", "gray"), "gray": ("gray",), "yuv": ("yuv",)}[kinds[0]]
+    if kinds[1] not in accepted:
+        cost += len(pairs) * 65536 >> (min(target.components[0][4], source.components[0][4]) - 1)
+    if kinds[0] == "gray" and kinds[1] != "gray":
+        cost += 2 * 65536
+    if alpha and source.alpha and not target.alpha:
+        cost += 65536
+    return -cost

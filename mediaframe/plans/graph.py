@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mediaframe.functions.picture import Video, split
-from mediaframe.functions.pixfmt import pixel_format
+from mediaframe.functions.pixfmt import fitness, padded_bits, pixel_format
 from mediaframe.plans import filters
 from mediaframe.plans.filters import Apply, Bound, FilterError
 from mediaframe.plans.language import FilterCall, Graph, parse
@@ -77,7 +77,13 @@ def _choose(now: str, possible: list[str], allowed: list, order: list[str]) -> s
         raise FilterError(f"impossible to convert {now} to what the following filters take")
     if now in fit:
         return now
-    rank = lambda f: (pixel_format(f).bits, len(pixel_format(f).components), order.index(f) if f in order else 99)
+    source = pixel_format(now)
+
+    def rank(name: str) -> tuple:
+        """Least loss, then fewest bits in memory, then fewest components, then the order of the lists."""
+        f = pixel_format(name)
+        return -fitness(f, source, source.alpha), padded_bits(f), len(f.components), order.index(name) if name in order else len(order)
+
     return min(fit, key=rank)
 
 
