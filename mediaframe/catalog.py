@@ -11,11 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from mediaframe.functions import layouts, samples
+from mediaframe.functions.fir import bank
 from mediaframe.functions.kernels import ONE_H, ONE_V, TABLE_KERNELS, tap_table
 from mediaframe.functions.picture import Video
 from mediaframe.functions.rational import MODES, rescale_column
-from mediaframe.operators import audio, pixels
+from mediaframe.operators import audio, mpeg, pixels
 from mediaframe.plans.graph import filter_video
+from mediaframe.sources import nal
+from mediaframe.sources.containers import BIT_RATES
 
 GRAY, YUV = Video("gray", 8, 8), Video("yuv420p", 8, 8)
 
@@ -269,6 +272,24 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets(spark, sf_dir).groupBy("stream_id").agg(F.count("*").alias("frames"), F.sum("duration").alias("ticks"), F.max("pts").alias("last_pts"), F.max_by("duration", "seq").alias("last_duration"))
 
 
+FIXED = bank(32000, 48000, scale=15)
+
+
+@query(
+    "resample_fixed",
+    f"""WITH {PCM_SQL}, taps(ph, i, c) AS {_values([(p, i, int(c)) for p in range(FIXED.phases) for i, c in enumerate(FIXED.taps[p]) if c])},
+      size AS (SELECT stream_id, count(*) AS n FROM pcm GROUP BY 1),
+      outs AS (SELECT stream_id, n, unnest(generate_series(0, cast(ceil(((1 + n + (least(n, {FIXED.length}) + 1) // 2 - {FIXED.length}) * {FIXED.phases} - {FIXED.start}) * cast({FIXED.source_step} AS double) / {FIXED.target_step}) AS bigint) - 1)) AS o FROM size),
+      idx AS (SELECT *, {FIXED.start} + o * {FIXED.target_step} // {FIXED.source_step} AS x FROM outs), ph AS (SELECT *, ((x % {FIXED.phases}) + {FIXED.phases}) % {FIXED.phases} AS ph FROM idx),
+      reads AS (SELECT stream_id, o, c, n, (x - ph) // {FIXED.phases} + i AS src FROM ph JOIN taps USING (ph)),
+      folded AS (SELECT stream_id, o, c, CASE WHEN src < 0 THEN -src WHEN src >= n THEN 2 * n - 1 - src ELSE src END AS k FROM reads)
+      SELECT stream_id, o AS k, greatest(-32768, least(32767, (cast(sum(cast(v AS bigint) * c) AS bigint) + 16384) >> 15)) AS v FROM folded JOIN pcm USING (stream_id, k) GROUP BY stream_id, o""",
+)
+def resample_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3:2 rate conversion of 16-bit samples with integer coefficients."""
+    return audio.resample_rows(pcm(spark, sf_dir), 48000, 32000, scale=15).select("stream_id", "k", "v")
+
+
 @query("resample_rows")
 def resample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3:2 rate conversion as joins, rounded to 1e-6."""
@@ -288,6 +309,42 @@ def downmix_51(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("stream_id", "ch").agg(F.count("*").alias("samples"), F.round(F.sum("v"), 3).alias("total"))
 
 
+KBITS = "[" + ", ".join("[" + ", ".join(map(str, BIT_RATES[k])) + "]" for k in sorted(BIT_RATES)) + "]"
+
+
+@query(
+    "mpeg_headers",
+    f"""WITH w AS (SELECT doc_id, (cast(('0x' || substr(md5(text), 1, 8)) AS bigint) & 2097151) | 4292870144 AS h FROM documents),
+      f AS (SELECT doc_id, h, 4 - ((h >> 17) & 3) AS layer, CASE WHEN (h >> 20) & 1 = 0 THEN 1 ELSE 1 - ((h >> 19) & 1) END AS lsf, 1 - ((h >> 20) & 1) AS old, (h >> 12) & 15 AS b, (h >> 10) & 3 AS r FROM w
+        WHERE (h >> 19) & 3 <> 1 AND (h >> 17) & 3 <> 0 AND (h >> 12) & 15 NOT IN (0, 15) AND (h >> 10) & 3 <> 3),
+      g AS (SELECT *, [44100, 48000, 32000][cast(r + 1 AS int)] >> cast(lsf + old AS int) AS rate, {KBITS}[cast(lsf * 3 + layer AS int)][cast(b + 1 AS int)] AS kbits FROM f)
+      SELECT doc_id, cast(layer AS int) AS layer, cast(rate AS int) AS sample_rate, cast(kbits AS int) AS kbits,
+        cast(CASE WHEN layer = 1 THEN (kbits * 12000 // rate + ((h >> 9) & 1)) * 4 WHEN layer = 3 THEN kbits * 144000 // (rate << cast(lsf AS int)) + ((h >> 9) & 1) ELSE kbits * 144000 // rate + ((h >> 9) & 1) END AS int) AS frame_bytes,
+        CASE WHEN (h >> 6) & 3 = 3 THEN 1 ELSE 2 END AS channels FROM g""",
+)
+def mpeg_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """32-bit words made of document hashes, read as MPEG audio headers; words that are none go."""
+    word = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("bigint").bitwiseAND(0x1FFFFF).bitwiseOR(0xFFE00000)
+    return mpeg.header_columns(_read(spark, sf_dir, "documents").select("doc_id", word.alias("word")), "word").select("doc_id", "layer", "sample_rate", "kbits", "frame_bytes", "channels")
+
+
+@query("nal_summary")
+def nal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of documents between made-up start codes, split into units and counted by type."""
+    data = F.concat(F.lit(b"\0\0\1"), F.regexp_replace("text", " ", "\0\0\1").cast("binary"))
+    return nal.split(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("stream_id"), data.alias("data"))).groupBy("type").agg(F.count("*").alias("units"), F.sum(F.octet_length("payload")).alias("bytes"))
+
+
+LAYOUTS = [(n, layouts.mask_of(p)) for n, p in layouts.STANDARD.items()]
+
+
+@query("channel_layouts", f"SELECT name, bit_count(cast(mask AS bigint)) AS channels, cast(mask & 3 = 3 AS int) AS has_front_pair, bit_count(cast(mask & 7 AS bigint)) AS index_of_lfe FROM {_values([(repr(n), m) for n, m in LAYOUTS])} t(name, mask)")
+def channel_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standard layouts, with counts and places of channels from their masks."""
+    t = spark.createDataFrame(LAYOUTS, "name string, mask long")
+    return t.select("name", F.bit_count("mask").cast("int").alias("channels"), (F.col("mask").bitwiseAND(3) == 3).cast("int").alias("has_front_pair"), F.bit_count(F.col("mask").bitwiseAND(7)).cast("int").alias("index_of_lfe"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_chain(spark, sf_dir)
 

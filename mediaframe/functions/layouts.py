@@ -48,6 +48,13 @@ STANDARD = {
     "5.1.4": "FL+FR+FC+LFE+SL+SR+TFL+TFR+TBL+TBR",
     "7.1.2": "FL+FR+FC+LFE+BL+BR+SL+SR+TFL+TFR",
     "7.1.4": "FL+FR+FC+LFE+BL+BR+SL+SR+TFL+TFR+TBL+TBR",
+    "7.2.3": "FL+FR+FC+LFE+BL+BR+SL+SR+TFL+TFR+TBC+LFE2",
+    "9.1.4": "FL+FR+FC+LFE+BL+BR+SL+SR+TFL+TFR+TBL+TBR+FLC+FRC",
+    "9.1.6": "FL+FR+FC+LFE+BL+BR+SL+SR+TFL+TFR+TBL+TBR+FLC+FRC+TSL+TSR",
+    "hexadecagonal": "FL+FR+FC+BL+BR+BC+SL+SR+WL+WR+TBL+TBR+TBC+TFC+TFL+TFR",
+    "binaural": "BIL+BIR",
+    "downmix": "DL+DR",
+    "22.2": "FL+FR+FC+LFE+BL+BR+SL+SR+TFL+TFR+TBL+TBR+FLC+FRC+TSL+TSR+BC+LFE2+TFC+TC+TBC+BFC+BFL+BFR",
 }
 
 

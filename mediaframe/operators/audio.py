@@ -66,12 +66,17 @@ def resample(pcm: DataFrame, in_rate: int, out_rate: int, **options) -> DataFram
 
 
 def resample_rows(pcm: DataFrame, in_rate: int, out_rate: int, **options) -> DataFrame:
-    """resample() as joins: every output reads `length` source samples; the bank is broadcast (phases x length rows)."""
+    """resample() as joins: every output reads `length` source samples; the bank is broadcast (phases x length rows).
+
+    With scale=15 or 30 the coefficients are integers, and so are the results, rounded and clipped to 16 or 32 bits.
+    """
     b = bank(out_rate, in_rate, **options)
+    scale = options.get("scale", 0)
     if b.blends:
         raise ValueError("the relational form needs exact phases")
     spark = pcm.sparkSession
-    taps = F.broadcast(spark.createDataFrame([(p, i, float(c)) for p in range(b.phases) for i, c in enumerate(b.taps[p])], "phase int, i int, c double"))
+    number = int if scale else float
+    taps = F.broadcast(spark.createDataFrame([(p, i, number(c)) for p in range(b.phases) for i, c in enumerate(b.taps[p])], f"phase int, i int, c {'long' if scale else 'double'}"))
     size = pcm.groupBy("stream_id", "ch").agg(F.count("*").alias("size"))
     tail = F.floor((F.least("size", F.lit(b.length)) + 1) / 2)
     outputs = F.ceil(((1 + F.col("size") + tail - b.length) * b.phases - b.start) * b.source_step / F.lit(b.target_step))
@@ -81,7 +86,11 @@ def resample_rows(pcm: DataFrame, in_rate: int, out_rate: int, **options) -> Dat
     at = F.col("first") + F.col("i")
     at = F.when(at < 0, -at).when(at >= F.col("size"), 2 * F.col("size") - 1 - at).otherwise(at)
     reads = each.join(taps, "phase").select("stream_id", "ch", "o", "i", "c", at.alias("k"))
-    return reads.join(pcm, ["stream_id", "ch", "k"]).groupBy("stream_id", "ch", "o").agg(F.sum(F.col("v") * F.col("c")).alias("v")).select("stream_id", F.col("o").alias("k"), "ch", "v")
+    total = F.sum(F.col("v") * F.col("c"))
+    if scale:
+        most = 1 << (scale if scale == 15 else 31)
+        total = F.greatest(F.lit(-most), F.least(F.lit(most - 1), F.shiftright(total + (1 << (scale - 1)), scale)))
+    return reads.join(pcm, ["stream_id", "ch", "k"]).groupBy("stream_id", "ch", "o").agg(total.alias("v")).select("stream_id", F.col("o").alias("k"), "ch", "v")
 
 
 def trim(pcm: DataFrame, skip: int, end: int | None = None) -> DataFrame:
