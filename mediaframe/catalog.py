@@ -209,6 +209,44 @@ _cast("flt", "cast(v AS float) * cast(0.000030517578125 AS float)")
 _cast("dbl", "cast(v AS double) * 0.000030517578125")
 
 
+#: Samples of each format, made from 16-bit ones.
+AS_SQL = {"u8": "cast((v >> 8) + 128 AS bigint)", "s32": "cast(v AS bigint) * 65536 + 12345", "s64": "cast(v AS bigint) * 281474976710656 + 987654321", "flt": "cast(v AS float) * cast(0.000030517578125 AS float)", "dbl": "cast(v AS double) * 0.000030517578125 + 1e-7"}
+WIDTH = {"u8": 8, "s16": 16, "s32": 32, "s64": 64}
+
+
+def _cast_sql(source: str, target: str) -> str:
+    if source in WIDTH:
+        centred = "(s - 128)" if source == "u8" else "s"
+        if target in WIDTH:
+            shift = WIDTH[target] - WIDTH[source]
+            moved = f"{centred} * {1 << shift}" if shift >= 0 else f"({centred} >> {-shift})"
+            return f"cast({moved} + {128 if target == 'u8' else 0} AS bigint)"
+        kind = "float" if target == "flt" else "double"
+        return f"cast({centred} AS {kind}) * cast({2.0 ** -(WIDTH[source] - 1)!r} AS {kind})"
+    if target not in WIDTH:
+        return f"cast(s AS {'float' if target == 'flt' else 'double'})"
+    kind = "float" if source == "flt" else "double"
+    r = f"cast(round_even(cast(s * cast({2.0 ** (WIDTH[target] - 1)!r} AS {kind}) AS double), 0) AS bigint)"
+    low, high = (0, 255) if target == "u8" else (-(1 << (WIDTH[target] - 1)), (1 << (WIDTH[target] - 1)) - 1)
+    return r if target == "s64" else f"greatest({low}, least({high}, {r} + {128 if target == 'u8' else 0}))"
+
+
+def _grid(source: str) -> None:
+    targets = [t for t in ("u8", "s16", "s32", "s64", "flt", "dbl") if t != source]
+
+    @query(f"cast_grid_{source}", f"WITH {PCM_SQL}, x AS (SELECT stream_id, k, {AS_SQL[source]} AS s FROM pcm) SELECT stream_id, k, {', '.join(f'{_cast_sql(source, t)} AS {t}' for t in targets)} FROM x")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = F.col("v")
+        made = {"u8": F.shiftright(v, 8) + 128, "s32": v.cast("long") * 65536 + 12345, "s64": v.cast("long") * (1 << 48) + 987654321, "flt": samples.cast(v, "s16", "flt"), "dbl": samples.cast(v, "s16", "dbl") + F.lit(1e-7)}[source]
+        x = pcm(spark, sf_dir).select("stream_id", "k", made.alias("s"))
+        wide = lambda c, t: c.cast("bigint") if t in WIDTH else c
+        return x.select("stream_id", "k", *[wide(samples.cast(F.col("s"), source, t), t).alias(t) for t in targets])
+
+
+for _s in AS_SQL:
+    _grid(_s)
+
+
 @query("cast_round_trip", f"WITH {PCM_SQL} SELECT stream_id, k, v AS through_flt, v AS through_dbl, v AS through_s32, (v >> 8) * 256 AS through_u8 FROM pcm")
 def cast_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     through = lambda f: samples.cast(samples.cast(F.col("v"), "s16", f), f, "s16")
