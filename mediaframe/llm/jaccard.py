@@ -37,10 +37,12 @@ from mediaframe.llm.common import LOWER, blocks, chunks, components, forest, gro
 from mediaframe.session import map_arrow
 
 SIZE, NUM, DEN = 3, 90, 100
-FREQUENT = 200_000
+FREQUENT = 1_000_000
+#: Shingles among which a task counts those that occur twice or more.
+COUNTED = 2_000_000
 #: Rows of a list, and sets of a group, that are compared as one block.
 LIST_BLOCK, GROUP_BLOCK = 2048, 512
-#: Words of a sketch: about a bit for each shingle, at least 64 and at most 2 ** 16.
+#: log2 of a sketch's bits, at least and at most.
 LEAST_BITS, MOST_BITS = 6, 16
 
 
@@ -87,12 +89,13 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -((-num * n) // den) + 1
 
 
-def bits(n: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, int(n - 1).bit_length()))
+def bits(n: int, num: int, den: int) -> int:
+    """log2 of the bits of a set's sketch: about a bit for each shingle, or for two where linked sets differ in few."""
+    return min(MOST_BITS, max(LEAST_BITS, int(n - 1).bit_length() - (8 * num >= 7 * den)))
 
 
-def sketch(x: np.ndarray) -> bytes:
-    b = bits(len(x))
+def sketch(x: np.ndarray, num: int, den: int) -> bytes:
+    b = bits(len(x), num, den)
     at = (mix(x + np.uint64(0x77)) & np.uint64((1 << b) - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=1 << b) & 1).astype(np.uint8)).tobytes()
 
@@ -119,28 +122,33 @@ def forest_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SETS = "row int, key long, n long, name long, check long, sketch binary"
 
 
-def describe(documents: DataFrame, size: int) -> DataFrame:
+def describe(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Rows 0: a document's set (key, n, name, check, sketch). Rows 1: a shingle (name) and its count (n) in some of the texts."""
 
+    def rows(kind: int, key, n, name, check, sketches) -> pa.RecordBatch:
+        arrays = [pa.array(np.full(len(name), kind, np.int32)), key, pa.array(n), pa.array(name), pa.array(check), pa.array(sketches, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["row", "key", "n", "name", "check", "sketch"])
+
+    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate(held), return_counts=True)
+        token, count = token[count > 1].view(np.int64), count[count > 1]
+        zero = np.zeros(len(token), np.int64)
+        return rows(1, pa.array(zero), count, token, zero, [None] * len(token))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size_held = [], 0
         for batch in chunks(batches, "text"):
             sets = shingle_sets(batch, size)
             names = [set_name(x) for x in sets]
-            m = len(sets)
-            every = np.concatenate(sets) if m else np.zeros(0, np.uint64)
-            token, count = np.unique(every, return_counts=True)
-            often = count > 1
-            token, count = token[often].view(np.int64), count[often]
-            zero = np.zeros(len(token), np.int64)
-            arrays = [
-                pa.array(np.concatenate([np.zeros(m, np.int32), np.ones(len(token), np.int32)])),
-                pa.concat_arrays([batch.column("key"), pa.array(zero)]),
-                pa.array(np.concatenate([np.array([len(x) for x in sets], np.int64), count])),
-                pa.array(np.concatenate([np.array([a for a, _ in names], np.int64), token])),
-                pa.array(np.concatenate([np.array([b for _, b in names], np.int64), zero])),
-                pa.array([sketch(x) if len(x) else None for x in sets] + [None] * len(token), pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["row", "key", "n", "name", "check", "sketch"])
+            length = np.array([len(x) for x in sets], np.int64)
+            yield rows(0, batch.column("key"), length, np.array([a for a, _ in names], np.int64), np.array([b for _, b in names], np.int64), [sketch(x, num, den) if len(x) else None for x in sets])
+            held += sets
+            size_held += int(length.sum())
+            if size_held > COUNTED:
+                yield counts(held)
+                held, size_held = [], 0
+        if held:
+            yield counts(held)
 
     return map_arrow(documents, run, SETS)
 
@@ -210,14 +218,14 @@ def candidates(num: int, den: int):
     """For mapInArrow over list rows: spanning forests (a, b) of the pairs that the bounds leave."""
 
     def pairs_of(at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs i < j within each group, a few million at a time."""
+        """Index pairs i < j within each group, half a million at a time."""
         sizes = np.diff(at)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         after = at[1:][owner] - 1 - np.arange(at[-1])  # how many follow in the group
         edges = np.concatenate([[0], np.cumsum(after)])
         i = 0
         while i < len(after):
-            j = max(i + 1, int(np.searchsorted(edges, edges[i] + 2_000_000, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(edges, edges[i] + 500_000, "right")) - 1)
             left = np.repeat(np.arange(i, j), after[i:j])
             right = left + 1 + np.arange(len(left)) - np.repeat(edges[i:j] - edges[i], after[i:j])
             yield left, right
@@ -251,8 +259,9 @@ def candidates(num: int, den: int):
                     if size not in matrices:
                         matrices[size] = folded(sketches, width, int(size))
                     m, rows = matrices[size]
-                    for s in range(0, len(some), 200_000):
-                        k = some[s : s + 200_000]
+                    step = max(1, (4 << 20) // int(size))
+                    for s in range(0, len(some), step):
+                        k = some[s : s + step]
                         differ = np.bitwise_count(m[rows[a[k]]] ^ m[rows[b[k]]]).sum(axis=1, dtype=np.int64)
                         k = k[differ <= most[k]]
                         a_all.append(a[k]), b_all.append(b[k])
@@ -346,19 +355,19 @@ def group_links(tokens: np.ndarray, at: np.ndarray, num: int, den: int) -> np.nd
 def similar_sets(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
     """(key, n_shingles, component_id) for every document."""
     docs = one_column(documents, key=key, text=text).withColumn("key", F.col("key").cast("long"))
-    told = materialize(describe(docs, size), "sets")
+    told = materialize(describe(docs, size, num, den), "sets")
     own = told.where("row = 0").select("key", "n", "name", "check", "sketch")
     some = own.where("n > 0 AND key IS NOT NULL")
     reps = some.groupBy("name").agg(F.min("key").alias("rep"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = materialize(reps, "reps")
     if not reps.where("c0 <> c1").isEmpty():
         raise RuntimeError("two sets have one 64-bit name; choose other constants in set_name")
-    total = reps.agg(F.sum("n")).first()[0] or 0
-    often = told.where("row = 1").groupBy("name").agg(F.sum("n").alias("c")).where(F.col("c") * FREQUENT >= F.greatest(F.lit(total), F.lit(16 * FREQUENT)))
-    pairs = often.orderBy(F.desc("c"), "name").limit(FREQUENT).toPandas()  # at most FREQUENT rows of two longs
-    frequent = pairs["name"].to_numpy(np.int64).view(np.uint64)
+    total = own.agg(F.sum("n")).first()[0] or 0
+    often = told.where("row = 1").groupBy("name").agg(F.sum("n").alias("c")).where(F.col("c") * FREQUENT > F.greatest(F.lit(total), F.lit(15 * FREQUENT)))
+    pairs = often.toArrow()  # at most FREQUENT rows of two longs, by the sum of all counts
+    frequent = np.asarray(pairs.column("name")).view(np.uint64)
     order = np.argsort(frequent)
-    lists = postings(docs, size, num, den, frequent[order], pairs["c"].to_numpy(np.int64)[order])
+    lists = postings(docs, size, num, den, frequent[order], np.asarray(pairs.column("c"))[order])
     lists = map_arrow(lists.repartition("token").sortWithinPartitions("token", "name"), shared_postings, lists.schema)
     lists = materialize(lists, "lists")
     rows = blocks(lists, ["token"], "name", LIST_BLOCK).join(reps.select("name", "sketch"), "name")
