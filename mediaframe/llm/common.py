@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a Python worker handles at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Rows up to which a side of a join may be broadcast; each row has a few longs at most.
 BROADCAST_ROWS = 200_000
 
