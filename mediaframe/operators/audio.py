@@ -42,8 +42,11 @@ def select_channels(pcm: DataFrame, mapping: list[int], fmt: str = "s16") -> Dat
     """Output channel i is input channel mapping[i]; -1 is silence."""
     m = F.broadcast(pcm.sparkSession.createDataFrame([(i, c) for i, c in enumerate(mapping)], "out int, src int"))
     picked = pcm.join(m, pcm["ch"] == m["src"]).select("stream_id", "k", F.col("out").alias("ch"), "v")
-    silent = pcm.select("stream_id", "k").distinct().join(m.where("src < 0")).select("stream_id", "k", F.col("out").alias("ch"), F.lit(samples.silence(fmt)).cast(pcm.schema["v"].dataType).alias("v"))
-    return picked.unionByName(silent) if -1 in mapping else picked
+    if -1 not in mapping:
+        return picked
+    empty = F.explode(F.array(*[F.lit(i) for i, c in enumerate(mapping) if c < 0])).alias("ch")
+    silent = pcm.select("stream_id", "k").distinct().select("stream_id", "k", empty, F.lit(samples.silence(fmt)).cast(pcm.schema["v"].dataType).alias("v"))
+    return picked.unionByName(silent)
 
 
 def interleave(pcm: DataFrame, channels: int) -> DataFrame:

@@ -207,3 +207,22 @@ def test_streaming_is_batch(spark, tmp_path):
     got = {(r.n, bytes(r.planes[0])) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {(r.n, bytes(r.planes[0])) for r in filter_video(df, Video("gray", 8, 8), "hflip,crop=4:4")[0].collect()}
     assert got == want
+
+
+def test_silent_channels(spark):
+    from mediaframe.operators import audio
+
+    df = spark.createDataFrame([(1, k, ch, k * 10 + ch) for k in range(3) for ch in range(2)], "stream_id long, k long, ch int, v int")
+    got = {(r.k, r.ch): r.v for r in audio.select_channels(df, [1, -1, 0], "u8").collect()}
+    assert got == {(k, ch): [k * 10 + 1, 128, k * 10][ch] for k in range(3) for ch in range(3)}
+    assert audio.select_channels(df, [0]).count() == 3
+
+
+def test_overdriven_floats_wrap_before_they_clip(spark):
+    from pyspark.sql import functions as F
+
+    from mediaframe.functions import samples
+
+    df = spark.createDataFrame([(float(2**28),), (1.5,), (-1.5,), (float("nan"),)], "v double")
+    got = df.select(samples.cast(F.col("v"), "dbl", "u8").alias("u8"), samples.cast(F.col("v"), "dbl", "s16").alias("s16"), samples.cast(F.col("v"), "dbl", "s32").alias("s32"), samples.cast(F.col("v"), "dbl", "s64").alias("s64")).collect()
+    assert [tuple(r) for r in got] == [(128, 0, 2**31 - 1, 2**63 - 1), (255, 32767, 2**31 - 1, 2**63 - 1), (0, -32768, -(2**31), -(2**63)), (128, 0, 0, 0)]
