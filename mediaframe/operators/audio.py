@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from mediaframe.functions import layouts, samples
-from mediaframe.functions.fir import Bank, bank, resample as resample_signal
+from mediaframe.functions.fir import bank
 from mediaframe.session import ship
 
 
@@ -54,18 +52,49 @@ def interleave(pcm: DataFrame, channels: int) -> DataFrame:
     return pcm.select("stream_id", F.floor(F.col("k") / channels).alias("k"), F.pmod("k", F.lit(channels)).cast("int").alias("ch"), "v")
 
 
-def resample(pcm: DataFrame, in_rate: int, out_rate: int, **options) -> DataFrame:
-    """Rate conversion of whole signals: a task takes one channel of one stream at a time."""
+#: Output samples that a task makes at a time.
+BLOCK = 1 << 16
+
+
+def resample(pcm: DataFrame, in_rate: int, out_rate: int, block: int = BLOCK, **options) -> DataFrame:
+    """Rate conversion, split by ranges of output samples: a block gets its source samples and as many beside them as the
+    filter is long (those at a block's edge go to two blocks), so that a signal of any length is made by many tasks."""
     ship(pcm.sparkSession)
     b = bank(out_rate, in_rate, **options)
+    size = pcm.groupBy("stream_id", "ch").agg(F.count("*").alias("size"))
+    rows = pcm.join(size, ["stream_id", "ch"])
+    tail = F.floor((F.least("size", F.lit(b.length)) + 1) / 2)
+    outputs = F.ceil(((1 + F.col("size") + tail - b.length) * b.phases - b.start) * b.source_step / F.lit(b.target_step))
+    # the outputs that read sample k, one more on either side for rounding; the ends are mirrored, so their blocks get them too
+    of = lambda k: (k * b.phases - b.start) * b.source_step / F.lit(b.target_step)
+    low = F.greatest(F.floor((of(F.col("k") - b.length) - 1) / block), F.lit(0))
+    last = F.floor((outputs - 1) / block)
+    high = F.when(F.col("k") >= F.col("size") - 3 * b.length, last).otherwise(F.least(F.floor((of(F.col("k") + 1) + 1) / block), last))
+    low = F.when(F.col("k") <= b.length, F.lit(0)).otherwise(F.least(low, high))
+    rows = rows.where(outputs > 0).select("stream_id", "ch", "k", F.col("v").cast("double").alias("v"), "size", outputs.cast("long").alias("outputs"), F.explode(F.sequence(low.cast("long"), high.cast("long"))).alias("block"))
 
     def work(table: pa.Table) -> pa.Table:
-        k, v = np.asarray(table.column("k")), np.asarray(table.column("v"))
-        out = resample_signal(v[np.argsort(k, kind="stable")], b)
-        n = len(out)
-        return pa.table({"stream_id": pa.array([table.column("stream_id")[0].as_py()] * n, pa.int64()), "k": np.arange(n, dtype=np.int64), "ch": pa.array([table.column("ch")[0].as_py()] * n, pa.int32()), "v": out})
-
-    return pcm.groupBy("stream_id", "ch").applyInArrow(work, "stream_id long, k long, ch int, v double")
+        column = lambda c: np.asarray(table.column(c).combine_chunks())
+        k, v = column("k"), column("v")
+        order = np.argsort(k, kind="stable")
+        k, v = k[order], v[order]
+        n, total, at = int(column("size")[0]), int(column("outputs")[0]), int(column("block")[0]) * block
+        o = np.arange(at, min(total, at + block))
+        out = np.empty(len(o))
+        for i in range(0, len(o), 16384):
+            first, phase, fraction = b.places(o[i : i + 16384])
+            read = first[:, None] + np.arange(b.length)
+            read = np.where(read < 0, -read, np.where(read >= n, 2 * n - 1 - read, read))
+            place = np.clip(np.searchsorted(k, read), 0, len(k) - 1)
+            window = np.where(k[place] == read, v[place], 0.0)  # shorter signals than the filter read zeros
+            value = (window * b.taps[phase]).sum(axis=1)
+            if b.blends:
+                value += ((window * b.taps[phase + 1]).sum(axis=1) - value) * fraction / b.source_step
+            out[i : i + len(value)] = value
+        m = len(o)
+        return pa.table({"stream_id": pa.array(np.full(m, column("stream_id")[0])), "k": pa.array(o), "ch": pa.array(np.full(m, column("ch")[0], np.int32)), "v": pa.array(out)})
+
+    return rows.groupBy("stream_id", "ch", "block").applyInArrow(work, "stream_id long, k long, ch int, v double")
 
 
 def resample_rows(pcm: DataFrame, in_rate: int, out_rate: int, **options) -> DataFrame:

@@ -189,6 +189,11 @@ def test_resampler_forms_agree(spark):
     plain = whole(x, b)
     assert rows.keys() == signal.keys() == set(range(len(plain)))
     assert np.allclose([rows[k] for k in range(len(plain))], plain) and np.allclose([signal[k] for k in range(len(plain))], plain)
+    for block in (7, 50, 1000):
+        parts = {r.k: r.v for r in audio.resample(df, 48000, 32000, block=block).collect()}
+        assert parts.keys() == signal.keys() and np.allclose([parts[k] for k in range(len(plain))], plain)
+    odd = {r.k: r.v for r in audio.resample(df, 48000, 44100, block=64).collect()}
+    assert np.allclose([odd[k] for k in range(len(odd))], whole(x, bank(44100, 48000)))
     middle = plain[60:200]
     assert np.abs(middle - np.sin((np.arange(60, 200) * 1.5) / 7.0) * 1000).max() < 5
     assert len(whole(np.zeros(48000), bank(44100, 48000))) == 44100
