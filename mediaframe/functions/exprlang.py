@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
+from mediaframe.errors import MediaError
+
 ARITY = {"min": 2, "max": 2, "mod": 2, "floor": 1, "ceil": 1, "trunc": 1, "round": 1, "abs": 1, "clip": 3}
 TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?)|([A-Za-z_]\w*)|([-+*/^(),]))")
 DEPTH = 100
@@ -28,7 +30,7 @@ class Node:
         return ({self.value} if self.kind == "name" else set()).union(*(a.names() for a in self.args))  # type: ignore[arg-type]
 
 
-class ExpressionError(ValueError):
+class ExpressionError(MediaError):
     pass
 
 

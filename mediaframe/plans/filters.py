@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from mediaframe.errors import MediaError
 from mediaframe.functions import exprlang, picture
 from mediaframe.functions.kernels import ALIASES as KERNEL_ALIASES, KERNELS
 from mediaframe.functions.picture import Planes, Video
@@ -17,7 +18,7 @@ from mediaframe.plans.language import parse_options, split_list
 Apply = Callable[[Planes, float, float], Planes]
 
 
-class FilterError(ValueError):
+class FilterError(MediaError):
     pass
 
 

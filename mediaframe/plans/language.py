@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from mediaframe.errors import MediaError
+
 SPACES = " \n\t\r"
 KEY = re.compile(r"\s*([A-Za-z0-9_/.-]+)\s*=")
 
 
-class LanguageError(ValueError):
+class LanguageError(MediaError):
     pass
 
 

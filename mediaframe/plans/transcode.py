@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from mediaframe.errors import MediaError
 from mediaframe.functions import layouts, samples
 from mediaframe.functions.picture import Video
 from mediaframe.functions.rational import Rational, display_aspect, from_float, reduce, time_string
@@ -17,7 +18,7 @@ from mediaframe.plans.graph import filter_video
 from mediaframe.sources import containers as c, media
 
 
-class OptionError(ValueError):
+class OptionError(MediaError):
     pass
 
 

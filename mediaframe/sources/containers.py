@@ -6,12 +6,13 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+from mediaframe.errors import MediaError
 from mediaframe.functions.layouts import Layout
 from mediaframe.functions.picture import Video
 from mediaframe.functions.rational import Rational, reduce
 
 
-class ContainerError(ValueError):
+class ContainerError(MediaError):
     pass
 
 

@@ -20,8 +20,12 @@ from mediaframe.session import map_arrow
 from mediaframe.sources import containers as c
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", F.xxhash64("path").alias("stream_id"), "content")
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def _files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    found = spark.readStream.format("binaryFile").schema(FILES).load(path) if stream else spark.read.format("binaryFile").load(path)
+    return found.select("path", F.xxhash64("path").alias("stream_id"), "content")
 
 
 def head(spark: SparkSession, path: str, size: int = 65536) -> tuple[str, bytes]:
@@ -32,8 +36,8 @@ def head(spark: SparkSession, path: str, size: int = 65536) -> tuple[str, bytes]
     return row["path"], bytes(row["head"])
 
 
-def read_video(spark: SparkSession, path: str, format: str | None = None, pix_fmt: str = "yuv420p", size: tuple[int, int] | None = None, framerate: c.Rational = c.Rational(25, 1)) -> tuple[DataFrame, Video]:
-    """(FRAME rows, their type) of Y4M or raw video files; raw video needs a size."""
+def read_video(spark: SparkSession, path: str, format: str | None = None, pix_fmt: str = "yuv420p", size: tuple[int, int] | None = None, framerate: c.Rational = c.Rational(25, 1), stream: bool = False) -> tuple[DataFrame, Video]:
+    """(FRAME rows, their type) of Y4M or raw video files; raw video needs a size. stream: files that arrive later are read as they do."""
     name, first = head(spark, path)
     kind = c.pick(name, first, format)
     if kind == "y4m":
@@ -61,7 +65,7 @@ def read_video(spark: SparkSession, path: str, format: str | None = None, pix_fm
                 if rows:
                     yield _frame_batch(stream, rows)
 
-    return map_arrow(_files(spark, path), run, FRAME), video
+    return map_arrow(_files(spark, path, stream), run, FRAME), video
 
 
 def _frame_batch(stream: int, rows: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:

@@ -19,3 +19,21 @@ def test_choice():
     assert plan("format=gray|rgb24|yuv420p", v).target.pix_fmt == "yuv420p"
     assert plan("noformat=yuv420p|gray,null", v).target.pix_fmt == "rgb24"
     assert plan("scale=8:8,format=bgr24,hflip", v).describe().endswith("-> Parsed_hflip_2: bgr24 8x8")
+
+
+def test_errors_and_levels():
+    import logging
+
+    import pytest
+
+    from mediaframe.errors import MediaError, log, set_level
+    from mediaframe.functions.exprlang import parse as expression
+    from mediaframe.plans.language import parse
+
+    for bad in (lambda: parse(""), lambda: expression("1+", set()), lambda: plan("nope", Video("gray", 2, 2))):
+        with pytest.raises(MediaError):
+            bad()
+    wanted = {"quiet": logging.CRITICAL + 1, "error": logging.ERROR, "warning": logging.WARNING, "info": logging.INFO, "trace": logging.DEBUG}
+    for name, level in wanted.items():
+        set_level(name)
+        assert log.level == level, name

@@ -231,3 +231,21 @@ def test_overdriven_floats_wrap_before_they_clip(spark):
     df = spark.createDataFrame([(float(2**28),), (1.5,), (-1.5,), (float("nan"),)], "v double")
     got = df.select(samples.cast(F.col("v"), "dbl", "u8").alias("u8"), samples.cast(F.col("v"), "dbl", "s16").alias("s16"), samples.cast(F.col("v"), "dbl", "s32").alias("s32"), samples.cast(F.col("v"), "dbl", "s64").alias("s64")).collect()
     assert [tuple(r) for r in got] == [(128, 0, 2**31 - 1, 2**63 - 1), (255, 32767, 2**31 - 1, 2**63 - 1), (0, -32768, -(2**31), -(2**63)), (128, 0, 0, 0)]
+
+
+def test_files_that_arrive_later(spark, tmp_path):
+    v = Video("gray", 4, 2)
+    put = lambda name, n: (tmp_path / name).write_bytes(c.y4m_write_header(v) + b"".join(b"FRAME\n" + bytes([n + i] * 8) for i in range(n)))
+    put("a.y4m", 2)
+    df, got = media.read_video(spark, str(tmp_path / "*.y4m"), stream=True)
+    assert df.isStreaming and (got.pix_fmt, got.width) == ("gray", 4)
+    out, _ = filter_video(df, got, "vflip")
+
+    def run():
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return spark.read.parquet(str(tmp_path / "out")).count()
+
+    assert run() == 2
+    put("b.y4m", 3)
+    assert run() == 5
