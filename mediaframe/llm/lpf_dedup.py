@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from mediaframe.llm.common import BYTE_WORDS, chunks, grouped, one_column, pack_groups, span_hashes, utf8
-from mediaframe.llm.repeats import covered_mask, find_candidates, intervals_by_document, requests_by_document
+from mediaframe.llm.repeats import covered_mask, find_candidates, intervals_by_document, requests_by_document, settled
 from mediaframe.session import map_arrow
 
 LENGTH, GRAM = 50, 20
@@ -136,7 +136,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     """(key, n_bytes, kept binary, spans array<struct<start,end>>) for every document; spans are the maximal removed runs."""
     every = one_column(documents, key=key, text=text).withColumn("key", F.col("key").cast("long"))
     docs = every.where("key IS NOT NULL")
-    spans = find_spans(docs, length, gram)
+    spans = settled(find_spans(docs, length, gram), "spans")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -169,3 +169,21 @@ def op6_columns(out: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return op6_columns(remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+ORACLE = r"""
+WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS w FROM (SELECT doc_id, h, unnest(generate_series(1, len(h) // 2 - 49)) AS i FROM doc WHERE len(h) >= 100)),
+first AS (SELECT w, min(doc_id) AS m FROM win GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT DISTINCT doc_id, i FROM win JOIN first USING (w) WHERE doc_id > m),
+edge AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT doc_id, min(i) AS s, max(i) + 49 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM edge) GROUP BY doc_id, g),
+piece AS (
+  SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before, lead(s) OVER (PARTITION BY doc_id ORDER BY s) IS NULL AS last FROM run),
+kept AS (
+  SELECT doc_id, sum(e - s + 1) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (s - before - 1)) || CASE WHEN last THEN substr(h, 2 * e + 1) ELSE '' END, '' ORDER BY s) AS k
+  FROM piece JOIN doc USING (doc_id) GROUP BY 1)
+SELECT doc_id, cast(len(h) // 2 AS bigint) AS n_bytes, cast(coalesce(n_removed, 0) AS bigint) AS n_removed, cast(coalesce(n_spans, 0) AS bigint) AS n_spans,
+       sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""

@@ -18,6 +18,7 @@ Anchors that no two documents share end here. The number of buckets follows from
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from mediaframe.llm.common import chunks, materialize, mix, span_hashes
 from mediaframe.session import map_arrow
 
 #: Bytes of text for each bucket, and stretches that a task holds before it sends.
-BUCKET_BYTES, HELD = 16 << 20, 1_200_000
+BUCKET_BYTES, HELD = 16 << 20, 800_000
 #: Requests of one anchor beyond which its windows are dealt one by one, by their own hashes.
 WIDE = 20_000
 #: Symbols and offsets of a batch's texts: (values, n + 1 offsets).
@@ -37,8 +38,10 @@ Symbols = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of what has been written to the shared folder."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def gram_hashes(values: np.ndarray, gram: int) -> np.ndarray:
@@ -103,18 +106,33 @@ def stretches(values: np.ndarray, at: np.ndarray, length: int, gram: int) -> dic
     }
 
 
-COLUMNS = (("anchor", np.uint64), ("content", np.uint64), ("doc", np.int64), ("first", np.int32), ("count", np.int16))
+#: Bytes of an anchor's hash that are sent: with the bucket's number they tell anchors apart well enough to ask for a closer look.
+COLUMNS = (("anchor", np.uint64), ("content", np.uint64), ("doc", np.int64), ("first", np.int64), ("count", np.int64))
+SENT = {"anchor": 5, "content": 8, "doc": 8, "first": 4, "count": 2}
 
 
 def pack(part: dict[str, np.ndarray]) -> bytes:
-    return np.int64(len(part["doc"])).tobytes() + b"".join(part[c].astype(k).tobytes() for c, k in COLUMNS)
+    """The columns, each as planes of bytes, so that high bytes that hardly vary are compressed away; `first` as differences."""
+    first = part["first"].astype(np.int64)
+    first = np.diff(first, prepend=0) & 0xFFFFFFFF
+    out = [np.int64(len(first)).tobytes()]
+    for c, width in SENT.items():
+        values = first if c == "first" else part[c]
+        planes = np.ascontiguousarray(values).astype(np.uint64 if values.dtype == np.uint64 else np.int64).view(np.uint8).reshape(-1, 8)
+        out.append(np.ascontiguousarray(planes[:, :width].T).tobytes())
+    return b"".join(out)
 
 
 def unpack(data: bytes) -> dict[str, np.ndarray]:
     n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, {}
-    for c, k in COLUMNS:
-        out[c] = np.frombuffer(data, k, n, at)
-        at += n * np.dtype(k).itemsize
+    for c, kind in COLUMNS:
+        planes = np.zeros((n, 8), np.uint8)
+        width = SENT[c]
+        planes[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+        at += n * width
+        out[c] = planes.view(kind).ravel()
+    out["first"] = np.cumsum(out["first"]) & 0xFFFFFFFF
+    out["count"] = out["count"].astype(np.uint16).astype(np.int16).astype(np.int64)
     return out
 
 
@@ -180,7 +198,7 @@ def find_candidates(docs: DataFrame, symbols: Symbols, length: int, gram: int, n
             order = np.argsort(where, kind="stable")
             edges = np.searchsorted(where[order], np.arange(buckets + 1))
             part = taken(part, np.flatnonzero(first))
-            bucket = ((part["anchor"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            bucket = ((part["anchor"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             by = np.lexsort((part["first"], part["doc"], bucket))
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
             for b in range(buckets):
@@ -251,6 +269,7 @@ def find_candidates(docs: DataFrame, symbols: Symbols, length: int, gram: int, n
     usable = docs.where("key IS NOT NULL AND text IS NOT NULL")
     sent = map_arrow(usable, send, "bucket int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     out = materialize(map_arrow(sent, resolve, OUT), name)
+    del sent
     release(docs.sparkSession)
     return out
 
@@ -262,11 +281,38 @@ def requests_by_document(candidates: DataFrame) -> DataFrame:
 
 
 def intervals_by_document(*parts: DataFrame) -> DataFrame:
-    """(doc, spans): array of (first, count) of all intervals of each document."""
+    """(doc, spans): array of (first, count), the union of all intervals of each document, in order."""
     every = parts[0].select("doc", "first", "count")
     for p in parts[1:]:
         every = every.unionByName(p.select("doc", "first", "count"))
-    return every.groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("spans"))
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("first", pa.int32()), ("count", pa.int32())])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("spans")
+            flat = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+            first, count = (np.asarray(flat.field(c)).astype(np.int64) for c in ("first", "count"))
+            row, low, high = merged(row, first, first + count)
+            spans = pa.StructArray.from_arrays([pa.array(low.astype(np.int32)), pa.array((high - low).astype(np.int32))], fields=list(kind))
+            at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.ListArray.from_arrays(pa.array(at), spans)], ["doc", "spans"])
+
+    return map_arrow(every.groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("spans")), unite, "doc long, spans array<struct<first:int,count:int>>")
+
+
+#: Documents with intervals, and intervals in all, up to which they are broadcast to the texts.
+BROADCAST_SPANS = 4_000_000
+
+
+def settled(spans: DataFrame, name: str) -> DataFrame:
+    """The intervals of documents, written, and broadcast if they are counted to be few; else for a shuffled join."""
+    done = materialize(spans, name)
+    release(done.sparkSession)
+    rows, total = done.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    return F.broadcast(done) if 8 * rows + total <= BROADCAST_SPANS else done
 
 
 def covered_mask(size: int, first: np.ndarray, count: np.ndarray) -> np.ndarray:
