@@ -197,3 +197,16 @@ def same_info(reps: DataFrame, sums: DataFrame, component: DataFrame) -> DataFra
 def op10_embed_dedup(spark, sf_dir: str) -> DataFrame:
     found = find_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+ORACLE = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, cast(embedding AS double[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+SELECT vec_id, cast(coalesce(n, 0) AS bigint) AS n_links, cast(least(vec_id, coalesce(m, vec_id)) AS bigint) AS component_id, least(vec_id, coalesce(m, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN (SELECT x, count(*) AS n FROM link GROUP BY 1) l ON l.x = vec_id LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY 1) r ON r.x = vec_id
+"""

@@ -28,6 +28,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filter": url_filter.ORACLE,
         "op4_jaccard_join": jaccard.ORACLE,
+        "op6_suffix_dedup": lpf_dedup.ORACLE,
         "op8_tree_dedup": tree_dedup.ORACLE,
         "op9_decontaminate": decontaminate.ORACLE,
+        "op10_embed_dedup": embed_dedup.ORACLE,
     }
