@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from mediaframe.llm.common import chunks, grouped, materialize, maybe_broadcast, one_column, pack_groups, span_hashes, utf8, word_hashes, words_of
-from mediaframe.llm.repeats import find_candidates, intervals_by_document, requests_by_document
+from mediaframe.llm.repeats import find_candidates, intervals_by_document, requests_by_document, settled
 from mediaframe.session import map_arrow
 
-LENGTH, GRAM = 13, 4
+LENGTH, GRAM = 13, 6
 #: Suffixes that a prefix's group may have before its prefix is made longer.
 GROUP = 20_000
 #: Lengths of prefixes, besides the window's.
@@ -95,15 +95,17 @@ def find_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     prefixes = "".join(f"p{k} long, " for k in levels)
     suffixes = map_arrow(docs.join(asked, docs["key"] == asked["doc"]).select("key", "text", "asked"), cut, f"doc long, first int, {prefixes}words array<long>")
     suffixes = materialize(suffixes, "suffixes")
-    rest, parts = suffixes, []
+    keyed = suffixes.withColumn("prefix", F.lit(None).cast("long"))
+    whole = False
     for k in levels[:-1]:
-        frequent = materialize(rest.groupBy(f"p{k}").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select(F.col(f"p{k}").alias("often")), "frequent")
-        often = maybe_broadcast(frequent)
-        parts.append(rest.join(often, F.col(f"p{k}") == F.col("often"), "left_anti").select("doc", "first", F.col(f"p{k}").alias("prefix"), "words"))
+        own = F.col(f"p{k}")
+        frequent = keyed.where("prefix IS NULL").groupBy(own).agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
+        frequent = materialize(frequent.select(own.alias("often")), "frequent")
+        keyed = keyed.join(maybe_broadcast(frequent), own == F.col("often"), "left")
+        keyed = keyed.withColumn("prefix", F.coalesce("prefix", F.when(F.col("often").isNull(), own))).drop("often")
         if frequent.isEmpty():
-            rest = None
+            whole = True
             break
-        rest = rest.join(often, F.col(f"p{k}") == F.col("often"), "left_semi")
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in pack_groups(grouped(batches, ["prefix"]), 40_000):
@@ -120,12 +122,11 @@ def find_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(first[hit].astype(np.int32)), pa.array(depth[hit].astype(np.int32))], ["doc", "first", "count"])
 
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = keyed.where("prefix IS NOT NULL").select("doc", "first", "prefix", "words")
     repeats = map_arrow(every.repartition("prefix").sortWithinPartitions("prefix"), trees, "doc long, first int, count int")
-    if rest is not None:
+    if not whole:
         window = f"p{length}"
+        rest = keyed.where("prefix IS NULL")
         least = rest.groupBy(window).agg(F.min("doc").alias("least"))
         same = rest.join(least, window).where("doc > least").select("doc", "first", F.lit(length).alias("count"))
         repeats = repeats.unionByName(same)
@@ -136,7 +137,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     """(key, n_words, n_removed, kept) for every document; kept is its other words, joined by one space."""
     every = one_column(documents, key=key, text=text).withColumn("key", F.col("key").cast("long"))
     docs = every.where("key IS NOT NULL")
-    spans = find_spans(docs, length, gram)
+    spans = settled(find_spans(docs, length, gram), "spans")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
