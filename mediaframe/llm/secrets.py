@@ -1,12 +1,15 @@
 r"""Secret scan: candidates by rule, false positives removed by a random forest; DataFrame and JVM code only.
 
-A candidate is a word (white space separates) with a run of at least ``LEAST`` characters of ``[A-Za-z0-9+/_-]`` that has a
-digit, or that follows a key and ``=`` or ``:`` (in its word or the one before). Its features are its length; its character
+A candidate is a run of at least ``LEAST`` characters of ``[A-Za-z0-9+/_-]`` that has a digit, or whose word (white space
+separates) or the word before holds a key. A word may have many (JSON without spaces, URLs, connection strings): each is a
+candidate of its own, told apart by ``run_index``, its number among the word's runs, and is judged by what stands between it
+and the runs next to it; only the outer ones see the neighbouring words. Its features are its length; its character
 transitions (between classes, and between vowels and consonants), shares of classes and of distinct characters; the share
 that dictionary words cover; its path (of the candidate itself, and of its document); and its neighbouring words (keys,
-words that mark placeholders, words that mark digests).
+words that mark placeholders, words that mark digests); whether it follows ``=`` or ``:`` directly, and precedes ``@``.
 
-The forest is trained from labelled findings: rows (before, word, after, path, label). Without own findings, ``findings()``
+The forest is trained from labelled findings: rows (before, word, after, path, label); a column ``value`` may name the run
+that is meant, else the label holds for all runs of the word. Without own findings, ``findings()``
 makes a labelled set by rules: keys, tokens and passwords of random characters, against placeholders, digests, identifiers,
 paths and long words. The forest has ``TREES`` trees of depth ``DEPTH``; its seed is fixed and its training rows are in one
 partition, so it is the same each time.
@@ -50,12 +53,12 @@ DICTIONARY = (
 
 FEATURES = (
     "length", "transitions", "digits", "upper", "hex", "distinct", "vowel_changes", "runs", "covered",
-    "slashes", "dashes", "path", "key", "placeholder", "digest", "assigned", "known",
+    "slashes", "dashes", "path", "key", "placeholder", "digest", "assigned", "known", "bound", "at",
 )
 
 
 def candidates(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """(key, word_index, before, word, after, path): the candidates with their neighbours."""
+    """(key, word_index, before, word, after, path, run_index, left, value, right): the candidates with their neighbours."""
     docs = one_column(documents, key=key, text=text, **({"path": path} if path else {}))
     docs = docs.withColumn("path", F.coalesce("path", F.lit("")) if path else F.lit(""))
     # the filter sees the place of a word, so that its neighbours come along; most words end at the test of their length
@@ -68,7 +71,35 @@ def candidates(documents: DataFrame, key: str = "doc_id", text: str = "text", pa
     )
     row = lambda i: F.struct(i.alias("word_index"), F.coalesce(F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1)), F.lit("")).alias("before"), F.get("w", i).alias("word"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("after"))
     found = words.where("size(w) > 0").select("key", "path", F.explode(F.transform(at, row)).alias("c"))
-    return found.select("key", "c.*", "path")
+    return with_values(found.select("key", "c.*", "path"), True)
+
+
+def with_values(found: DataFrame, likely: bool = False) -> DataFrame:
+    """One row for each run of `word`: adds run_index, left, value and right, and cuts before, word and after to what the run sees.
+
+    likely: only runs with a digit, or of words by a key. If found has `value`, only the runs equal to it, where it is not null.
+    """
+    runs, gaps = F.regexp_extract_all("word", F.lit(RUN), F.lit(1)), F.split("word", RUN, -1)
+    wanted = F.lit(True)
+    if likely:
+        keyed = F.col("word").rlike(rf"(?i)({KEYS})[\"']?[=:]") | F.col("before").rlike(rf"(?i)({KEYS})[\"']?[=:]?$")
+        wanted = keyed | F.col("__run").rlike("[0-9]")
+    if "value" in found.columns:
+        wanted = wanted & (F.col("value").isNull() | (F.col("__run") == F.col("value")))
+    keep = [c for c in found.columns if c not in ("before", "word", "after", "value", "run_index", "left", "right")]
+    rows = found.withColumn("__gaps", gaps).select("*", F.posexplode(runs).alias("run_index", "__run")).where(wanted)
+    left, right = F.get("__gaps", F.col("run_index")), F.get("__gaps", F.col("run_index") + 1)
+    last = F.col("run_index") == F.size("__gaps") - 2
+    return rows.select(
+        *keep,
+        F.when(F.col("run_index") == 0, F.col("before")).otherwise("").alias("before"),
+        F.concat(left, "__run", right).alias("word"),
+        F.when(last, F.col("after")).otherwise("").alias("after"),
+        "run_index",
+        left.alias("left"),
+        F.col("__run").alias("value"),
+        right.alias("right"),
+    )
 
 
 def count(pattern: str, of: Column) -> Column:
@@ -76,14 +107,12 @@ def count(pattern: str, of: Column) -> Column:
 
 
 def with_features(found: DataFrame) -> DataFrame:
-    """Adds `value`, the candidate run, and a double column for each of FEATURES; needs before, word, after, path."""
-    value = F.regexp_extract("word", rf"{RUN}(?!.*{RUN[1:-1]})", 1)
-    out = found.withColumn("value", value)
+    """Adds a double column for each of FEATURES; needs the columns of `with_values` and path."""
     v, n = F.col("value"), F.greatest(F.length("value"), F.lit(1))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "9")
     vowels = F.regexp_replace(F.regexp_replace(F.lower(v), "[aeiouy]", "!"), "[a-z]", "#")
     changes = lambda s: F.length(F.regexp_replace(s, r"(.)\1+", "$1")) - 1
-    around = F.lower(F.concat_ws(" ", "before", F.regexp_replace("word", RUN, " "), "after"))
+    around = F.lower(F.concat_ws(" ", "before", "left", "right", "after"))
     inside = F.lower(F.concat_ws(" ", "before", "word", "after"))
     longest = "|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=lambda w: (-len(w), w)))
     made = {
@@ -104,12 +133,14 @@ def with_features(found: DataFrame) -> DataFrame:
         "digest": around.rlike(DIGESTS).cast("int"),
         "assigned": F.col("word").rlike("[=:]").cast("int") + F.col("before").rlike("[=:]$").cast("int"),
         "known": v.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abprs]-|^sk_live_").cast("int"),
+        "bound": F.col("left").rlike(r"[=:][\\\"'`]*$").cast("int"),
+        "at": F.col("right").startswith("@").cast("int"),
     }
-    return out.select("*", *[F.coalesce(made[c].cast("double"), F.lit(0.0)).alias(f"f_{c}") for c in FEATURES])
+    return found.select("*", *[F.coalesce(made[c].cast("double"), F.lit(0.0)).alias(f"f_{c}") for c in FEATURES])
 
 
 def findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
-    """Labelled findings made by rules: (before, word, after, path, label), half of them secrets."""
+    """Labelled findings made by rules: (before, word, after, path, value, label), half of them secrets; value: the run meant."""
     i = F.col("id")
     hexa = F.lower(F.concat(*[F.sha1(F.concat_ws("-", i, F.lit(f"h{k}")).cast("binary")) for k in range(2)]))
     sixty4 = F.translate(F.base64(F.unhex(F.sha2(F.concat_ws("-", i, F.lit("b")).cast("binary"), 512))), "=\n", "")
@@ -120,36 +151,46 @@ def findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     word = lambda seed: pick(seed, *DICTIONARY)
     key = pick(2, "token", "password", "secret", "api_key", "apikey", "access_key", "auth", "pwd")
     quoted = lambda v: pick(3, F.concat(F.lit('"'), v, F.lit('"')), F.concat(F.lit("'"), v, F.lit("'")), v)
+    scheme = pick(14, "https", "postgres", "mysql", "redis", "amqp")
+    some = F.expr("substring(translate(b, '+/', 'aZ'), 20, n)")
+    place = F.concat(F.lit(".internal/"), word(24), F.lit("_"), word(25), F.lit("/"), word(26), pick(15, "_main", "-2024", "/repository", "_v2"), F.lit("/index"))
+    whole = F.lit(None).cast("string").alias("value")
     secret = pick(
         4,
-        F.struct(F.concat_ws(" ", plain, word(11)).alias("before"), F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)).alias("word")),
-        F.struct(F.concat_ws(" ", key, F.lit("=")).alias("before"), quoted(F.substring(hexa, 1, 40)).alias("word")),
-        F.struct(plain.alias("before"), F.concat(key, F.lit("="), F.expr("substring(h, 1, n)")).alias("word")),
-        F.struct(F.concat_ws(" ", F.lit("export"), key, F.lit(":")).alias("before"), quoted(F.expr("substring(b, 1, n + 12)")).alias("word")),
-        F.struct(plain.alias("before"), F.concat(F.lit("ghp_"), F.substring(F.translate(F.col("b"), "+/", "aZ"), 1, 36)).alias("word")),
+        F.struct(F.concat_ws(" ", plain, word(11)).alias("before"), F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)).alias("word"), whole),
+        F.struct(F.concat_ws(" ", key, F.lit("=")).alias("before"), quoted(F.substring(hexa, 1, 40)).alias("word"), whole),
+        F.struct(plain.alias("before"), F.concat(key, F.lit("="), F.expr("substring(h, 1, n)")).alias("word"), whole),
+        F.struct(F.concat_ws(" ", F.lit("export"), key, F.lit(":")).alias("before"), quoted(F.expr("substring(b, 1, n + 12)")).alias("word"), whole),
+        F.struct(plain.alias("before"), F.concat(F.lit("ghp_"), F.substring(F.translate(F.col("b"), "+/", "aZ"), 1, 36)).alias("word"), whole),
+        # a secret that is one of several runs of its word
+        F.struct(plain.alias("before"), F.concat(scheme, F.lit("://"), word(22), F.lit(":"), some, F.lit("@"), word(23), place).alias("word"), some.alias("value")),
+        F.struct(plain.alias("before"), F.concat(F.lit('{"id":"'), F.substring(hexa, 41, 20), F.lit('","'), key, F.lit('":"'), some, F.lit('"}')).alias("word"), some.alias("value")),
     )
     other = pick(
         5,
-        F.struct(F.concat_ws(" ", plain, pick(6, "commit", "sha1", "checksum", "md5", "digest", "revision")).alias("before"), F.expr("substring(h, 1, 40)").alias("word")),
-        F.struct(F.concat_ws(" ", key, F.lit("=")).alias("before"), quoted(F.concat(pick(7, "your_", "example-", "test_", "dummy-", "changeme_"), word(12), F.lit("_"), word(13), F.lit("_here1"))).alias("word")),
-        F.struct(plain.alias("before"), F.concat(F.lit("AKIA"), F.substring(upper, 1, 9), F.lit("EXAMPLE")).alias("word")),
-        F.struct(plain.alias("before"), F.expr("concat(substring(h,1,8),'-',substring(h,9,4),'-4',substring(h,13,3),'-a',substring(h,16,3),'-',substring(h,19,12))").alias("word")),
-        F.struct(plain.alias("before"), F.concat(F.lit("/usr/"), word(14), F.lit("/"), word(15), F.lit("/"), word(16), F.lit("-2.0/"), word(17)).alias("word")),
-        F.struct(plain.alias("before"), F.concat(word(18), word(19), word(20), word(21), F.lit("2024")).alias("word")),
-        F.struct(F.concat_ws(" ", key, F.lit("=")).alias("before"), F.concat(F.lit('"'), F.expr("repeat(substring('x0*a1', 1 + n % 4, 1), 20)"), F.lit('"')).alias("word")),
-        F.struct(plain.alias("before"), F.concat(F.lit("0000"), F.expr("lpad(cast(id as string), 16, '0')")).alias("word")),
+        F.struct(F.concat_ws(" ", plain, pick(6, "commit", "sha1", "checksum", "md5", "digest", "revision")).alias("before"), F.expr("substring(h, 1, 40)").alias("word"), whole),
+        F.struct(F.concat_ws(" ", key, F.lit("=")).alias("before"), quoted(F.concat(pick(7, "your_", "example-", "test_", "dummy-", "changeme_"), word(12), F.lit("_"), word(13), F.lit("_here1"))).alias("word"), whole),
+        F.struct(plain.alias("before"), F.concat(F.lit("AKIA"), F.substring(upper, 1, 9), F.lit("EXAMPLE")).alias("word"), whole),
+        F.struct(plain.alias("before"), F.expr("concat(substring(h,1,8),'-',substring(h,9,4),'-4',substring(h,13,3),'-a',substring(h,16,3),'-',substring(h,19,12))").alias("word"), whole),
+        F.struct(plain.alias("before"), F.concat(F.lit("/usr/"), word(14), F.lit("/"), word(15), F.lit("/"), word(16), F.lit("-2.0/"), word(17)).alias("word"), whole),
+        F.struct(plain.alias("before"), F.concat(word(18), word(19), word(20), word(21), F.lit("2024")).alias("word"), whole),
+        F.struct(F.concat_ws(" ", key, F.lit("=")).alias("before"), F.concat(F.lit('"'), F.expr("repeat(substring('x0*a1', 1 + n % 4, 1), 20)"), F.lit('"')).alias("word"), whole),
+        F.struct(plain.alias("before"), F.concat(scheme, F.lit("://"), word(22), F.lit(":"), some, F.lit("@"), word(23), place).alias("word"), F.regexp_extract(place, RUN, 1).alias("value")),
+        F.struct(plain.alias("before"), F.concat(F.lit("https://"), word(22), place).alias("word"), F.regexp_extract(place, RUN, 1).alias("value")),
+        F.struct(plain.alias("before"), F.concat(F.lit('{"commit":"'), F.substring(hexa, 1, 40), F.lit('","'), key, F.lit('":"'), some, F.lit('"}')).alias("word"), F.substring(hexa, 1, 40).alias("value")),
+        F.struct(plain.alias("before"), F.concat(F.lit("0000"), F.expr("lpad(cast(id as string), 16, '0')")).alias("word"), whole),
     )
     base = spark.range(rows).withColumn("h", hexa).withColumn("b", sixty4).withColumn("n", vary(8, 18, 32))
     label = F.col("id") % 2
     row = F.when(label == 1, secret).otherwise(other)
     after = pick(9, "and the", "is", "of", "", "then", "was", "in")
     path = F.when(label == 1, pick(10, "src/app.py", "config/prod.env", "src3", "src7", "deploy.yml", "tests/unit.py")).otherwise(pick(10, "tests/unit.py", "docs/readme.md", "src3", "src7", "src/app.py", "examples/demo.js"))
-    return base.select("id", row.alias("r"), after.alias("after"), path.alias("path"), label.cast("int").alias("label")).select("id", "r.before", "r.word", "after", "path", "label")
+    return base.select("id", row.alias("r"), after.alias("after"), path.alias("path"), label.cast("int").alias("label")).select("id", "r.before", "r.word", "after", "path", "r.value", "label")
 
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
     """The forest; labelled has before, word, after, path and label (0 or 1)."""
-    rows = with_features(labelled.where("label IN (0, 1)")).withColumn("label", F.col("label").cast("double")).coalesce(1)
+    rows = with_features(with_values(labelled.where("label IN (0, 1)"))).withColumn("label", F.col("label").cast("double")).coalesce(1)
     columns = [f"f_{c}" for c in FEATURES]
     gather = VectorAssembler(inputCols=columns, outputCol="features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, featureSubsetStrategy="sqrt")
@@ -157,15 +198,15 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Pipeli
 
 
 def score(found: DataFrame, model: PipelineModel) -> DataFrame:
-    """Adds `score`, the forest's share for a secret, and `value`."""
-    keep = [*found.columns, "value"]
-    return model.transform(with_features(found)).select(*keep, vector_to_array("probability")[1].alias("score"))
+    """One row for each run: adds `score`, the forest's share for a secret, and the columns of `with_values`."""
+    found = found if "run_index" in found.columns else with_values(found)
+    return model.transform(with_features(found)).select(*found.columns, vector_to_array("probability")[1].alias("score"))
 
 
 def scan(documents: DataFrame, model: PipelineModel, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """(key, word_index, value, score, secret) for every candidate; secret: score >= 0.5."""
+    """(key, word_index, run_index, value, score, secret) for every candidate; secret: score >= 0.5."""
     found = score(candidates(documents, key, text, path), model)
-    return found.select(F.col("key").alias(key), "word_index", "value", "score", (F.col("score") >= 0.5).alias("secret"))
+    return found.select(F.col("key").alias(key), "word_index", "run_index", "value", "score", (F.col("score") >= 0.5).alias("secret"))
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
