@@ -3,9 +3,17 @@ r"""Secret scan: candidates by rule, false positives removed by a random forest;
 A candidate is a run of at least ``LEAST`` characters of ``[A-Za-z0-9+/_-]`` that has a digit, or whose word (white space
 separates) or the word before holds a key. A word may have many (JSON without spaces, URLs, connection strings): each is a
 candidate of its own, told apart by ``run_index``, its number among the word's runs, and is judged by what stands between it
-and the runs next to it; only the outer ones see the neighbouring words. Its features are its length; its character
+and the runs next to it; only the outer ones see the neighbouring words.
+
+A value assigned to a key is a candidate too, from ``SHORT`` characters, whatever symbols it has: what follows a key and ``=``
+or ``:``, up to the closing quote, or, unquoted, up to white space or a separator (``& ; , |``) with another name and ``=`` or
+``:``. Closing quotes, brackets, commas and semicolons at its end are not part of it, nor is the host after a URL's user part. A quoted value may hold up to
+``QUOTED`` words; without a closing quote it ends at white space. Key, sign and value may be words of their own. Such values
+are numbered before the runs of the word; a run that is also an assigned value of its word is judged once, as the latter.
+
+The features are the length; the character
 transitions (between classes, and between vowels and consonants), shares of classes and of distinct characters; the share
-that dictionary words cover; its path (of the candidate itself, and of its document); and its neighbouring words (keys,
+that dictionary words cover; the share of other symbols; its path (of the candidate itself, and of its document); and its neighbouring words (keys,
 words that mark placeholders, words that mark digests); whether it follows ``=`` or ``:`` directly, and precedes ``@``.
 
 The forest is trained from labelled findings: rows (before, word, after, path, label); a column ``value`` may name the run
@@ -28,10 +36,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from mediaframe.llm.common import one_column
 
 LEAST = 16
+SHORT, QUOTED = 6, 16
 TREES, DEPTH, SEED = 40, 8, 11
 FINDINGS = 6000
 RUN = rf"([A-Za-z0-9+/_-]{{{LEAST},}})"
 KEYS = "password|passwd|pwd|secret|token|api_?key|apikey|access_?key|auth|credential|private_?key"
+#: A key with what may close it, the sign, and a value in or without quotes, which group 1 holds.
+NAME = rf"(?i:{KEYS})\\{{0,4}}[\"'`]?\]?"
+SIGN = r"(?::=|=>|[=:])"
+VALUE = "(" + "|".join(rf"\\{{1,4}}{q}(?:[^{q}\\]|\\[^{q}])*+\\{{1,4}}{q}|{q}(?:[^{q}\\]|\\.)*+{q}|\\{{0,4}}{q}[^{q}\s]*+" for q in "\"'")
+VALUE += r"|(?!=)(?:(?!\\{0,4}[\"']?[&;,|]\\{0,4}[\"']?[A-Za-z_][\w.-]*+\\{0,4}[\"']?[=:])\S)++)"
 PLACEHOLDERS = "example|sample|test|dummy|fake|mock|placeholder|changeme|your|redacted|xxxx|insert|todo"
 DIGESTS = "sha1|sha256|sha512|md5|commit|digest|checksum|hash|etag|uuid|guid|revision|build"
 PATHS = "test|example|sample|mock|fixture|spec|docs?/|readme"
@@ -53,7 +67,7 @@ DICTIONARY = (
 
 FEATURES = (
     "length", "transitions", "digits", "upper", "hex", "distinct", "vowel_changes", "runs", "covered",
-    "slashes", "dashes", "path", "key", "placeholder", "digest", "assigned", "known", "bound", "at",
+    "slashes", "dashes", "path", "key", "placeholder", "digest", "assigned", "known", "bound", "at", "symbols",
 )
 
 
@@ -63,45 +77,80 @@ def candidates(documents: DataFrame, key: str = "doc_id", text: str = "text", pa
     docs = docs.withColumn("path", F.coalesce("path", F.lit("")) if path else F.lit(""))
     # the filter sees the place of a word, so that its neighbours come along; most words end at the test of their length
     words = docs.select("key", "path", F.split("text", r"\s+").alias("w"))
+    before = lambda i: F.coalesce(F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1)), F.lit(""))
+    signs = lambda i: F.get("w", i).contains("=") | F.get("w", i).contains(":")
+    named = lambda i: (F.length(F.get("w", i)) >= SHORT) & (
+        (signs(i) & F.get("w", i).rlike(f"{NAME}{SIGN}"))
+        | (F.coalesce(F.get("w", i - 1), F.lit("")).rlike("[=:>]$") & before(i).rlike(rf"{NAME}\s?{SIGN}$"))
+        | (F.get("w", i).rlike(f"^{SIGN}") & before(i).rlike(f"{NAME}$"))
+    )
     at = F.filter(
         F.sequence(F.lit(0), F.size("w") - 1),
-        lambda i: (F.length(F.get("w", i)) >= LEAST)
+        lambda i: named(i)
+        | (F.length(F.get("w", i)) >= LEAST)
         & F.get("w", i).rlike(RUN)
         & (F.get("w", i).rlike(rf"(?=[A-Za-z0-9+/_-]*[0-9]){RUN}") | F.get("w", i).rlike(rf"(?i)({KEYS})[\"']?[=:]") | F.coalesce(F.get("w", i - 1), F.lit("")).rlike(rf"(?i)({KEYS})[\"']?[=:]?$")),
     )
-    row = lambda i: F.struct(i.alias("word_index"), F.coalesce(F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1)), F.lit("")).alias("before"), F.get("w", i).alias("word"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("after"))
+    row = lambda i: F.struct(i.alias("word_index"), before(i).alias("before"), F.get("w", i).alias("word"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("after"), F.array_join(F.slice("w", i + 2, QUOTED - 1), " ").alias("rest"))
     found = words.where("size(w) > 0").select("key", "path", F.explode(F.transform(at, row)).alias("c"))
     return with_values(found.select("key", "c.*", "path"), True)
 
 
 def with_values(found: DataFrame, likely: bool = False) -> DataFrame:
-    """One row for each run of `word`: adds run_index, left, value and right, and cuts before, word and after to what the run sees.
+    """One row for each assigned value and each run of `word`: adds run_index, left, value and right, and cuts before, word and
+    after to what the candidate sees. `rest`, if found has it, is the text after word, for quoted values of many words.
 
-    likely: only runs with a digit, or of words by a key. If found has `value`, only the runs equal to it, where it is not null.
+    likely: only runs with a digit, or of words by a key. If found has `value`, only candidates equal to it, where it is not null.
     """
-    runs, gaps = F.regexp_extract_all("word", F.lit(RUN), F.lit(1)), F.split("word", RUN, -1)
-    wanted = F.lit(True)
+    text = F.concat_ws(" ", "word", "rest") if "rest" in found.columns else F.col("word")
+    piece = lambda left, value, run, first: F.struct(left.alias("left"), value.alias("value"), run.cast("int").alias("run"), first.alias("first"))
+    head = rf"(\S*?{NAME}{SIGN})"
+    led = F.when(F.col("before").rlike(rf"{NAME}\s?{SIGN}$"), F.regexp_extract(text, f"^{VALUE}", 1)).when(F.col("before").rlike(f"{NAME}$"), F.regexp_extract(text, f"^{SIGN}{VALUE}", 1))
+    assigned = F.concat(
+        F.array(piece(F.lit(""), tidy(F.coalesce(led, F.lit(""))), F.lit(-1), F.lit(True))),
+        F.transform(
+            F.regexp_extract_all(text, F.lit(rf"\G{head}{VALUE}"), F.lit(0)),
+            lambda m, k: piece(F.regexp_extract(m, f"^{head}{VALUE}", 1), in_url(F.regexp_extract(m, f"^{head}{VALUE}", 1), tidy(F.regexp_extract(m, f"^{head}{VALUE}", 2))), F.lit(-1), k == 0),
+        ),
+    )
+    runs = F.transform(F.regexp_extract_all("word", F.lit(RUN), F.lit(1)), lambda v, k: piece(F.lit(""), v, k, k == 0))
+    rows = found.withColumn("__assigned", F.filter(assigned, lambda p: F.length(p["value"]) >= SHORT)).withColumn("__gaps", F.split("word", RUN, -1))
+    rows = rows.withColumn("__taken", F.transform("__assigned", lambda p: p["value"]))
+    rows = rows.withColumn("__keyed", F.col("word").rlike(rf"(?i)({KEYS})[\"']?[=:]") | F.col("before").rlike(rf"(?i)({KEYS})[\"']?[=:]?$"))
+    rows = rows.select("*", F.posexplode(F.concat("__assigned", runs)).alias("run_index", "p"))
+    own, run = F.col("p.value"), F.col("p.run")
+    rows = rows.where((run < 0) | ~F.array_contains("__taken", own))
     if likely:
-        keyed = F.col("word").rlike(rf"(?i)({KEYS})[\"']?[=:]") | F.col("before").rlike(rf"(?i)({KEYS})[\"']?[=:]?$")
-        wanted = keyed | F.col("__run").rlike("[0-9]")
+        rows = rows.where((run < 0) | F.col("__keyed") | own.rlike("[0-9]"))
     if "value" in found.columns:
-        wanted = wanted & (F.col("value").isNull() | (F.col("__run") == F.col("value")))
-    keep = [c for c in found.columns if c not in ("before", "word", "after", "value", "run_index", "left", "right")]
-    rows = found.withColumn("__gaps", gaps).select("*", F.posexplode(runs).alias("run_index", "__run")).where(wanted)
-    left, right = F.get("__gaps", F.col("run_index")), F.get("__gaps", F.col("run_index") + 1)
-    last = F.col("run_index") == F.size("__gaps") - 2
+        rows = rows.where(F.col("value").isNull() | (own == F.col("value")))
+    keep = [c for c in found.columns if c not in ("before", "word", "after", "rest", "value", "run_index", "left", "right")]
+    left = F.when(run < 0, F.col("p.left")).otherwise(F.get("__gaps", run))
+    right = F.when(run < 0, "").otherwise(F.get("__gaps", run + 1))
+    last = (run < 0) | (run == F.size("__gaps") - 2)
     return rows.select(
         *keep,
-        F.when(F.col("run_index") == 0, F.col("before")).otherwise("").alias("before"),
-        F.concat(left, "__run", right).alias("word"),
+        F.when(F.col("p.first"), F.col("before")).otherwise("").alias("before"),
+        F.concat(left, own, right).alias("word"),
         F.when(last, F.col("after")).otherwise("").alias("after"),
         "run_index",
         left.alias("left"),
-        F.col("__run").alias("value"),
+        own.alias("value"),
         right.alias("right"),
     )
 
 
+def in_url(left: Column, value: Column) -> Column:
+    """In the user part of a URL a value ends before the @ and the host."""
+    return F.when(left.rlike("://[^/]*$"), F.regexp_replace(value, "@[^@/]*(?:/.*)?$", "")).otherwise(value)
+
+
+def tidy(value: Column) -> Column:
+    """A value of VALUE without its quotes, or, unquoted, without what closes it."""
+    quoted = F.regexp_replace(F.regexp_replace(value, r"^\\{0,4}[\"']", ""), r"\\{0,4}[\"']$", "")
+    return F.when(value.rlike(r"^\\{0,4}[\"']"), quoted).otherwise(F.regexp_replace(value, r"^[`(]|[\\\"'`,;)\]}>]++$", ""))
+
+
 def count(pattern: str, of: Column) -> Column:
     return F.length(of) - F.length(F.regexp_replace(of, pattern, ""))
 
@@ -134,6 +183,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "assigned": F.col("word").rlike("[=:]").cast("int") + F.col("before").rlike("[=:]$").cast("int"),
         "known": v.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}|^xox[abprs]-|^sk_live_").cast("int"),
         "bound": F.col("left").rlike(r"[=:][\\\"'`]*$").cast("int"),
+        "symbols": count("[^A-Za-z0-9+/_-]", v) / n,
         "at": F.col("right").startswith("@").cast("int"),
     }
     return found.select("*", *[F.coalesce(made[c].cast("double"), F.lit(0.0)).alias(f"f_{c}") for c in FEATURES])
@@ -155,6 +205,13 @@ def findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     some = F.expr("substring(translate(b, '+/', 'aZ'), 20, n)")
     place = F.concat(F.lit(".internal/"), word(24), F.lit("_"), word(25), F.lit("/"), word(26), pick(15, "_main", "-2024", "/repository", "_v2"), F.lit("/index"))
     whole = F.lit(None).cast("string").alias("value")
+    short = F.expr("concat(substring(translate(b, '/+aeiKLM', '!@$.~&%#'), 1, 2 + n % 7), substring(h, 1, 2), substring(translate(b, '+/', '9Z'), 40, 2 + n % 3))")
+    spelt = F.concat(F.initcap(F.translate(word(27), "aeos", "@30$")), F.initcap(word(28)), pick(16, "!", "&", "", "#", "."), F.expr("cast(n * 7 + id % 1900 as string)"))
+    no = pick(
+        17,
+        word(29), F.concat(word(29), F.lit("_"), word(30)), F.concat(word(29), F.lit("."), word(30)), F.concat(F.lit("get"), F.initcap(word(29)), F.lit("()")), F.concat(F.lit("${"), F.upper(word(29)), F.lit("}")),
+        F.concat(F.lit("<"), word(29), F.lit(">")), F.concat(F.lit("self."), word(29), F.lit("[0]")), "undefined", "string", "required", "process.env.TOKEN", "os.environ['PASSWORD']", "********", "xxxxxxxx", "changeme1", "password123example", "00000000", "please",
+    )
     secret = pick(
         4,
         F.struct(F.concat_ws(" ", plain, word(11)).alias("before"), F.concat(F.lit("AKIA"), F.substring(upper, 1, 16)).alias("word"), whole),
@@ -164,6 +221,11 @@ def findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         F.struct(plain.alias("before"), F.concat(F.lit("ghp_"), F.substring(F.translate(F.col("b"), "+/", "aZ"), 1, 36)).alias("word"), whole),
         # a secret that is one of several runs of its word
         F.struct(plain.alias("before"), F.concat(scheme, F.lit("://"), word(22), F.lit(":"), some, F.lit("@"), word(23), place).alias("word"), some.alias("value")),
+        # short values of keys
+        F.struct(F.concat_ws(" ", plain, F.concat(key, F.lit(":"))).alias("before"), quoted(short).alias("word"), short.alias("value")),
+        F.struct(plain.alias("before"), F.concat(key, F.lit("="), quoted(short)).alias("word"), short.alias("value")),
+        F.struct(F.concat_ws(" ", key, F.lit("=")).alias("before"), quoted(spelt).alias("word"), spelt.alias("value")),
+        F.struct(plain.alias("before"), F.concat(key, F.lit("="), quoted(spelt)).alias("word"), spelt.alias("value")),
         F.struct(plain.alias("before"), F.concat(F.lit('{"id":"'), F.substring(hexa, 41, 20), F.lit('","'), key, F.lit('":"'), some, F.lit('"}')).alias("word"), some.alias("value")),
     )
     other = pick(
@@ -178,6 +240,9 @@ def findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         F.struct(plain.alias("before"), F.concat(scheme, F.lit("://"), word(22), F.lit(":"), some, F.lit("@"), word(23), place).alias("word"), F.regexp_extract(place, RUN, 1).alias("value")),
         F.struct(plain.alias("before"), F.concat(F.lit("https://"), word(22), place).alias("word"), F.regexp_extract(place, RUN, 1).alias("value")),
         F.struct(plain.alias("before"), F.concat(F.lit('{"commit":"'), F.substring(hexa, 1, 40), F.lit('","'), key, F.lit('":"'), some, F.lit('"}')).alias("word"), F.substring(hexa, 1, 40).alias("value")),
+        F.struct(F.concat_ws(" ", plain, F.concat(key, F.lit(":"))).alias("before"), quoted(no).alias("word"), whole),
+        F.struct(plain.alias("before"), F.concat(key, F.lit("="), no).alias("word"), whole),
+        F.struct(F.concat_ws(" ", key, F.lit("=")).alias("before"), no.alias("word"), whole),
         F.struct(plain.alias("before"), F.concat(F.lit("0000"), F.expr("lpad(cast(id as string), 16, '0')")).alias("word"), whole),
     )
     base = spark.range(rows).withColumn("h", hexa).withColumn("b", sixty4).withColumn("n", vary(8, 18, 32))

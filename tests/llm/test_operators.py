@@ -260,6 +260,33 @@ def test_secrets_share_a_word(spark):
     assert [(r.word_index, r.run_index) for r in sorted(got) if r.doc_id == 4] == [(0, 0), (0, 1)]
 
 
+def test_short_secrets_of_keys(spark):
+    token = "0cab398dc11d1a2a11dc6572c8df8bd228c864f3"
+    rows = [
+        ('password="S3cr3tPass99"', ["S3cr3tPass99"]),
+        ("pwd=Tr0ub4dor&3, then", ["Tr0ub4dor&3"]),
+        ("db_password: P@ssw0rd!2024", ["P@ssw0rd!2024"]),
+        ("x password = 'k4$.~Zq9' y", ["k4$.~Zq9"]),
+        ('{"password":"a1B2c3d4","token":"x9Y8z7W6"}', ["a1B2c3d4", "x9Y8z7W6"]),
+        ('{\\"secret\\":\\"q1W2e3R4t5\\"}', ["q1W2e3R4t5"]),
+        ("u=me;pwd=aB3#xY7!;db=main", ["aB3#xY7!"]),
+        ('secret="four w0rds in quotes" end', ["four w0rds in quotes"]),
+        ('secret="left 0pen', []),
+        (f"token = {token}", [token]),
+        ("password=abc", []),
+        ("if token==expected: pass", []),
+        (None, []),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string").coalesce(1)
+    found = secrets.candidates(docs, path=None).collect()
+    for i, (t, want) in enumerate(rows):
+        assert [r.value for r in sorted(found, key=lambda r: (r.word_index, r.run_index)) if r.key == i] == want, t
+    model = secrets.train(secrets.findings(spark))
+    more = [(0, "password: welcome back"), (1, "token=getToken()"), (2, "secret: ${SECRET_NAME}"), (3, 'password="S3cr3tPass99"'), (4, "pwd=Tr0ub4dor&3"), (5, "db_password: P@ssw0rd!2024")]
+    got = {r.doc_id: r.secret for r in secrets.scan(spark.createDataFrame(more, "doc_id long, text string"), model, path=None).collect()}
+    assert got == {0: False, 1: False, 2: False, 3: True, 4: True, 5: True}
+
+
 # decontamination
 
 
