@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,10 +18,12 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it is a new local one if the master is local."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="mediaframe-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
@@ -87,53 +90,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, np.ndarray] = {}
-_BASE = 0x9E3779B97F4A7C15
-
-
-def _powers(n: int) -> np.ndarray:
-    """BASE ** i modulo 2 ** 64 for i < n or more."""
-    have = _POWERS.get(0)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        filled = 1
-        while filled < size:
-            step = np.uint64(pow(_BASE, filled, 1 << 64))
-            have[filled : 2 * filled] = have[:filled] * step
-            filled *= 2
-        _POWERS[0] = have
-    return have[:n]
+def _step(x: np.ndarray) -> np.ndarray:
+    """A cheaper mixing than mix(), between the levels of doubled()."""
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x
 
 
-#: BASE ** -1 modulo 2 ** 64.
-_INVERSE = pow(_BASE, -1, 1 << 64)
+def doubled(values: np.ndarray, top: int) -> list[np.ndarray]:
+    """Hashes of the runs of 1, 2, 4, ... 2 ** top values from each place on; every doubling is mixed."""
+    out = [values]
+    for k in range(top):
+        last, size = out[-1], 1 << k
+        out.append(_step(last[: max(0, len(last) - size)] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + last[size:]))
+    return out
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, levels: list[np.ndarray] | None = None) -> np.ndarray:
     """A 64-bit hash of values[start:end] for each span; equal spans have equal hashes wherever they lie.
 
-    The values are mixed words; a span's polynomial is the difference of two prefix sums, moved to power 0.
+    The values are mixed words. A span is told by its length and by the two runs of the largest power of two that fits,
+    from its start and to its end, which cover it.
     """
-    n = len(values)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _powers(n), out=prefix[1:]) if n else None
-    return mix((prefix[end] - prefix[start]) * _inverse_powers(start, n) + mix((end - start).astype(np.uint64) + np.uint64(1)))
-
-
-def _inverse_powers(at: np.ndarray, n: int) -> np.ndarray:
-    have = _POWERS.get(1)
-    if have is None or len(have) < n + 1:
-        size = max(1 << 16, 1 << int(n).bit_length())
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        filled = 1
-        while filled < size:
-            have[filled : 2 * filled] = have[:filled] * np.uint64(pow(_INVERSE, filled, 1 << 64))
-            filled *= 2
-        _POWERS[1] = have
-    return have[at]
+    size = np.asarray(end - start)
+    out = mix(size.astype(np.uint64) + np.uint64(1))
+    top = np.frexp(np.maximum(size, 1).astype(float))[1] - 1  # the largest power of two that fits
+    if levels is None:
+        levels = doubled(values, int(top.max(initial=0)))
+    for k in np.unique(top[size > 0]):
+        some = np.flatnonzero((top == k) & (size > 0))
+        low, high = levels[k][start[some]], levels[k][end[some] - (1 << int(k))]
+        out[some] = mix(out[some] + mix(low) * np.uint64(0xD6E8FEB86659FD93) + high)
+    return out
 
 
 #: Byte classes: 1 where a byte is a separator.
@@ -143,6 +131,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: A fixed random word for each byte value.
 BYTE_WORDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Bytes of a word that are hashed in blocks, together with other words.
+WORD_BYTES = 64
 
 
 def words_of(raw: np.ndarray, at: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,8 +151,25 @@ def words_of(raw: np.ndarray, at: np.ndarray, separators: np.ndarray = SPACES) -
 
 
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    return span_hashes(BYTE_WORDS[raw], start, end)
+    """A 64-bit hash of each word's bytes: blocks of 8 bytes, each mixed into what the blocks before gave; BLAKE2 for long words."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    if not len(size):
+        return out
+    blocks = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(8, np.uint8)]), 8)
+    long = size > WORD_BYTES
+    live = np.flatnonzero(~long & (size > 0))
+    at = 0
+    while len(live):
+        word = np.ascontiguousarray(blocks[start[live] + at]).view(np.uint64).ravel()
+        rest = np.minimum(size[live] - at, 8).astype(np.uint64)
+        word &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * rest)
+        out[live] = mix((out[live] ^ word) + np.uint64(0xD6E8FEB86659FD93))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(long):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def owners(at: np.ndarray) -> np.ndarray:

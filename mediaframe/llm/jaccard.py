@@ -9,20 +9,28 @@ Words are runs of ``[^\x20\x09-\x0D]`` after A-Z are lower-cased; a document's s
 2. Inverted lists: only a set's prefix is indexed, its first ``n - ceil(t n) + 1`` shingles in an order that puts frequent
    ones last. The broadcast list of frequent shingles has at most ``FREQUENT`` entries, since their counts sum up to no more
    than the sizes of all sets; it only orders, so it never changes a result. Lists of one set are dropped.
-3. Block skipping by position: rows of a list hold a set's size and the shingle's position. In a list, sorted by size, a set
-   is compared with the run of sets whose size allows it; pairs whose positions leave too few shingles for the
-   overlap are skipped, and so are those whose parity sketches differ in more bits than the sets may differ in elements (a
-   sketch's bit is the parity of the shingles that fall on it: the difference of two sketches is a lower bound). Long lists
-   are split into pairs of blocks. A list emits a spanning forest of what remains, not the pairs.
-4. Set relations: the connected components of the forests are groups of highly similar sets; all links lie within
-   groups. Every set of a group is sent once to the group's task (large groups: pairs of blocks).
-5. Answers from answers: a group's sets are expressed by their differences from its first set, the pivot. |x n y| follows from
-   the two differences' sizes and their overlap; pairs with differences that are small enough together are links without
-   more work, pairs with sizes of differences too far apart are not, and the rest need only the shingles in which sets differ
-   from the pivot. A group emits a spanning forest of its links.
+3. Block skipping by position: a list is sorted by the sets' size n and the shingle's position in the set, so that sets of one
+   size are a block. For a set, the blocks of sizes that cannot link are skipped by a search, and of each other block the
+   tail from the first position that leaves too few shingles for the overlap: ``skipping`` makes the pairs that are left,
+   and touches no other. Of those, pairs whose parity sketches differ in more bits than the sets may differ in elements go
+   (a sketch's bit is the parity of the shingles that fall on it: the difference of two sketches is a lower bound).
+4. Set relations: a list first looks for a set in the middle of highly similar ones (the nearest to the majority of the
+   sketches' bits); all sets that the bounds leave beside it are one group with it, and are not compared with each other. A
+   list emits a spanning forest, and how many sets each such middle has. The connected components of the forests are
+   groups of highly similar sets; all links lie within groups.
+5. Answers from answers: in a group, the answers of a central set, the pivot, are computed, with its difference from each set.
+   Sets that link to it are one component, and links between them are not looked at. For two sets of different components the
+   differences from the pivots bound their own from both sides: |d(p, x) - d(p, y)| <= d(x, y) <= d(p, x) + d(p, y); pairs
+   that this leaves open are decided by the shingles in which the open sets differ. A group emits a spanning forest.
+
+A group of more than ``GROUP_BLOCK`` sets or ``GROUP_TOKENS`` shingles is never in one task: its sets are dealt over tasks that
+each compare theirs with the group's pivots (the middles of most sets); only sets outside the largest component that comes of
+that, usually few, are compared with the group's others, in blocks. Lists of more than ``LIST_BLOCK`` sets are dealt as pairs
+of blocks.
 
 Null and empty texts: n_shingles 0, their own component. Null ids are kept, without links. Repeated rows have equal sets and
-the same component. Extra columns are ignored. Ids are integers.
+the same component. Texts of any length are taken whole. Rows of one id with other texts are sets of their own that share the
+id. An empty table gives no rows. Extra columns are ignored. Ids are integers.
 """
 
 from __future__ import annotations
@@ -33,15 +41,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mediaframe.llm.common import LOWER, blocks, chunks, components, forest, grouped, materialize, maybe_broadcast, mix, one_column, pack_groups, utf8, word_hashes, words_of
+from mediaframe.llm.common import LOWER, blocks, chunks, components, grouped, materialize, maybe_broadcast, mix, one_column, pack_groups, utf8, word_hashes, words_of
 from mediaframe.session import map_arrow
 
 SIZE, NUM, DEN = 3, 90, 100
 FREQUENT = 1_000_000
 #: Shingles among which a task counts those that occur twice or more.
 COUNTED = 2_000_000
-#: Rows of a list, and sets of a group, that are compared as one block.
-LIST_BLOCK, GROUP_BLOCK = 2048, 512
+#: Rows of a list, sets of a group, and shingles of a group's sets, that a task takes as one block.
+LIST_BLOCK, GROUP_BLOCK, GROUP_TOKENS = 4096, 512, 2_000_000
+#: Rows from which a list looks for middles; middles of a list, pivots in a block of a group, and of a large group.
+CROWD, MIDDLES, PIVOTS, STARS = 8, 6, 16, 4
 #: log2 of a sketch's bits, at least and at most.
 LEAST_BITS, MOST_BITS = 6, 16
 
@@ -214,60 +224,128 @@ def shared_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield held
 
 
+def skipping(owner: np.ndarray, n: np.ndarray, position: np.ndarray, probes: np.ndarray, num: int, den: int, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (probe, row) of a list that the sizes and positions leave; rows are sorted by list (owner), n and position.
+
+    Blocks of one size are found by binary search, and so is the place in each where positions become too high.
+    """
+    new = np.ones(len(n), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (n[1:] != n[:-1])
+    block = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    sizes, wide = n[first], int(n.max(initial=0)) + 2
+    by_size, by_position = owner[first] * wide + sizes, block * wide + position
+    low = np.searchsorted(by_size, owner[probes] * wide + -((-num * n[probes]) // den), "left")
+    high = np.searchsorted(by_size, owner[probes] * wide + np.minimum(den * n[probes] // num, wide - 1), "right")
+    edges = np.concatenate([[0], np.cumsum(high - low)])
+    i = 0
+    while i < len(probes):
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + most, "right")) - 1)
+        times = high[i:j] - low[i:j]
+        probe = np.repeat(probes[i:j], times)
+        b = np.arange(len(probe)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low[i:j], times)
+        least = needed(n[probe], sizes[b], num, den)
+        count = np.searchsorted(by_position, b * wide + (sizes[b] - least), "right") - first[b]
+        count[n[probe] - position[probe] < least] = 0
+        ends = np.concatenate([[0], np.cumsum(count)])
+        k = 0
+        while k < len(probe):
+            m = max(k + 1, int(np.searchsorted(ends, ends[k] + most, "right")) - 1)
+            left = np.repeat(probe[k:m], count[k:m])
+            yield left, np.arange(len(left)) - np.repeat(ends[k:m] - ends[k], count[k:m]) + np.repeat(first[b[k:m]], count[k:m])
+            k = m
+        i = j
+
+
+class Sketches:
+    """The sketches of sets as rows of words, folded to the widths that comparisons ask for."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.sketches, self.width, self.made = sketches, np.array([len(x) for x in sketches]), {}
+
+    def at(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if size not in self.made:
+            self.made[size] = folded(self.sketches, self.width, size)
+        return self.made[size]
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of each pair of sets of like sizes, the bits in which their sketches differ."""
+        out = np.zeros(len(a), np.int64)
+        width = np.minimum(self.width[a], self.width[b])
+        for size in np.unique(width).tolist():
+            some = np.flatnonzero(width == size)
+            m, row = self.at(size)
+            step = max(1, (4 << 20) // size)
+            for s in range(0, len(some), step):
+                k = some[s : s + step]
+                out[k] = np.bitwise_count(m[row[a[k]]] ^ m[row[b[k]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+    def middle(self, sets: np.ndarray) -> int:
+        """The place in `sets`, of like sizes, of the one nearest to the majority of their bits."""
+        size = int(self.width[sets].min())
+        m, row = self.at(size)
+        words = np.ascontiguousarray(m[row[sets]])
+        bits = np.unpackbits(words.view(np.uint8).reshape(len(sets), size), axis=1)
+        most = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(sets)).view(np.uint64)
+        return int(np.bitwise_count(words ^ most).sum(axis=1, dtype=np.int64).argmin())
+
+
 def candidates(num: int, den: int):
-    """For mapInArrow over list rows: spanning forests (a, b) of the pairs that the bounds leave."""
-
-    def pairs_of(at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs i < j within each group, half a million at a time."""
-        sizes = np.diff(at)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        after = at[1:][owner] - 1 - np.arange(at[-1])  # how many follow in the group
-        edges = np.concatenate([[0], np.cumsum(after)])
-        i = 0
-        while i < len(after):
-            j = max(i + 1, int(np.searchsorted(edges, edges[i] + 500_000, "right")) - 1)
-            left = np.repeat(np.arange(i, j), after[i:j])
-            right = left + 1 + np.arange(len(left)) - np.repeat(edges[i:j] - edges[i], after[i:j])
-            yield left, right
-            i = j
+    """For mapInArrow over list rows: spanning forests (a, b) of what the bounds leave; rows (a, a, votes) of middles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["token", "low_block", "high_block"]
         for table, at in pack_groups(t for t in grouped(batches, keys) if t.num_rows > 1):
-            name, n, position, own, low, high = (np.asarray(table.column(c).combine_chunks()) for c in ("name", "n", "position", "own_block", "low_block", "high_block"))
+            name, n, position, own, low, high = (np.asarray(table.column(c).combine_chunks()).astype(np.int64) for c in ("name", "n", "position", "own_block", "low_block", "high_block"))
             nodes, index = np.unique(name, return_index=True)
             number = np.searchsorted(nodes, name)
-            sketches = table.column("sketch").combine_chunks().take(pa.array(index)).to_pylist()
-            width = np.array([len(s) for s in sketches])
-            matrices, rows = {}, np.zeros(len(nodes), np.int64)
-            a_all, b_all = [], []
-            for left, right in pairs_of(at):
-                nx, ny = n[left], n[right]
-                least = needed(nx, ny, num, den)
-                ok = (np.minimum(nx, ny) >= least) & (1 + np.minimum(nx - position[left], ny - position[right]) - 1 >= least)
-                ok &= (low[left] == high[left]) | (own[left] != own[right])
-                left, right = left[ok], right[ok]
-                if not len(left):
-                    continue
-                a, b = number[left], number[right]
+            sketches = Sketches(table.column("sketch").combine_chunks().take(pa.array(index)).to_pylist())
+            length = n[index]
+            owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+
+            def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                return sketches.differ(a, b) <= length[a] + length[b] - 2 * needed(length[a], length[b], num, den)
+
+            label, probes = np.arange(len(name)), np.ones(len(name), bool)
+            a_all, b_all, middles, votes = [], [], [], []
+            for i in np.flatnonzero(np.diff(at) >= CROWD):
+                rows = np.arange(at[i], at[i + 1])
+                alone = np.ones(len(rows), bool)
+                for _ in range(MIDDLES):
+                    left = rows[alone]
+                    if len(left) < CROWD:
+                        break
+                    centre = n[left[len(left) // 2]]
+                    like = left[(den * n[left] >= num * centre) & (den * centre >= num * n[left])]
+                    middle = like[sketches.middle(number[like])]
+                    fits = (den * n[rows] >= num * n[middle]) & (den * n[middle] >= num * n[rows])
+                    some = rows[fits]
+                    least = needed(n[some], n[middle], num, den)
+                    some = some[np.minimum(n[some] - position[some], n[middle] - position[middle]) >= least]
+                    some = some[near(number[some], np.full(len(some), number[middle]))]
+                    joined = np.isin(label[rows], label[some]) | (rows == middle)
+                    label[rows[joined]] = middle
+                    alone &= ~joined
+                    alone[middle - at[i]] = False
+                    a_all.append(number[some]), b_all.append(np.full(len(some), number[middle]))
+                    middles.append(name[middle]), votes.append(len(some))
+                    if len(some) < CROWD // 2:
+                        break
+                which, count = np.unique(label[rows], return_counts=True)
+                if count.max() > 1:  # the largest is compared with others, not with itself
+                    probes[rows[label[rows] == which[count.argmax()]]] = False
+            for left, right in skipping(owner, n, position, np.flatnonzero(probes), num, den):
+                ok = (label[left] != label[right]) & ((left < right) | ~probes[right]) & ((low[left] == high[left]) | (own[left] != own[right]))
+                a, b = number[left[ok]], number[right[ok]]
                 ab = np.unique(np.minimum(a, b) * len(nodes) + np.maximum(a, b))
                 a, b = ab // len(nodes), ab % len(nodes)
-                most = (n[index[a]] + n[index[b]]) - 2 * needed(n[index[a]], n[index[b]], num, den)
-                w = np.minimum(width[a], width[b])
-                for size in np.unique(w):
-                    some = np.flatnonzero(w == size)
-                    if size not in matrices:
-                        matrices[size] = folded(sketches, width, int(size))
-                    m, rows = matrices[size]
-                    step = max(1, (4 << 20) // int(size))
-                    for s in range(0, len(some), step):
-                        k = some[s : s + step]
-                        differ = np.bitwise_count(m[rows[a[k]]] ^ m[rows[b[k]]]).sum(axis=1, dtype=np.int64)
-                        k = k[differ <= most[k]]
-                        a_all.append(a[k]), b_all.append(b[k])
+                ok = near(a, b)
+                a_all.append(a[ok]), b_all.append(b[ok])
             if a_all and sum(map(len, a_all)):
                 child, root = forest_of(np.concatenate(a_all), np.concatenate(b_all))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[root])], ["a", "b"])
+                a, b = np.concatenate([nodes[child], np.array(middles, np.int64)]), np.concatenate([nodes[root], np.array(middles, np.int64)])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.concatenate([np.zeros(len(child), np.int64), np.array(votes, np.int64)]))], ["a", "b", "votes"])
 
     return run
 
@@ -283,73 +361,173 @@ def folded(sketches: list[bytes], width: np.ndarray, size: int) -> tuple[np.ndar
     return out.view(np.uint64), rows
 
 
-def verify(num: int, den: int):
-    """For mapInArrow over the sets of groups: spanning forests (a, b) of the links, by document ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_all, b_all, held = [], [], 0
-        for group in grouped(batches, ["group", "low_block", "high_block"]):
-            m = group.num_rows
-            if m < 2:
-                continue
-            group = group.combine_chunks()
-            key, own, low, high = (np.asarray(group.column(c).combine_chunks()) for c in ("key", "own_block", "low_block", "high_block"))
-            lists = group.column("tokens").combine_chunks()
-            at = np.asarray(lists.offsets).astype(np.int64)
-            linked = group_links(np.asarray(lists.flatten()), at - at[0], num, den)
-            if low[0] != high[0]:
-                linked &= own[:, None] != own[None, :]
-            a, b = forest(linked, key)
-            a_all.append(a), b_all.append(b)
-            held += len(a)
-            if held > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_all)), pa.array(np.concatenate(b_all))], ["a", "b"])
-                a_all, b_all, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_all)), pa.array(np.concatenate(b_all))], ["a", "b"])
+def relations(tokens: np.ndarray, at: np.ndarray, num: int, den: int, label: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, int]]:
+    """Component labels of the sets tokens[at[i]:at[i + 1]] (numbers of sets), and how many pairs were decided in which way.
 
-    return run
+    label: components known before; sets of one of them are not compared with each other.
+    """
+    m, n = len(at) - 1, np.diff(at)
+    token, inverse, often = np.unique(tokens, return_inverse=True, return_counts=True)
+    label = np.arange(m) if label is None else np.unique(label, return_inverse=True)[1]
+    told = {"pairs": m * (m - 1) // 2, "pivots": 0, "bounds": 0, "exact": 0}
+    # the sum of a set's differences from all others
+    total = np.add.reduceat(often[inverse], at[:-1])
+    order = np.argsort(m * n - 2 * total, kind="stable")
+    open_, away = np.ones(m, bool), []
 
+    def unite(linked: np.ndarray) -> None:
+        label[np.isin(label, label[linked])] = label[linked[0]]
 
-def group_links(tokens: np.ndarray, at: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which sets link, as a symmetric boolean matrix with a false diagonal."""
-    m = len(at) - 1
-    n = np.diff(at)
-    owner = np.repeat(np.arange(m), n)
-    pivot = np.sort(tokens[: at[1]])
-    # the differences from the pivot: tokens of the pivot that a set lacks, and tokens of a set that the pivot lacks
-    where = np.minimum(np.searchsorted(pivot, tokens), len(pivot) - 1)
-    in_pivot = pivot[where] == tokens
-    have = np.zeros((m, len(pivot)), bool)
-    have[owner[in_pivot], where[in_pivot]] = True
-    differs = ~have.all(axis=0)
-    parts = [~have[:, differs]]
-    extra = ~in_pivot
-    difference = len(pivot) - have.sum(axis=1) + np.bincount(owner[extra], minlength=m)
-    common = np.zeros((m, m), np.float32)
-    for part in parts:
-        for c in range(0, part.shape[1], 4096):
-            block = part[:, c : c + 4096].astype(np.float32)
-            common += block @ block.T
-    token, inverse, count = np.unique(tokens[extra], return_inverse=True, return_counts=True)
-    shared = count > 1  # a token of one set only adds nothing to an overlap
-    column = np.cumsum(shared) - 1
-    use = shared[inverse]
-    rows, cols = owner[extra][use], column[inverse[use]]
-    order = np.argsort(cols, kind="stable")
-    rows, cols = rows[order], cols[order]
-    for c in range(0, int(shared.sum()), 4096):
+    for p in order:
+        if len(away) == PIVOTS or (label == label[0]).all():
+            break
+        if not open_[p]:
+            continue
+        has = np.zeros(len(token), bool)
+        has[inverse[at[p] : at[p + 1]]] = True
+        overlap = np.add.reduceat(has[inverse].astype(np.int64), at[:-1])
+        away.append(n[p] + n - 2 * overlap)
+        linked = np.flatnonzero(den * overlap >= num * (n[p] + n - overlap))
+        unite(linked)
+        open_[linked] = False
+    told["pivots"] = len(away)
+    if (label == label[0]).all():
+        return label, told
+    allowed = n[:, None] + n[None, :] - 2 * needed(n[:, None], n[None, :], num, den)
+    below, above = np.zeros((m, m), np.int64), np.full((m, m), np.iinfo(np.int64).max)
+    for d in away:
+        np.maximum(below, np.abs(d[:, None] - d[None, :]), out=below)
+        np.minimum(above, d[:, None] + d[None, :], out=above)
+    sure = np.triu((above <= allowed) & (label[:, None] != label[None, :]), 1)
+    for i, j in zip(*np.nonzero(sure)):
+        if label[i] != label[j]:
+            unite(np.array([i, j]))
+    undecided = np.triu((below <= allowed) & (label[:, None] != label[None, :]), 1)
+    told["exact"] = int(undecided.sum())
+    told["bounds"] = told["pairs"] - told["exact"]
+    some = np.flatnonzero(undecided.any(axis=0) | undecided.any(axis=1))
+    if len(some):
+        overlap = overlaps([inverse[at[i] : at[i + 1]] for i in some])
+        size = n[some]
+        linked = undecided[np.ix_(some, some)] & (den * overlap >= num * (size[:, None] + size[None, :] - overlap))
+        for i, j in zip(*np.nonzero(linked)):
+            if label[some[i]] != label[some[j]]:
+                unite(some[[i, j]])
+    return label, told
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections, from the tokens in which the sets differ; those that all have are counted once."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    token, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    use = (count > 1) & (count < m)
+    column = np.cumsum(use) - 1
+    keep = use[inverse]
+    rows, cols = owner[keep], column[inverse[keep]]
+    by = np.argsort(cols, kind="stable")
+    rows, cols = rows[by], cols[by]
+    out = np.zeros((m, m))
+    for c in range(0, int(use.sum()), 4096):
         i, j = np.searchsorted(cols, [c, c + 4096])
-        block = np.zeros((m, 4096), np.float32)
-        block[rows[i:j], cols[i:j] - c] = 1
-        common += block @ block.T
-    # |x - y| + |y - x| from the differences alone
-    apart = difference[:, None] + difference[None, :] - 2 * np.rint(common).astype(np.int64)
-    total = n[:, None] + n[None, :]
-    overlap = (total - apart) // 2
-    linked = den * overlap >= num * (total - overlap)
-    np.fill_diagonal(linked, False)
-    return linked
+        part = np.zeros((m, 4096), np.float32)
+        part[rows[i:j], cols[i:j] - c] = 1
+        out += part @ part.T
+    return np.rint(out).astype(np.int64) + int((count == m).sum())
+
+
+def edges_of(batches: Iterator[pa.RecordBatch], keys: list[str], decide) -> Iterator[pa.RecordBatch]:
+    """The edges (a, b) that decide(table, key, flat tokens, offsets) gives for each run of keys, put together."""
+    a_all, b_all, held = [], [], 0
+    for group in grouped(batches, keys):
+        if group.num_rows < 2:
+            continue
+        group = group.combine_chunks()
+        lists = group.column("tokens").combine_chunks()
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        a, b = decide(group, np.asarray(group.column("key").combine_chunks()), np.asarray(lists.flatten()), offsets - offsets[0])
+        a_all.append(a), b_all.append(b)
+        held += len(a)
+        if held > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_all)), pa.array(np.concatenate(b_all))], ["a", "b"])
+            a_all, b_all, held = [], [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_all)), pa.array(np.concatenate(b_all))], ["a", "b"])
+
+
+def star(key: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each set to the smallest key of its label."""
+    least = np.full(len(label), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, key)
+    some = np.flatnonzero(least[label] != key)
+    return key[some], least[label[some]]
+
+
+def verify(num: int, den: int, keys: list[str], labelled: bool = False):
+    """For mapInArrow over the sets of groups or of pairs of blocks: spanning forests (a, b) of the links, by document ids."""
+
+    def decide(table, key, tokens, at):
+        label = np.asarray(table.column("label").combine_chunks()) if labelled else None
+        return star(key, relations(tokens, at, num, den, label)[0])
+
+    return lambda batches: edges_of(batches, keys, decide)
+
+
+def stars(num: int, den: int):
+    """For mapInArrow over parts of large groups, the pivots (role 0) first: edges from sets to pivots."""
+
+    def decide(table, key, tokens, at):
+        role = np.asarray(table.column("role").combine_chunks())
+        n, owner, a, b = np.diff(at), np.repeat(np.arange(len(key)), np.diff(at)), [], []
+        for p in np.flatnonzero(role == 0):
+            pivot = np.sort(tokens[at[p] : at[p + 1]])
+            has = pivot[np.minimum(np.searchsorted(pivot, tokens), len(pivot) - 1)] == tokens
+            overlap = np.bincount(owner, has, len(key)).astype(np.int64)
+            linked = np.flatnonzero((den * overlap >= num * (n + n[p] - overlap)) & (key != key[p]))
+            a.append(key[linked]), b.append(np.full(len(linked), key[p]))
+        return (np.concatenate(a), np.concatenate(b)) if a else (key[:0], key[:0])
+
+    return lambda batches: edges_of(batches, ["group", "part"], decide)
+
+
+def parts(count: F.Column, weight: F.Column) -> F.Column:
+    """How many blocks so many sets of so many shingles make."""
+    return F.greatest(F.ceil(count / GROUP_BLOCK), F.ceil(weight / GROUP_TOKENS)).cast("int")
+
+
+def link_large(sets: DataFrame, member: DataFrame, large: DataFrame, votes: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) that connect the components of large groups.
+
+    sets: (key, group, tokens); member: (key, group, name, n); large: (group, parts); votes: (name, votes).
+    """
+    dealt = lambda df, salt, by: F.pmod(F.xxhash64("key", F.lit(salt)), F.col(by)).cast("int")
+    sets = materialize(sets, "sets_of_large")
+    large = materialize(large, "large")
+    inside = member.join(maybe_broadcast(large), "group")
+    # the middles of most sets, and the first
+    best = inside.join(maybe_broadcast(votes), "name", "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
+    tops = best.where("votes > 0").groupBy("group").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "key")), False), 1, STARS).alias("top")).select("group", F.explode("top.key").alias("key"))
+    pivots = materialize(tops.unionByName(inside.groupBy("group").agg(F.min("key").alias("key"))).distinct(), "pivots")
+    rows = sets.join(maybe_broadcast(large), "group")
+    own = rows.select("group", dealt(rows, 17, "parts").alias("part"), F.lit(1).alias("role"), "key", "tokens")
+    every = rows.join(maybe_broadcast(pivots), ["group", "key"]).select("group", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "key", "tokens")
+    full = ["group", "part"]
+    edges = map_arrow(own.unionByName(every).repartition(*full).sortWithinPartitions(*full, "role", "key"), stars(num, den), "a long, b long")
+    edges = materialize(edges, "stars")
+    label = components(edges).select(F.col("node").alias("key"), F.col("component").alias("label"))
+    label = materialize(inside.join(maybe_broadcast(label), "key", "left").select("group", "key", "n", F.coalesce("label", "key").alias("label")), "labels")
+    main = label.groupBy("group", "label").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("label", "c").alias("main"))
+    rest = materialize(label.join(maybe_broadcast(main), "group").where("label <> main").select("group", "key", "n"), "rest")
+    if rest.isEmpty():
+        return edges
+    sizes = rest.groupBy("group").agg(parts(F.count("*"), F.sum("n")).alias("others")).join(large, "group")
+    rows = sets.join(maybe_broadcast(materialize(sizes, "others")), "group").join(maybe_broadcast(label.select("key", "label")), "key")
+    first = rows.join(maybe_broadcast(rest.select("key")), "key", "left_semi").withColumn("low", dealt(rows, 19, "others")).withColumn("high", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    second = rows.withColumn("low", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).withColumn("high", dealt(rows, 17, "parts"))
+    full = ["group", "low", "high"]
+    columns = [*full, "key", "label", "tokens"]
+    both = first.select(columns).unionByName(second.select(columns)).repartition(*full).sortWithinPartitions(*full, "key")
+    return edges.unionByName(map_arrow(both, verify(num, den, full, True), "a long, b long"))
 
 
 def similar_sets(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -372,9 +550,11 @@ def similar_sets(documents: DataFrame, key: str = "doc_id", text: str = "text",
     lists = materialize(lists, "lists")
     rows = blocks(lists, ["token"], "name", LIST_BLOCK).join(reps.select("name", "sketch"), "name")
     full = ["token", "low_block", "high_block"]
-    rows = rows.repartition(*full).sortWithinPartitions(*full, "n", "name")
-    groups = components(map_arrow(rows, candidates(num, den), "a long, b long"))
-    member = materialize(groups.join(reps.select("name", "rep"), groups["node"] == reps["name"]).select(F.col("rep").alias("key"), F.col("component").alias("group")), "members")
+    rows = rows.repartition(*full).sortWithinPartitions(*full, "n", "position", "name")
+    near = materialize(map_arrow(rows, candidates(num, den), "a long, b long, votes long"), "near")
+    groups = components(near.select("a", "b"))
+    member = materialize(groups.join(reps.select("name", "rep", "n"), groups["node"] == reps["name"]).select(F.col("rep").alias("key"), F.col("component").alias("group"), "name", "n"), "members")
+    large = materialize(member.groupBy("group").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where(f"c > {GROUP_BLOCK} OR (s > {GROUP_TOKENS} AND c > 2)").select("group", parts(F.col("c"), F.col("s")).alias("parts")), "large")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -383,14 +563,18 @@ def similar_sets(documents: DataFrame, key: str = "doc_id", text: str = "text",
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("group"), lists], ["key", "group", "tokens"])
 
-    sent = docs.join(maybe_broadcast(member), "key").select("key", "group", "text")
-    sent = map_arrow(sent, tokens, "key long, group long, tokens array<long>")
-    # block numbers come from the member table, so that only that is counted
-    dealt = blocks(member, ["group"], "key", GROUP_BLOCK).select(F.col("key").alias("k"), "own_block", "low_block", "high_block")
-    sent = sent.join(maybe_broadcast(dealt), F.col("key") == F.col("k")).drop("k")
-    full = ["group", "low_block", "high_block"]
-    sent = sent.repartition(*full).sortWithinPartitions(*full, "key")
-    found = components(map_arrow(sent, verify(num, den), "a long, b long"))
+    def sets_of(some: DataFrame) -> DataFrame:
+        # rows of one id with other texts: the set that is the member's
+        sent = docs.join(maybe_broadcast(some.select("key", "group")), "key").select("key", "group", "text")
+        return map_arrow(sent, tokens, "key long, group long, tokens array<long>")
+
+    small_groups = member.join(maybe_broadcast(large), "group", "left_anti")
+    sent = sets_of(small_groups).repartition("group").sortWithinPartitions("group", "key")
+    edges = map_arrow(sent, verify(num, den, ["group"]), "a long, b long")
+    if not large.isEmpty():
+        votes = near.where("votes > 0").groupBy(F.col("a").alias("name")).agg(F.sum("votes").alias("votes"))
+        edges = edges.unionByName(link_large(sets_of(member.join(maybe_broadcast(large), "group", "left_semi")), member, large, votes, num, den))
+    found = components(edges)
     joined = reps.join(found, F.col("rep") == F.col("node"), "left").select(F.col("name").alias("s"), F.coalesce("component", "rep").alias("component"))
     out = own.join(joined, (F.col("name") == F.col("s")) & (F.col("n") > 0) & F.col("key").isNotNull(), "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
