@@ -6,13 +6,19 @@ inside a passage that documents share, their stretches are the same. A stretch i
 of all its symbols, 64 bits each; about one stretch for every (length - gram + 2) / 2 symbols is sent, as packed columns, to
 the bucket of its anchor's hash.
 
-* Stretches of one content are a class. Documents other than the class's first (of least id) have the whole stretch earlier:
-  a covered interval. Each task sorts that out among its own documents before it sends anything, so that the copies of a
-  passage are sent once for a task, however many there are.
+* Stretches of one content are a class. Its first stretch (of the least document) and that of its second document, the
+  witness, go through the suffix structure; the witness's longest earlier match has to be the whole stretch. That decision
+  holds for the class: all its documents but the first have the stretch earlier, a covered interval. Should a witness fail
+  (two contents of one hash), everything is done again with other hashes. Each task keeps no more than the two of a class
+  before it sends anything, so that the copies of a passage are sent twice for a task at most, however many there are.
 * Classes that share an anchor with another class of another document may share some of their windows: the first
-  document's stretches of such a class are requests, which a suffix structure over their symbols decides.
+  document's stretches of such a class are requests, which the suffix structure decides.
+* An anchor with more than ``HOT`` contents in one task (a line that stands in ever other surroundings) is hot: its stretches
+  are not sent to the anchor's bucket, only the word that it is hot is; the bucket asks for the others'. The windows of such
+  stretches are dealt one by one.
 
-Anchors that no two documents share end here. The number of buckets follows from the bytes of text.
+Anchors that no two documents share end here. The number of buckets follows from the bytes of text. A bucket gets ``HOT``
+contents of an anchor from a task at most.
 """
 
 from __future__ import annotations
@@ -25,13 +31,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mediaframe.llm.common import chunks, materialize, mix, span_hashes
+from mediaframe.llm.common import chunks, doubled, materialize, mix, span_hashes
 from mediaframe.session import map_arrow
 
 #: Bytes of text for each bucket, and stretches that a task holds before it sends.
 BUCKET_BYTES, HELD = 16 << 20, 800_000
 #: Requests of one anchor beyond which its windows are dealt one by one, by their own hashes.
 WIDE = 20_000
+#: Contents of one anchor in a task beyond which the anchor is hot.
+HOT = 64
+#: Flags of requests: its windows are dealt one by one; only the whole stretch is asked for; it is the witness of its class.
+WIDELY, WHOLE, WITNESS = 1, 2, 4
 #: Symbols and offsets of a batch's texts: (values, n + 1 offsets).
 Symbols = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
 
@@ -44,19 +54,13 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def gram_hashes(values: np.ndarray, gram: int) -> np.ndarray:
-    """A mixed hash of each run of `gram` values."""
-    powers, size, step = [values], 1, np.uint64(0xD6E8FEB86659FD93)
-    while size * 2 <= gram:
-        last = powers[-1]
-        powers.append(last[: len(last) - size] * (step + np.uint64(2 * size)) + last[size:])
-        size *= 2
-    out, at = None, 0
-    for i in reversed(range(len(powers))):
+def gram_hashes(levels: list[np.ndarray], gram: int) -> np.ndarray:
+    """A mixed hash of each run of `gram` values, from those of runs of powers of two."""
+    n, at, out = len(levels[0]) - gram + 1, 0, None
+    for i in reversed(range(len(levels))):
         if gram >> i & 1:
-            n = len(values) - gram + 1
-            part = powers[i][at : at + n]
-            out = part.copy() if out is None else out * (step + np.uint64(4 * i + 1)) + part
+            part = levels[i][at : at + n]
+            out = part.copy() if out is None else out * np.uint64(0xD6E8FEB86659FD93) + part
             at += 1 << i
     return mix(out)
 
@@ -81,7 +85,8 @@ def stretches(values: np.ndarray, at: np.ndarray, length: int, gram: int) -> dic
     n = len(values)
     if n < length:
         return {c: np.zeros(0, k) for c, k in (("anchor", np.uint64), ("content", np.uint64), ("text", np.int64), ("first", np.int64), ("count", np.int64))}
-    h = gram_hashes(values, gram)
+    levels = doubled(values, (2 * length - gram).bit_length() - 1)
+    h = gram_hashes(levels, gram)
     place = least_places(h, length - gram + 1)
     size = np.diff(at)
     valid = np.zeros(n + 1, np.int8)  # +1 where the valid windows of a text begin, -1 where they end
@@ -99,7 +104,7 @@ def stretches(values: np.ndarray, at: np.ndarray, length: int, gram: int) -> dic
     stop = np.minimum(stop, at[ends + 1] - length + 1)
     return {
         "anchor": h[place[start]],
-        "content": span_hashes(values, start, stop - 1 + length),
+        "content": span_hashes(values, start, stop - 1 + length, levels),
         "text": ends,
         "first": start - at[ends],
         "count": stop - start,
@@ -137,20 +142,25 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
 
 
 def joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    return {c: np.concatenate([p[c] for p in parts]) for c, _ in COLUMNS}
+    return {c: np.concatenate([np.asarray(p[c], kind) for p in parts]) for c, kind in COLUMNS}
 
 
 def taken(part: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray]:
     return {c: v[rows] for c, v in part.items()}
 
 
-def firsts(part: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The stretches sorted by anchor, content, document; and whether each is of its class's first document."""
+def ranked(part: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches sorted by anchor, content, document; of each, its class's number, and whether it is of the class's first
+    document, and whether it is the class's witness: the first stretch of the second document."""
     part = taken(part, np.lexsort((part["first"], part["doc"], part["content"], part["anchor"])))
-    new = np.ones(len(part["doc"]), bool)
+    n = len(part["doc"])
+    new = np.ones(n, bool)
     new[1:] = (part["content"][1:] != part["content"][:-1]) | (part["anchor"][1:] != part["anchor"][:-1])
-    first = part["doc"][np.flatnonzero(new)][np.cumsum(new) - 1] if len(new) else part["doc"]
-    return part, part["doc"] == first
+    number = np.cumsum(new) - 1
+    first = part["doc"] == part["doc"][np.flatnonzero(new)][number] if n else new
+    witness = ~first
+    witness[1:] &= first[:-1]
+    return part, number, first, witness
 
 
 def merged(doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,8 +191,8 @@ def _batch(kind: int, doc, first, count, anchor=None, wide=None) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["kind", "doc", "first", "count", "anchor", "wide"])
 
 
-def find_candidates(docs: DataFrame, symbols: Symbols, length: int, gram: int, name: str) -> DataFrame:
-    """From (key, text): covered intervals (kind 0: doc, first symbol, count of symbols) and requests (kind 1: doc, first window, count of windows, anchor, wide)."""
+def find_candidates(docs: DataFrame, symbols: Symbols, length: int, gram: int, name: str, seed: int = 0) -> DataFrame:
+    """From (key, text): covered intervals (kind 0: doc, first symbol, count of symbols) and requests (kind 1: doc, first window, count of windows, anchor, flags in wide)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total) // BUCKET_BYTES))
 
@@ -190,30 +200,37 @@ def find_candidates(docs: DataFrame, symbols: Symbols, length: int, gram: int, n
         held: list[dict[str, np.ndarray]] = []
         count = 0
 
+        def dealt(kind: int, part: dict[str, np.ndarray], by: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+            where = (by % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((part["first"], part["doc"], where))
+            edges = np.searchsorted(where[order], np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                yield b, kind, pack(taken(part, order[edges[b] : edges[b + 1]]))
+
         def flush() -> Iterator[pa.RecordBatch]:
-            part, first = firsts(joined(held))
+            part, number, first, witness = ranked(joined(held))
             doc, low, high = merged(part["doc"][~first], part["first"][~first], part["first"][~first] + part["count"][~first] + (length - 1))
-            # covered intervals travel along, in the bucket of their document
-            where = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            edges = np.searchsorted(where[order], np.arange(buckets + 1))
-            part = taken(part, np.flatnonzero(first))
-            bucket = ((part["anchor"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            by = np.lexsort((part["first"], part["doc"], bucket))
-            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for b in range(buckets):
-                rows = [(0, by[cuts[b] : cuts[b + 1]])] if cuts[b + 1] > cuts[b] else []
-                data = [pack(taken(part, r)) for _, r in rows]
-                some = order[edges[b] : edges[b + 1]]
-                if len(some):
-                    n = len(some)
-                    data.append(pack({"anchor": np.zeros(n), "content": (high[some] - low[some]), "doc": doc[some], "first": low[some], "count": np.full(n, -1)}))
-                if data:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), b, np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
+            covered = {"anchor": np.zeros(len(doc), np.uint64), "content": (high - low).astype(np.uint64), "doc": doc, "first": low, "count": np.zeros(len(doc), np.int64)}
+            # contents of each anchor
+            new = np.ones(len(number), bool)
+            new[1:] = part["anchor"][1:] != part["anchor"][:-1]
+            anchor = np.cumsum(new) - 1
+            begins = np.flatnonzero(new)
+            contents = np.diff(np.append(number[begins], number[-1] + 1)) if len(number) else number
+            hot = (contents > HOT)[anchor] if len(number) else first
+            asked = taken(part, np.flatnonzero(hot & first))
+            word = taken(part, begins[contents > HOT])
+            word["count"], word["content"] = np.zeros_like(word["count"]), np.zeros_like(word["content"])
+            sent = joined([taken(part, np.flatnonzero((first | witness) & ~hot)), word])
+            # covered intervals and hot requests travel along, in the bucket of their document
+            for b, kind, data in (*dealt(0, sent, sent["anchor"] >> np.uint64(40)), *dealt(1, covered, mix(doc.view(np.uint64))), *dealt(2, asked, mix(asked["doc"].view(np.uint64)))):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], ["bucket", "kind", "data"])
 
         for batch in chunks(batches, "text"):
             key = np.asarray(batch.column("key"))
             values, at = symbols(batch)
+            if seed:
+                values = mix(values ^ np.uint64(seed))
             part = stretches(values, at, length, gram)
             part["doc"] = key[part.pop("text")]
             held.append(part)
@@ -235,48 +252,62 @@ def find_candidates(docs: DataFrame, symbols: Symbols, length: int, gram: int, n
             new = np.ones(len(anchor), bool)
             new[1:] = anchor[1:] != anchor[:-1]
             at = np.flatnonzero(new)
-            shared = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
-            keep = order[shared[np.cumsum(new) - 1]]
-            if not len(keep):
+            hot = np.minimum.reduceat(part["count"][order], at) == 0 if len(at) else np.zeros(0, bool)
+            shared = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) | hot if len(at) else hot
+            keep = shared[np.cumsum(new) - 1] & (part["count"][order] > 0)
+            if not keep.any():
                 return
-            part, first = firsts(taken(part, keep))
+            hot = hot[np.cumsum(new) - 1][keep]
+            part["hot"] = np.zeros(len(part["doc"]), bool)
+            part["hot"][order[keep]] = hot
+            part, number, first, witness = ranked(taken(part, order[keep]))
             copies = taken(part, np.flatnonzero(~first))
             yield _batch(COVERED, copies["doc"], copies["first"], copies["count"].astype(np.int64) + length - 1)
-            anchor, content = part["anchor"], part["content"]
+            anchor, content, hot = part["anchor"], part["content"], part["hot"]
             new = np.ones(len(anchor), bool)
             new[1:] = anchor[1:] != anchor[:-1]
             group = np.cumsum(new) - 1
             at = np.flatnonzero(new)
             mixed = (np.minimum.reduceat(content, at) != np.maximum.reduceat(content, at))[group]
-            asked = taken(part, np.flatnonzero(first & mixed))
-            size = np.bincount(group[first & mixed], minlength=len(at))[group[first & mixed]]
-            yield _batch(REQUEST, asked["doc"], asked["first"], asked["count"], asked["anchor"], size > WIDE)
+            asked = first & (mixed | hot)
+            size = np.bincount(group[asked], minlength=len(at))[group]
+            wide = hot | (size > WIDE)
+            begins = np.ones(len(number), bool)
+            begins[1:] = number[1:] != number[:-1]
+            both = np.bincount(number[witness], minlength=number[-1] + 1)[number] > 0
+            alone = begins & both & ~asked & ~wide
+            flags = np.where(wide, WIDELY, 0) | np.where(alone, WHOLE, 0) | np.where(witness & ~wide, WHOLE | WITNESS, 0)
+            rows = np.flatnonzero(asked | alone | (witness & ~wide))
+            asked = taken(part, rows)
+            yield _batch(REQUEST, asked["doc"], asked["first"], asked["count"], asked["anchor"], flags[rows])
 
         for batch in batches:
-            for b, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
+            for b, kind, data in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("data")):
                 if b != bucket and held:
                     yield from settle()
                     held = []
                 bucket = b
                 part = unpack(data.as_buffer().to_pybytes())
-                if len(part["count"]) and part["count"][0] < 0:
+                if kind == 1:
                     yield _batch(COVERED, part["doc"], part["first"], part["content"].astype(np.int64))
+                elif kind == 2:
+                    yield _batch(REQUEST, part["doc"], part["first"], part["count"], part["anchor"], np.full(len(part["doc"]), WIDELY))
                 else:
                     held.append(part)
         if held:
             yield from settle()
 
     usable = docs.where("key IS NOT NULL AND text IS NOT NULL")
-    sent = map_arrow(usable, send, "bucket int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    sent = map_arrow(usable, send, "bucket int, kind int, data binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     out = materialize(map_arrow(sent, resolve, OUT), name)
     del sent
     release(docs.sparkSession)
     return out
 
 
-def requests_by_document(candidates: DataFrame) -> DataFrame:
+def requests_by_document(candidates: DataFrame, which: str = "true") -> DataFrame:
     """(doc, first, count, anchor, wide): arrays of the requests of each document."""
-    asked = candidates.where(F.col("kind") == REQUEST)
+    asked = candidates.where(F.col("kind") == REQUEST).where(which)
     return asked.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("first", "count", "anchor", "wide"))).alias("asked"))
 
 

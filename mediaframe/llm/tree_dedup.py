@@ -12,7 +12,8 @@ starts in a document of smaller id. ``repeats.find_candidates`` leaves the stret
 3. a suffix under a deep node with a smaller document is repeated: the words of the deepest such node are covered.
 
 Groups of the longest prefix hold equal windows only; what they need is their least document, an aggregation. Words are
-compared by 64-bit hashes. Copies of a whole stretch are settled before, see ``repeats``.
+compared by 64-bit hashes. Copies of a whole stretch are one class: its first document's stretch and its second's are leaves of
+the tree, and that a node of the whole stretch is above the second decides for all others, see ``repeats``.
 
 Null and empty texts have no words. Rows with a null id are kept whole and remove nothing. Ids are unique, or their rows
 repeated as a whole; a document never removes its own repeats. Extra columns are ignored.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from mediaframe.llm.common import chunks, grouped, materialize, maybe_broadcast, one_column, pack_groups, span_hashes, utf8, word_hashes, words_of
-from mediaframe.llm.repeats import find_candidates, intervals_by_document, requests_by_document, settled
+from mediaframe.llm.repeats import WHOLE, WITNESS, find_candidates, intervals_by_document, requests_by_document, settled
 from mediaframe.session import map_arrow
 
 LENGTH, GRAM = 13, 6
@@ -67,9 +68,9 @@ def deepest(words: np.ndarray, size: np.ndarray, group: np.ndarray, doc: np.ndar
     return back
 
 
-def find_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def find_spans(docs: DataFrame, length: int, gram: int, seed: int = 0) -> DataFrame:
     """(doc, spans) in words, of documents with removed words, from (key, text)."""
-    found = find_candidates(docs, symbols, length, gram, "words")
+    found = find_candidates(docs, symbols, length, gram, "words", seed)
     asked = requests_by_document(found)
     levels = [p for p in PREFIXES if p < length] + [length]
 
@@ -79,21 +80,22 @@ def find_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
             key = np.asarray(batch.column("key"))
             lists = batch.column("asked")
             flat = lists.flatten()
-            first, count = (np.asarray(flat.field(c)).astype(np.int64) for c in ("first", "count"))
+            first, count, flags = (np.asarray(flat.field(c)).astype(np.int64) for c in ("first", "count", "wide"))
             owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
-            row = np.repeat(np.arange(len(count)), count)
-            window = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            times = np.where(flags & WHOLE, 1, count)  # suffixes of each stretch
+            row = np.repeat(np.arange(len(count)), times)
+            window = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
             start = at[owner[row]] + window
             size = first[row] + count[row] - 1 + length - window
             offset = np.concatenate([[0], np.cumsum(size)])
             words = values[np.arange(offset[-1]) + np.repeat(start - offset[:-1], size)]
-            columns = {"doc": pa.array(key[owner[row]]), "first": pa.array(window.astype(np.int32))}
+            columns = {"doc": pa.array(key[owner[row]]), "first": pa.array(window.astype(np.int32)), "checked": pa.array((flags[row] & WITNESS).astype(np.int32))}
             columns |= {f"p{k}": pa.array(span_hashes(values, start, start + k).view(np.int64)) for k in levels}
             columns["words"] = pa.ListArray.from_arrays(pa.array(offset.astype(np.int32)), pa.array(words.view(np.int64)))
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     prefixes = "".join(f"p{k} long, " for k in levels)
-    suffixes = map_arrow(docs.join(asked, docs["key"] == asked["doc"]).select("key", "text", "asked"), cut, f"doc long, first int, {prefixes}words array<long>")
+    suffixes = map_arrow(docs.join(asked, docs["key"] == asked["doc"]).select("key", "text", "asked"), cut, f"doc long, first int, checked int, {prefixes}words array<long>")
     suffixes = materialize(suffixes, "suffixes")
     keyed = suffixes.withColumn("prefix", F.lit(None).cast("long"))
     whole = False
@@ -109,7 +111,7 @@ def find_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in pack_groups(grouped(batches, ["prefix"]), 40_000):
-            doc, first = (np.asarray(table.column(c).combine_chunks()).astype(np.int64) for c in ("doc", "first"))
+            doc, first, checked = (np.asarray(table.column(c).combine_chunks()).astype(np.int64) for c in ("doc", "first", "checked"))
             lists = table.column("words").combine_chunks()
             offset = np.asarray(lists.offsets).astype(np.int64)
             size = np.diff(offset)
@@ -118,12 +120,16 @@ def find_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
             words = np.zeros((len(doc), width), np.uint64)
             words[np.arange(width)[None, :] < size[:, None]] = flat
             depth = deepest(words, size, np.repeat(np.arange(len(at) - 1), np.diff(at)), doc, length)
+            # a witness is covered as a copy already, if a node of its whole stretch is above it
+            depth = np.where(checked > 0, np.where(depth == size, 0, -1), depth)
             hit = np.flatnonzero(depth)
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(first[hit].astype(np.int32)), pa.array(depth[hit].astype(np.int32))], ["doc", "first", "count"])
 
-    every = keyed.where("prefix IS NOT NULL").select("doc", "first", "prefix", "words")
-    repeats = map_arrow(every.repartition("prefix").sortWithinPartitions("prefix"), trees, "doc long, first int, count int")
+    every = keyed.where("prefix IS NOT NULL").select("doc", "first", "checked", "prefix", "words")
+    repeats = materialize(map_arrow(every.repartition("prefix").sortWithinPartitions("prefix"), trees, "doc long, first int, count int"), "nodes")
+    if not repeats.where("count < 0").isEmpty():  # two contents of one hash
+        return find_spans(docs, length, gram, seed + 1)
     if not whole:
         window = f"p{length}"
         rest = keyed.where("prefix IS NULL")
