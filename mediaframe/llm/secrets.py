@@ -22,7 +22,9 @@ makes a labelled set by rules: keys, tokens and passwords of random characters,
 paths and long words. The forest has ``TREES`` trees of depth ``DEPTH``; its seed is fixed and its training rows are in one
 partition, so it is the same each time.
 
-Null and empty texts have no candidates. A null path counts as empty. Repeated rows give repeated findings.
+Null and empty texts have no candidates. A null path counts as empty. Repeated rows give repeated findings, an empty table none.
+Equal scores need no order: each candidate is judged by itself. Words of any length are read whole, with patterns that pass a
+word once: what a candidate needs of its word goes into the candidate's own row. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ def candidates(documents: DataFrame, key: str = "doc_id", text: str = "text", pa
         lambda i: named(i)
         | (F.length(F.get("w", i)) >= LEAST)
         & F.get("w", i).rlike(RUN)
-        & (F.get("w", i).rlike(rf"(?=[A-Za-z0-9+/_-]*[0-9]){RUN}") | F.get("w", i).rlike(rf"(?i)({KEYS})[\"']?[=:]") | F.coalesce(F.get("w", i - 1), F.lit("")).rlike(rf"(?i)({KEYS})[\"']?[=:]?$")),
+        & (F.exists(F.regexp_extract_all(F.get("w", i), F.lit(RUN), F.lit(1)), lambda v: v.rlike("[0-9]")) | F.get("w", i).rlike(rf"(?i)({KEYS})[\"']?[=:]") | F.coalesce(F.get("w", i - 1), F.lit("")).rlike(rf"(?i)({KEYS})[\"']?[=:]?$")),
     )
     row = lambda i: F.struct(i.alias("word_index"), before(i).alias("before"), F.get("w", i).alias("word"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("after"), F.array_join(F.slice("w", i + 2, QUOTED - 1), " ").alias("rest"))
     found = words.where("size(w) > 0").select("key", "path", F.explode(F.transform(at, row)).alias("c"))
@@ -102,42 +104,44 @@ def with_values(found: DataFrame, likely: bool = False) -> DataFrame:
 
     likely: only runs with a digit, or of words by a key. If found has `value`, only candidates equal to it, where it is not null.
     """
-    text = F.concat_ws(" ", "word", "rest") if "rest" in found.columns else F.col("word")
-    piece = lambda left, value, run, first: F.struct(left.alias("left"), value.alias("value"), run.cast("int").alias("run"), first.alias("first"))
+    found = found.withColumn("rest", F.lit(None).cast("string")) if "rest" not in found.columns else found
+    found = found.withColumn("__text", F.concat_ws(" ", "word", "rest"))
+    piece = lambda left, value, right, run, first, last: F.struct(
+        F.when(first, F.col("before")).otherwise("").alias("before"), left.alias("left"), value.alias("value"), right.alias("right"), F.when(last, F.col("after")).otherwise("").alias("after"), run.cast("int").alias("run")
+    )
     head = rf"(\S*?{NAME}{SIGN})"
-    led = F.when(F.col("before").rlike(rf"{NAME}\s?{SIGN}$"), F.regexp_extract(text, f"^{VALUE}", 1)).when(F.col("before").rlike(f"{NAME}$"), F.regexp_extract(text, f"^{SIGN}{VALUE}", 1))
+    led = F.when(F.col("before").rlike(rf"{NAME}\s?{SIGN}$"), F.regexp_extract("__text", f"^{VALUE}", 1)).when(F.col("before").rlike(f"{NAME}$"), F.regexp_extract("__text", f"^{SIGN}{VALUE}", 1))
+    whole = lambda left, value, first: piece(left, value, F.lit(""), F.lit(-1), first, F.lit(True))
     assigned = F.concat(
-        F.array(piece(F.lit(""), tidy(F.coalesce(led, F.lit(""))), F.lit(-1), F.lit(True))),
+        F.array(whole(F.lit(""), tidy(F.coalesce(led, F.lit(""))), F.lit(True))),
         F.transform(
-            F.regexp_extract_all(text, F.lit(rf"\G{head}{VALUE}"), F.lit(0)),
-            lambda m, k: piece(F.regexp_extract(m, f"^{head}{VALUE}", 1), in_url(F.regexp_extract(m, f"^{head}{VALUE}", 1), tidy(F.regexp_extract(m, f"^{head}{VALUE}", 2))), F.lit(-1), k == 0),
+            F.regexp_extract_all("__text", F.lit(rf"\G{head}{VALUE}"), F.lit(0)),
+            lambda m, k: whole(F.regexp_extract(m, f"^{head}{VALUE}", 1), in_url(F.regexp_extract(m, f"^{head}{VALUE}", 1), tidy(F.regexp_extract(m, f"^{head}{VALUE}", 2))), k == 0),
         ),
     )
-    runs = F.transform(F.regexp_extract_all("word", F.lit(RUN), F.lit(1)), lambda v, k: piece(F.lit(""), v, k, k == 0))
-    rows = found.withColumn("__assigned", F.filter(assigned, lambda p: F.length(p["value"]) >= SHORT)).withColumn("__gaps", F.split("word", RUN, -1))
+    rows = found.withColumn("__assigned", F.filter(assigned, lambda p: F.length(p["value"]) >= SHORT))
+    rows = rows.withColumn("__runs", F.regexp_extract_all("word", F.lit(RUN), F.lit(1))).withColumn("__gaps", F.split("word", RUN, -1))
     rows = rows.withColumn("__taken", F.transform("__assigned", lambda p: p["value"]))
     rows = rows.withColumn("__keyed", F.col("word").rlike(rf"(?i)({KEYS})[\"']?[=:]") | F.col("before").rlike(rf"(?i)({KEYS})[\"']?[=:]?$"))
-    rows = rows.select("*", F.posexplode(F.concat("__assigned", runs)).alias("run_index", "p"))
-    own, run = F.col("p.value"), F.col("p.run")
-    rows = rows.where((run < 0) | ~F.array_contains("__taken", own))
-    if likely:
-        rows = rows.where((run < 0) | F.col("__keyed") | own.rlike("[0-9]"))
+    # a run, and what stands before and after it: whatever a candidate needs goes into its own struct, so that no row
+    # carries the whole word
+    n = F.size("__runs")
+    sided = F.zip_with(F.zip_with(F.slice("__gaps", F.lit(1), n), "__runs", lambda x, v: F.struct(x.alias("left"), v.alias("value"))), F.slice("__gaps", F.lit(2), n), lambda x, r: F.struct(x["left"].alias("left"), x["value"].alias("value"), r.alias("right")))
+    rows = rows.withColumn("__sided", sided)
+    runs = F.transform("__sided", lambda x, k: piece(x["left"], x["value"], x["right"], k, k == 0, k == n - 1))
+    fresh = lambda p: (p["run"] < 0) | ~F.array_contains("__taken", p["value"])
+    # numbered before any goes
+    rows = rows.withColumn("__all", F.transform(F.concat("__assigned", runs), lambda p, k: F.struct(k.cast("int").alias("run_index"), *[p[c].alias(c) for c in ("before", "left", "value", "right", "after", "run")])))
+    rows = rows.withColumn("__all", F.filter("__all", fresh))
+    if likely:  # the test of the whole word stands outside of the lambda, where it is made once
+        rows = rows.withColumn("__all", F.when(F.col("__keyed"), F.col("__all")).otherwise(F.filter("__all", lambda p: (p["run"] < 0) | p["value"].rlike("[0-9]"))))
+    # an outer explode: from a plain one a filter on the array's size would be inferred and pushed below, made of all of the above
+    keep = [c for c in found.columns if c not in ("before", "word", "after", "rest", "__text", "value", "run_index", "left", "right")]
+    rows = rows.select(*keep, *([F.col("value").alias("__meant")] if "value" in found.columns else []), F.explode_outer("__all").alias("p")).where("p IS NOT NULL")
     if "value" in found.columns:
-        rows = rows.where(F.col("value").isNull() | (own == F.col("value")))
-    keep = [c for c in found.columns if c not in ("before", "word", "after", "rest", "value", "run_index", "left", "right")]
-    left = F.when(run < 0, F.col("p.left")).otherwise(F.get("__gaps", run))
-    right = F.when(run < 0, "").otherwise(F.get("__gaps", run + 1))
-    last = (run < 0) | (run == F.size("__gaps") - 2)
-    return rows.select(
-        *keep,
-        F.when(F.col("p.first"), F.col("before")).otherwise("").alias("before"),
-        F.concat(left, own, right).alias("word"),
-        F.when(last, F.col("after")).otherwise("").alias("after"),
-        "run_index",
-        left.alias("left"),
-        own.alias("value"),
-        right.alias("right"),
-    )
+        rows = rows.where(F.col("__meant").isNull() | (F.col("p.value") == F.col("__meant")))
+    word = F.concat("p.left", "p.value", "p.right").alias("word")
+    return rows.select(*keep, "p.before", word, "p.after", "p.run_index", "p.left", "p.value", "p.right")
 
 
 def in_url(left: Column, value: Column) -> Column:
