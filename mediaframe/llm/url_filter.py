@@ -1,12 +1,14 @@
 """URL filter: a bit-parallel automaton runs all glob rules at once over each canonical URL.
 
-Every rule is a glob over the canonical form ``.host`` + US + ``path`` (US is the byte 0x1F, which separates the two).
-``*`` stands for any bytes, ``?`` for one byte. All globs are packed into 64-bit words, one bit for each symbol and one
+Every rule is a pair of globs, one over ``.host`` and one over the path. The canonical form is a sequence of symbols: the bytes of
+``.host``, a separator that is no byte, the bytes of the path; so a host's glob never reaches into a path, whatever bytes
+that has. ``*`` stands for any bytes, ``?`` for one byte. All globs are packed into 64-bit words, one bit for each symbol and one
 for the start; a batch of URLs of about one length is a padded byte matrix, and the state of a URL is a row of words:
 ``D = ((D << 1) & B[byte]) | (D & loops)``, where loops marks the states that a ``*`` follows. A rule matches if its last
 bit is set after the last byte. The cost of a byte is a few operations on the words, whatever the number of matches.
 
-Null urls and urls without ``://`` have an empty host and an empty path; no host rule fits them. Extra columns are dropped.
+Null urls and urls without ``://`` have an empty host and an empty path; no host rule fits them. Urls of any length are
+read to their end. Repeated rows give repeated verdicts, an empty table none. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 from mediaframe.llm.common import LOWER, chunks, one_column, utf8
 from mediaframe.session import map_arrow
 
-SEPARATOR = "\x1f"
+#: The symbol between host and path.
+SEPARATOR = 256
+Glob = str | tuple[str, str]
 
 
 @dataclass(frozen=True)
@@ -37,8 +41,8 @@ class Rule:
         return self.host + self.path
 
     @property
-    def glob(self) -> str:
-        return f"*.{self.host}{SEPARATOR}{self.path}*"
+    def glob(self) -> Glob:
+        return (f"*.{self.host}", f"{self.path}*")
 
 
 #: The fixed rules of the contract.
@@ -49,39 +53,40 @@ RULES = (
     Rule("net", "/es/", "block"),
     Rule("net", "/fr/", "block"),
 )
-#: Globs over the canonical form that block a URL no rule decides; any other URL is allowed.
-BLOCK_GLOBS = (
-    f"*casino*{SEPARATOR}*",
-    f"*spam*{SEPARATOR}*",
-    f"*phish*{SEPARATOR}*",
-    f"*.xxx{SEPARATOR}*",
-    f"*{SEPARATOR}*/wp-login.???",
-)
+#: Globs of ``.host`` and path that block a URL no rule decides; any other URL is allowed.
+BLOCK_GLOBS = (("*casino*", "*"), ("*spam*", "*"), ("*phish*", "*"), ("*.xxx", "*"), ("*", "*/wp-login.???"))
+
+
+STAR, ANY = 0x2A, 0x3F
+
+
+def symbols_of(glob: Glob) -> list[int]:
+    return list(glob.encode()) if isinstance(glob, str) else [*glob[0].encode(), SEPARATOR, *glob[1].encode()]
 
 
 class Automaton:
     """All globs packed into words of 64 bits."""
 
-    def __init__(self, globs: tuple[str, ...]):
-        symbols: list[tuple[int, int]] = []  # (bit, byte or -1 for any)
+    def __init__(self, globs: tuple[Glob, ...]):
+        symbols: list[tuple[int, int]] = []  # (bit, symbol or -1 for any byte)
         loops, starts, finals, bit = [], [], [], 0
         for glob in globs:
             starts.append(bit)
-            for c in glob.encode():
-                if c == 0x2A:
+            for c in symbols_of(glob):
+                if c == STAR:
                     loops.append(bit)
                 else:
                     bit += 1
-                    symbols.append((bit, -1 if c == 0x3F else c))
+                    symbols.append((bit, -1 if c == ANY else c))
             finals.append(bit)
             bit += 1
         self.words = (bit + 63) // 64
         self.finals = finals
-        self.table = np.zeros((256, self.words), np.uint64)
+        self.table = np.zeros((SEPARATOR + 1, self.words), np.uint64)
         for at, c in symbols:
             mask = np.uint64(1 << (at % 64))
             if c < 0:
-                self.table[:, at // 64] |= mask
+                self.table[:SEPARATOR, at // 64] |= mask
             else:
                 self.table[c, at // 64] |= mask
         self.start, self.loops = (self._mask(x) for x in (starts, loops))
@@ -130,7 +135,7 @@ def split_url(url: F.Column) -> tuple[F.Column, F.Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES, globs: tuple[str, ...] = BLOCK_GLOBS) -> DataFrame:
+def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES, globs: tuple[Glob, ...] = BLOCK_GLOBS) -> DataFrame:
     """Verdict for each url: (key, host, path, rule, verdict).
 
     The longest host rule that fits decides (the first listed among equals); without one, a matching glob blocks.
@@ -162,14 +167,14 @@ def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
 
 
 def join_parts(hraw: np.ndarray, hat: np.ndarray, praw: np.ndarray, pat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """'.' + host + US + path of every row as one byte buffer with offsets."""
+    """'.', host, separator, path of every row as one buffer of symbols with offsets."""
     hlen, plen = np.diff(hat), np.diff(pat)
     at = np.zeros(len(hlen) + 1, np.int64)
     np.cumsum(hlen + plen + 2, out=at[1:])
-    raw = np.empty(at[-1], np.uint8)
+    raw = np.empty(at[-1], np.uint16)
     raw[at[:-1]] = 0x2E
     raw[np.arange(len(hraw)) + np.repeat(at[:-1] + 1 - hat[:-1], hlen)] = LOWER[hraw]
-    raw[at[:-1] + 1 + hlen] = 0x1F
+    raw[at[:-1] + 1 + hlen] = SEPARATOR
     raw[np.arange(len(praw)) + np.repeat(at[:-1] + 2 + hlen - pat[:-1], plen)] = praw
     return raw, at
 
