@@ -8,9 +8,12 @@ of ``size`` words; an item of fewer words, but not none, is one window. Everythi
 * the hashes are exploded with their positions and joined with the benchmark's. The benchmark's window hashes are
   broadcast if their counted number is within ``BROADCAST_ROWS``; beyond that the join is a shuffled one;
 * every hit is verified by comparing the words themselves, at the hit's position, with the window's words;
-* hits of a document become an array of hit words, and its text is joined once, by doc_id.
+* hits of a document become an array of hit words, and its text is joined once, by id and a hash of the text: only texts with
+  hits are cut into words a second time.
 
-Null and empty texts have no words. An item without words has no windows. Repeated items each count.
+Null and empty texts have no words. An item without words has no windows. Repeated items each count. Every row is judged by its
+own text: rows of one id with different texts, rows without an id, and repeated rows. Ties cannot occur. Very long texts are
+taken whole. Without documents or without benchmark items nothing is hit. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,41 +68,48 @@ def benchmark_windows(benchmark: DataFrame, item_key: str, item_text: str, size:
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = SIZE) -> DataFrame:
-    """(key, n_words, spans, items) for every document.
+    """(key, uid, n_words, spans, items) for every row; uid is a hash of the text.
 
     spans: sorted, distinct array of (start, end) word indexes of verified windows, end exclusive; items: the distinct
-    items with occurring windows. Both are empty for clean documents. A null key stays a row of its own, without hits.
+    items with occurring windows. Both are empty for clean documents.
     """
-    docs = one_column(documents, key=key, text=text)
-    tokens = docs.select("key", words(F.col("text")).alias("words"))
+    docs = one_column(documents, key=key, text=text).withColumn("uid", F.xxhash64("text"))
+    counted = docs.select("key", "uid", F.size(words(F.col("text"))).alias("n_words"))
     windows = materialize(benchmark_windows(benchmark, item_key, item_text, size), "windows")
+    none = {"spans": "array<struct<start:int,end:int>>", "items": windows.schema["items"].dataType}
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most `size` values
     if not sizes:
-        return tokens.select(F.col("key").alias(key), F.size("words").alias("n_words"), F.expr("array() :: array<struct<start:int,end:int>>").alias("spans"), F.array().cast(windows.schema["items"].dataType).alias("items"))
+        return counted.select(F.col("key").alias(key), "uid", "n_words", *[F.array().cast(kind).alias(c) for c, kind in none.items()])
     single = with_window_hashes(windows.select("size", "words"), sizes)
     hashed = reduce(DataFrame.unionByName, (single.where(F.col("size") == n).select("size", F.element_at(f"w{n}", 1).alias("hash")) for n in sizes)).distinct()
 
-    arrays = with_window_hashes(tokens.where("key IS NOT NULL"), sizes)
-    per_size = arrays.select("key", F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.col(f"w{n}").alias("hashes")) for n in sizes])).alias("e"))
-    every = per_size.select("key", "e.size", F.posexplode("e.hashes").alias("pos", "hash"))
-    hits = materialize(every.join(maybe_broadcast(hashed), ["size", "hash"]).select("key", "size", "pos"), "hits")
+    arrays = with_window_hashes(docs.select("key", "uid", words(F.col("text")).alias("words")), sizes)
+    per_size = arrays.select("key", "uid", F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.col(f"w{n}").alias("hashes")) for n in sizes])).alias("e"))
+    every = per_size.select("key", "uid", "e.size", F.posexplode("e.hashes").alias("pos", "hash"))
+    hits = materialize(every.join(maybe_broadcast(hashed, BROADCAST_HASHES), ["size", "hash"]).select("key", "uid", "size", "pos"), "hits")
 
     # the documents with hits, with the words at the hits: equality of the words is what counts
-    places = hits.groupBy("key").agg(F.collect_set(F.struct("size", "pos")).alias("places"))
-    found = tokens.join(maybe_broadcast(places, BROADCAST_PLACES), "key").select("key", "words", F.explode("places").alias("p"))
-    found = found.select("key", "p.size", "p.pos", F.array_join(F.slice("words", F.col("p.pos") + 1, F.col("p.size")), " ").alias("text"))
+    places = hits.groupBy("key", "uid").agg(F.collect_set(F.struct("size", "pos")).alias("places"))
+    found = of_rows(docs, maybe_broadcast(places, BROADCAST_PLACES), "inner").select("key", "uid", words(F.col("text")).alias("words"), F.explode("places").alias("p"))
+    found = found.select("key", "uid", "p.size", "p.pos", F.array_join(F.slice("words", F.col("p.pos") + 1, F.col("p.size")), " ").alias("text"))
     true = found.join(maybe_broadcast(windows.select("size", "text", "items"), BROADCAST_WINDOWS), ["size", "text"])
-    spans = true.groupBy("key").agg(
+    spans = true.groupBy("key", "uid").agg(
         F.sort_array(F.collect_set(F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("size")).alias("end")))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
     spans = materialize(spans, "spans")
-    out = tokens.select("key", F.size("words").alias("n_words")).join(maybe_broadcast(spans, BROADCAST_PLACES), "key", "left")
-    none = {"spans": "array<struct<start:int,end:int>>", "items": spans.schema["items"].dataType}
-    return out.select(F.col("key").alias(key), "n_words", *[F.coalesce(F.col(c), F.array().cast(kind)).alias(c) for c, kind in none.items()])
+    out = of_rows(counted, maybe_broadcast(spans, BROADCAST_PLACES), "left")
+    return out.select(F.col("key").alias(key), "uid", "n_words", *[F.coalesce(F.col(c), F.array().cast(kind)).alias(c) for c, kind in none.items()])
 
 
-#: Rows up to which the hit positions of documents, and the windows with their words, are broadcast.
+def of_rows(rows: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """Rows joined with the facts of their key, which may be null, and uid; the facts' other columns come along."""
+    other = facts.withColumnsRenamed({"key": "__key", "uid": "__uid"})
+    return rows.join(other, rows["key"].eqNullSafe(other["__key"]) & (rows["uid"] == other["__uid"]), how).drop("__key", "__uid")
+
+
+#: Rows up to which the windows' hashes, the hit positions of documents, and the windows with their words, are broadcast.
+BROADCAST_HASHES = 200_000
 BROADCAST_PLACES = 50_000
 BROADCAST_WINDOWS = 50_000
 
@@ -109,18 +119,24 @@ def covered(spans: str = "spans") -> Column:
     return F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["end"] - 1))))
 
 
+def hit_rows(documents: DataFrame, benchmark: DataFrame, key: str, text: str, options: dict) -> DataFrame:
+    """(key, uid, hit) of the rows with hits: the word indexes inside them."""
+    found = find_contamination(documents, benchmark, key, text, **options).where(F.size("spans") > 0)
+    return materialize(found.select(F.col(key).alias("key"), "uid", covered().alias("hit")).dropDuplicates(["key", "uid"]), "contaminated")
+
+
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without any window of the benchmark; all columns stay. Rows with a null key stay."""
-    found = find_contamination(documents, benchmark, key, text, **options).where(F.size("spans") > 0).select(F.col(key).alias("__key"))
-    bad = materialize(found, "contaminated")
-    return documents.join(maybe_broadcast(bad), F.col(key) == F.col("__key"), "left_anti")
+    """The documents without any window of the benchmark; all columns stay. Every row is judged by its own text, with or without an id."""
+    bad = hit_rows(documents, benchmark, key, text, options).select(F.col("key").alias("__key"), F.col("uid").alias("__uid"))
+    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__uid"))
+    return documents.join(maybe_broadcast(bad), same, "left_anti")
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(key, kept): the words outside all hits, lower-cased and joined by a space."""
-    found = find_contamination(documents, benchmark, key, text, **options).where(F.size("spans") > 0).select(F.col(key).alias("key"), covered().alias("hit"))
-    tokens = one_column(documents, key=key, text=text).select("key", words(F.col("text")).alias("words"))
-    out = tokens.join(maybe_broadcast(materialize(found, "hit"), BROADCAST_PLACES), "key", "left")
+    found = hit_rows(documents, benchmark, key, text, options)
+    docs = one_column(documents, key=key, text=text).withColumn("uid", F.xxhash64("text"))
+    out = of_rows(docs, maybe_broadcast(found, BROADCAST_PLACES), "left").select("key", "hit", words(F.col("text")).alias("words"))
     kept = F.when(F.col("hit").isNull(), F.col("words")).otherwise(F.filter("words", lambda w, i: ~F.array_contains(F.col("hit"), i)))
     return out.select(F.col("key").alias(key), F.array_join(kept, " ").alias("kept"))
 
