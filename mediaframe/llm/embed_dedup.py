@@ -5,15 +5,20 @@ number of copies. A table's hash of a vector is ``k`` cross-polytope codes: afte
 Hadamard transform, the coordinate of largest magnitude with its sign. A vector lives in the bucket of its codes and visits
 ``PROBES`` more: those in which one code is replaced by its second choice, smallest loss first. ``k`` follows from the
 number of vectors (a bucket has about ``BUCKET`` of them), and the number of tables from the collision rate of pairs at the
-threshold, measured by simulation, so that such a pair misses all tables with probability ``MISS`` at most.
+threshold, measured by simulation, so that such a pair misses all tables with probability ``MISS`` at most. Where that takes
+more than ``TABLES`` tables, fewer codes do with larger buckets; where even one code takes more, there are no codes: all vectors
+of a label are one bucket, compared exactly in pairs of blocks.
 
 In a bucket every resident is compared with the other residents and with the visitors: cosines in double precision, in
 blocks. Buckets over ``BLOCK`` rows are split into pairs of blocks, none is capped. A pair that several tables or buckets
 find counts in the first only; each row carries its codes of all tables for that. Blocks emit sums for each vector and a
-spanning forest, never the pairs.
+spanning forest, never the pairs. A cosine within ``CLOSE`` of the threshold is computed again by the plain formula with exact
+sums, so that it does not depend on the block that a pair falls in.
 
 Null, empty or zero vectors, those with null or non-finite components, and null labels link with nothing: n_links 0, their
-own component. Null ids are kept as rows without links. Repeated ids with other vectors are not supported.
+own component. Null ids are kept as rows without links. Repeated rows are one vector. Rows of one id with other vectors or
+labels are different vectors, each with its own links; the id itself connects nothing.
+Vectors of other lengths never link. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ PROBES = 1
 BUCKET = 400
 BLOCK = 1024
 MISS = 0.002
+TABLES = 200
+CLOSE = 1e-12
 SEED = 20240
 
 
@@ -69,6 +76,9 @@ def codes(x: np.ndarray, tables: int, k: int, probes: int = PROBES) -> np.ndarra
             best, next_ = np.where(swap, top[:, 0], top[:, 1]), np.where(swap, top[:, 1], top[:, 0])
             first[:, j], second[:, j] = best + d * (y[rows, best] < 0), next_ + d * (y[rows, next_] < 0)
             loss[:, j] = size[rows, best] - size[rows, next_]
+        if not k:
+            out[:, t, 1:] = -1
+            continue
         base = (2 * d) ** np.arange(k)
         out[:, t, 0] = (first * base).sum(axis=1)
         order = np.argsort(loss, axis=1, kind="stable")
@@ -89,7 +99,7 @@ def collide(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def plan(count: int, dim: int, threshold: float) -> tuple[int, int]:
     """Codes in a bucket's number, and tables, for so many vectors of a label."""
     d = max(2, 1 << (dim - 1).bit_length())
-    k = max(1, min(4, math.ceil(math.log(max(count / BUCKET, 1), 2 * d))))
+    k = max(1, math.ceil(math.log(max(count / BUCKET, 1), 2 * d)))
     rng = np.random.default_rng(SEED)
     x = rng.standard_normal((4000, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -97,15 +107,25 @@ def plan(count: int, dim: int, threshold: float) -> tuple[int, int]:
     z -= (z * x).sum(axis=1, keepdims=True) * x
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * z
-    rate = float(collide(codes(x, 4, k), codes(y, 4, k)).mean())
-    return k, max(2, min(200, math.ceil(math.log(MISS) / math.log(max(1e-6, 1 - rate)))))
+    while k:
+        rate = float(collide(codes(x, 4, k), codes(y, 4, k)).mean())
+        tables = max(2, math.ceil(math.log(MISS) / math.log(1 - min(rate, 1 - 1e-9)))) if rate > 0 else TABLES + 1
+        if tables <= TABLES:
+            return k, tables
+        k -= 1
+    return 0, 1
+
+
+def plain_cosine(a: np.ndarray, b: np.ndarray) -> float:
+    return math.fsum((a * b).tolist()) / math.sqrt(math.fsum((a * a).tolist()) * math.fsum((b * b).tolist()))
 
 
 def find_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """(key, n_links, component_id) for every row."""
     rows = one_column(vectors, key=key, vector=vector, label=label).withColumn("vector", F.col("vector").cast("array<double>"))
     good = "key IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND exists(vector, x -> x <> 0)"
-    usable = rows.where(good).select("key", "vector", F.xxhash64(F.col("label").cast("string"), F.size("vector")).alias("class"))
+    rows = rows.withColumn("good", F.coalesce(F.expr(good), F.lit(False)))
+    usable = rows.where("good").select("key", "vector", F.xxhash64(F.col("label").cast("string"), F.size("vector")).alias("class"))
     same = usable.groupBy("class", "vector").agg(F.min("key").alias("rep"), F.count_distinct("key").alias("copies"))
     reps = materialize(same, "representatives")
     stats = reps.groupBy(F.size("vector").alias("dim"), "class").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()  # a row for each dimension
@@ -148,14 +168,17 @@ def find_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
             column = lambda c: np.asarray(group.column(c).combine_chunks())
             n, t = group.num_rows, int(group.column("table")[0].as_py())
             ids, copies, resident, own = column("id"), column("copies"), column("resident") == 1, column("own_block")
-            x = np.asarray(group.column("vector").combine_chunks().flatten()).reshape(n, -1)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            given = np.asarray(group.column("vector").combine_chunks().flatten()).reshape(n, -1)
+            x = given / np.linalg.norm(given, axis=1, keepdims=True)
             code = np.asarray(group.column("codes").combine_chunks().flatten()).reshape(n, -1, 1 + PROBES)
             crossing = column("low_block")[0] != column("high_block")[0]
             linked = np.zeros((n, n), bool)
             add = np.zeros(n, np.int64)
             for a in range(0, n, 256):
-                block = x[a : a + 256] @ x.T >= threshold
+                cosine = x[a : a + 256] @ x.T
+                block = cosine >= threshold
+                for i, j in zip(*np.nonzero(np.abs(cosine - threshold) <= CLOSE)):
+                    block[i, j] = plain_cosine(given[a + i], given[j]) >= threshold
                 block &= (resident[a : a + 256, None] | resident[None, :]) & (ids[a : a + 256, None] != ids[None, :])
                 if crossing:
                     block &= own[a : a + 256, None] != own[None, :]
@@ -182,10 +205,9 @@ def find_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     component = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     info = same_info(reps, sums, component)
-    member = usable.join(info, ["class", "vector"]).select("key", "n_links", "component").distinct()
-    return rows.select("key").join(materialize(member, "members"), "key", "left").select(
-        F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", F.col("key").cast("long")).alias("component_id")
-    )
+    linked = usable.join(info, ["class", "vector"]).select("key", "n_links", "component")
+    alone = rows.where("NOT good").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").cast("long").alias("component"))
+    return linked.unionByName(alone).select(F.col("key").alias(key), F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
 
 
 def same_info(reps: DataFrame, sums: DataFrame, component: DataFrame) -> DataFrame:
