@@ -5,6 +5,7 @@ import fnmatch
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -14,7 +15,9 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from mediaframe.llm import bpe, decontaminate, embed_dedup, jaccard, pii, secrets, toxicity, url_filter
-from mediaframe.llm.common import components
+from mediaframe.llm import common
+from mediaframe.llm.common import components, span_hashes, word_hashes
+from tests.llm import brute
 from tests.llm.conftest import prose
 
 
@@ -106,6 +109,9 @@ def test_urls(spark):
         "": ("", "", None, "allow"),
         "://": ("", "", None, "allow"),
         "a://b://c/d": ("b:", "//c/d", None, "allow"),
+        "http://evil.org/a.com\x1f/b": ("evil.org", "/a.com\x1f/b", None, "allow"),
+        "http://evil.org\x1f.com/b": ("evil.org\x1f.com", "/b", "com/", "allow"),
+        "http://a.org/x.xxx\x1f/spam": ("a.org", "/x.xxx\x1f/spam", None, "allow"),
     }
     rows = list(urls) + [None, "http://" + "x" * 5000 + ".com/" + "y" * 5000]
     table = spark.createDataFrame([(i, u, "h") for i, u in enumerate(rows)], "page_id long, url string, host string").repartition(3)
@@ -127,32 +133,12 @@ def test_automaton_as_globs(globs, texts):
 # Jaccard join
 
 
-def brute_components(ids, linked):
-    parent = {i: i for i in ids}
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a in ids:
-        for b in ids:
-            if a < b and linked(a, b):
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
-    return {i: find(i) for i in ids}
-
-
 @pytest.mark.parametrize("size, num", [(3, 90), (5, 80), (1, 60)])
 def test_jaccard_as_brute_force(documents, corpus, size, num, monkeypatch):
     monkeypatch.setattr(jaccard, "LIST_BLOCK", 6)
     monkeypatch.setattr(jaccard, "GROUP_BLOCK", 4)
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = {}
-    for i, t in corpus:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))
-        sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
-    want = brute_components(sorted(sets), lambda a, b: sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]))
+    sets = {i: brute.shingles(t, size) for i, t in corpus}
+    want = brute.similar(corpus, size, num)
     got = {r.doc_id: r for r in jaccard.similar_sets(documents, size=size, num=num, den=100).collect()}
     assert {i: got[i].n_shingles for i in sets} == {i: len(s) for i, s in sets.items()}
     assert {i: got[i].component_id for i in sets} == want
@@ -160,6 +146,104 @@ def test_jaccard_as_brute_force(documents, corpus, size, num, monkeypatch):
     assert any(c != i for i, c in want.items())
 
 
+def morse(flip):
+    """1024 letters a and b; with flip, the other letter at every place."""
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024))
+
+
+def test_words_that_differ_in_every_byte(spark):
+    rows = [(1, morse(0)), (2, morse(1)), (3, morse(0).upper()), (4, "x" * 70), (5, "x" * 71)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.similar_sets(table).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    words = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    at = np.cumsum([0] + [len(t) for _, t in rows])
+    assert len(set(word_hashes(words, at[:-1], at[1:]).tolist())) == 5
+    values = np.frombuffer((morse(0) + morse(1)).encode(), np.uint8).astype(np.uint64)
+    assert len(set(span_hashes(values, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=40), st.integers(1, 12), st.integers(1, 12))
+def test_span_hashes_tell_spans(values, a, b):
+    v = np.array(values, np.uint64)
+    spans = [(i, i + n) for n in {a, b} for i in range(len(v) - n + 1)]
+    if spans:
+        start, end = np.array(spans).T
+        h = span_hashes(v, start, end).tolist()
+        assert all((h[i] == h[j]) == (values[slice(*spans[i])] == values[slice(*spans[j])]) for i in range(len(spans)) for j in range(i))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(1, 40), st.integers(0, 12)), min_size=1, max_size=40), st.sampled_from([60, 80, 90]))
+def test_skipping_leaves_what_the_bounds_leave(rows, num):
+    rows = sorted((o, n, min(p, n - 1)) for o, n, p in rows)
+    owner, n, position = (np.array(x, np.int64) for x in zip(*rows))
+    got = {(int(a), int(b)) for left, right in jaccard.skipping(owner, n, position, np.arange(len(rows)), num, 100, most=7) for a, b in zip(left, right)}
+    least = lambda x, y: jaccard.needed(x, y, num, 100)
+    want = {
+        (i, j)
+        for i, (a, x, p) in enumerate(rows)
+        for j, (b, y, q) in enumerate(rows)
+        if a == b and 100 * min(x, y) >= num * max(x, y) and min(x - p, y - q) >= least(x, y)
+    }
+    assert got == want
+
+
+def test_skipped_pairs_are_never_made():
+    """A list of many sizes: the pairs made are those left, not all."""
+    n = np.repeat(np.arange(100, 2100, 2), 4)
+    position = np.tile(np.array([0, 5, 9, 400]), 1000)
+    order = np.lexsort((position, n))
+    made = sum(len(a) for a, _ in jaccard.skipping(np.zeros(len(n), np.int64), n[order], position[order], np.arange(len(n)), 90, 100))
+    assert made < 0.06 * len(n) ** 2
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_relations_as_brute_force(num):
+    rng = np.random.default_rng(num)
+    for _ in range(12):
+        bases = [rng.integers(0, 5000, rng.integers(20, 90)) for _ in range(4)]
+        sets = []
+        for _ in range(60):
+            x = bases[rng.integers(4)].copy()
+            k = rng.integers(0, max(1, len(x) // 6))
+            x[rng.integers(0, len(x), k)] = rng.integers(5000, 9000, k)
+            sets.append(np.unique(x))
+        at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        label, told = jaccard.relations(np.concatenate(sets), at, num, 100)
+        plain = [set(x.tolist()) for x in sets]
+        want = brute.components(list(range(60)), lambda a, b: 100 * len(plain[a] & plain[b]) >= num * len(plain[a] | plain[b]))
+        assert all((label[i] == label[j]) == (want[i] == want[j]) for i in range(60) for j in range(60))
+        assert told["exact"] < told["pairs"]
+
+
+def test_copies_of_a_pivot_are_not_compared():
+    rng = np.random.default_rng(1)
+    base = np.arange(400)
+    sets = [base] + [np.unique(np.append(np.delete(base, rng.integers(0, 400, 3)), rng.integers(1000, 9000, 3))) for _ in range(400)]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    label, told = jaccard.relations(np.concatenate(sets), at, 90, 100)
+    assert len(set(label.tolist())) == 1 and told["pivots"] == 1 and told["exact"] == 0
+
+
+def test_jaccard_of_a_large_group(spark, monkeypatch):
+    """A group dealt over tasks: pivots first, then the sets outside the largest component."""
+    monkeypatch.setattr(jaccard, "GROUP_BLOCK", 8)
+    rng = random.Random(9)
+    base = prose(rng, 120).split()
+    rows, now = [], list(base)
+    for i in range(60):
+        words = list(base)
+        for _ in range(i % 5):
+            words[rng.randrange(120)] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    for i in range(60, 90):  # a chain that leads away
+        now = now[1:] + [f"far{i}"]
+        rows.append((i, " ".join(now)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in jaccard.similar_sets(table).collect()} == brute.similar(rows, 3, 90)
+
+
 def test_jaccard_empty(empty):
     assert jaccard.similar_sets(empty).count() == 0 and jaccard.keep_first(empty).count() == 0
 
@@ -177,29 +261,15 @@ def test_components(spark):
     nodes = sorted({n for e in edges for n in e if e[0] != e[1]})
     links = set(edges) | {(b, a) for a, b in edges}
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == brute_components(nodes, lambda a, b: (a, b) in links)
+    assert got == brute.components(nodes, lambda a, b: (a, b) in links)
 
 
 # personal data
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
-PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-
-
-def plain_spans(t):
-    digits = lambda m: re.sub("[^0-9]", "", m[0])
-    out = [(0, *m.span()) for m in EMAIL.finditer(t)]
-    out += [(1, *m.span()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
-    out += [(2, *m.span()) for m in CARD.finditer(t) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
-    return out + [(3, *m.span()) for m in PHONE.finditer(t) if 9 <= len(digits(m)) <= 15]
-
-
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b.c", "@", ".", "1", "25", "256", "+", " ", "-", "(", "é", "4111111111111111", "+1 (555) 555-1234", "1.2.3.4", "x@y.z"]), max_size=25).map("".join))
 def test_base_spans_as_patterns(text):
-    assert pii.base_spans(text) == plain_spans(text)
+    assert pii.base_spans(text) == brute.base_spans(text)
 
 
 def test_base_spans_of_long_runs():
@@ -221,11 +291,53 @@ def test_bootstrapping(spark):
     assert masked[21] == text[21] and masked[22] is None and masked[23] == ""
 
 
-def test_pii_columns(documents, empty, corpus):
+def test_found_values_bring_in_patterns(spark):
+    """Second hop: seeds make 'badge holder *' a pattern; the values it finds make 'visitor pass *' one, though no seed stands there."""
+    cards = ["4111111111111111", "5500000000000004", "340000000000009", "6011000000000004"]
+    rows = [(i, f"the badge holder {c} came in") for i, c in enumerate(cards)]
+    rows += [(10 + i, f"badge holder AB-12345{i} left") for i in range(3)] + [(20 + i, f"visitor pass AB-12345{i} shown") for i in range(3)] + [(30, "visitor pass QX99887766 shown"), (31, "order QX11223344 sent")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    added = lambda found: {(r.key, text[r.key][s.start : s.end]) for r in found.collect() for s in r.added}
+    once = pii.bootstrap(pii.scan(docs, "doc_id", "text"), 1)
+    assert (30, "QX99887766") not in added(once)
+    got = added(pii.find_spans(docs))
+    assert (30, "QX99887766") in got and (10, "AB-123450") in got and not any(k == 31 for k, _ in got)
+
+
+def test_candidates_of_any_length_and_place():
+    cut = lambda t: [t[a:b] for k, a, b, _, _ in pii.occurrences(t) if k < 0]
+    assert cut("card " + "7" * 70 + " end") == ["7" * 70]
+    assert cut("call 06 12 34 56 78 or 555 867 5309 now") == ["06 12 34 56 78", "555 867 5309"]
+    assert cut('{"id":"AB-123456","n":"x"}') == ["AB-123456"]
+    assert cut("电话12345678号") == ["12345678"]
+    assert cut("write to bob@localhost.") == ["bob@localhost"] and cut("12345 no") == []
+    long = pii.occurrences("left" * 60 + " " + "7" * 70 + " " + "right" * 40)[0][4]
+    assert f"L {'left' * 60} {'0' * 70}" in long and f"R {'right' * 40} {'0' * 70}" in long
+    for t in ("1" * 50_000, "a" * 50_000 + "@", "1 " * 30_000, "a-" * 30_000 + "1", "@" * 20_000, "1.2.3.4," * 5_000, "(" * 30_000, "_" * 50_000):
+        pii.occurrences(t)
+
+
+def test_added_spans_as_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.key: r for r in pii.find_spans(docs).collect()}
+    rows = [tuple(r) for r in docs.collect()]
+    want = brute.bootstrap([t for _, t in rows])
+    assert all([tuple(s) for s in got[i].added] == want.get(t, []) for i, t in rows)
+    assert all([tuple(s) for s in got[i].base] == brute.base_spans(t or "") for i, t in rows)
+    added = [t[a:b] for _, t in rows for _, a, b in want.get(t, [])]
+    # numbers of cards that fail the check digit are found, tokens in quotes are not
+    assert added and all(re.fullmatch("[0-9]{16}", v) for v in added)
+
+
+def test_pii_columns(spark, documents, empty, corpus):
     got = {r.key: r for r in pii.find_spans(documents).collect()}
     for i, t in corpus:
-        assert [tuple(s) for s in got[i].base] == plain_spans(t or "")
+        assert [tuple(s) for s in got[i].base] == brute.base_spans(t or "")
     assert pii.find_spans(empty).count() == 0 and pii.mask(empty).count() == 0
+    same = spark.createDataFrame([(1, "a@b.cd here"), (1, "nothing"), (1, "a@b.cd here"), (None, "x 1.2.3.4"), (None, None)], "doc_id long, text string")
+    assert sorted((str(r.key), len(r.base)) for r in pii.find_spans(same).collect()) == [("1", 0), ("1", 1), ("1", 1), ("None", 0), ("None", 1)]
+    assert sorted(str(r.text) for r in pii.mask(same).collect()) == ["None", "[EMAIL] here", "[EMAIL] here", "nothing", "x [IP]"]
 
 
 # secrets
@@ -287,36 +399,76 @@ def test_short_secrets_of_keys(spark):
     assert got == {0: False, 1: False, 2: False, 3: True, 4: True, 5: True}
 
 
+def test_long_words_of_secrets(spark):
+    """One word of a megabyte takes seconds, whatever it is made of; every run of it is a candidate."""
+    rng = random.Random(2)
+    runs = ["".join(rng.choices("abcdef0123456789", k=20)) for _ in range(45_000)]
+    words = [",".join(runs), "a" * 1_000_000, "password" * 120_000, 'secret="' + "a1" * 400_000 + '"', "token=a&b" * 100_000, "=" * 1_000_000, None, ""]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").repartition(4)
+    began = time.time()
+    found = secrets.candidates(docs, path=None).groupBy("key").count().collect()
+    assert {r.key: r["count"] for r in found} == {0: 45_000, 3: 1}
+    assert time.time() - began < 60
+
+
+def test_planted_secrets_of_documents(spark):
+    """Tokens that stand in quotes after 'token =' in the table were not made by the rules that train the forest."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {(r.doc_id, v.lower()) for r in docs.collect() for v in re.findall(r'(?i)token = "([0-9a-f]{40})"', r.text or "")}
+    got = {(r.doc_id, r.value.lower()) for r in secrets.scan(docs, secrets.train(secrets.findings(spark))).where("secret").collect()}
+    assert truth and len(truth & got) >= 0.95 * len(truth) and len(truth & got) >= 0.95 * len(got)
+
+
+def test_candidates_as_brute_force(spark, documents, corpus):
+    """Unassigned runs: at least 16 characters, with a digit."""
+    got = {}
+    for r in secrets.candidates(documents).collect():
+        got.setdefault(r.key, []).append((r.word_index, r.value))
+    for i, t in corpus:
+        words = re.split(r"\s+", t or "", flags=re.ASCII)
+        want = [(k, v) for k, w in enumerate(words) for v in re.findall(r"[A-Za-z0-9+/_-]{16,}", w) if re.search("[0-9]", v)]
+        assert sorted(got.get(i, [])) == sorted(want), i
+
+
 # decontamination
 
 
 def test_decontamination_as_brute_force(spark, documents, corpus):
     bench = [(1, " ".join((corpus[3][1] or "x").split()[5:30])), (2, (corpus[8][1] or "")[:400].upper()), (3, "changed"), (4, None), (5, "!!"), (6, "word, word"), (6, "word, word")]
     items = spark.createDataFrame([(i, t, 0) for i, t in bench], "item_id long, text string, key int")
-    split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]
-    windows = {}
-    for i, t in bench:
-        w = split(t)
-        n = min(10, len(w))
-        for k in range(len(w) - n + 1 if n else 0):
-            windows.setdefault(tuple(w[k : k + n]), set()).add(i)
+    windows = brute.windows(bench)
     got = {r.doc_id: r for r in decontaminate.find_contamination(documents, items).collect()}
     hits = 0
     for i, t in corpus:
-        w = split(t)
-        spans = sorted((k, k + len(x)) for x in windows for k in range(len(w) - len(x) + 1) if tuple(w[k : k + len(x)]) == x)
-        seen = {j for x in windows if any(tuple(w[k : k + len(x)]) == x for k in range(len(w) - len(x) + 1)) for j in windows[x]}
-        assert (got[i].n_words, sorted(map(tuple, got[i].spans)), set(got[i].items)) == (len(w), spans, seen), i
+        n, spans, seen = brute.contamination(t, windows)
+        assert (got[i].n_words, sorted(map(tuple, got[i].spans)), set(got[i].items)) == (n, spans, seen), i
         hits += bool(spans)
     assert hits
     kept = {r.doc_id for r in decontaminate.drop_contaminated(documents, items).collect()}
     assert kept == {i for i, _ in corpus if not got[i].spans} | {None}
     left = {r.doc_id: r.kept for r in decontaminate.remove_spans(documents, items).collect()}
     for i, t in corpus:
-        w = split(t)
+        w = brute.benchmark_words(t)
         assert left[i] == " ".join(x for k, x in enumerate(w) if not any(a <= k < b for a, b in got[i].spans))
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_decontamination_judges_rows(spark, shuffled, monkeypatch):
+    """Rows of one id, without an id, and repeated: each by its own text; broadcast or shuffled."""
+    if shuffled:
+        for name in ("BROADCAST_HASHES", "BROADCAST_PLACES", "BROADCAST_WINDOWS"):
+            monkeypatch.setattr(decontaminate, name, 0)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    item = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, f"well {item}"), (1, "four clean words here"), (None, item), (None, "clean"), (2, item), (2, item), (3, None)]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, [tuple(s) for s in r.spans]) for r in decontaminate.find_contamination(docs, items).collect())
+    both = [(0, 10), (1, 11)]
+    assert got == sorted([("1", 12, [(1, 11), (2, 12)]), ("1", 4, []), ("None", 11, both), ("None", 1, []), ("2", 11, both), ("2", 11, both), ("3", 0, [])])
+    assert sorted(map(str, (r.text for r in decontaminate.drop_contaminated(docs, items).collect()))) == ["None", "clean", "four clean words here"]
+    assert sorted(r.kept for r in decontaminate.remove_spans(docs, items).collect()) == sorted(["well", "four clean words here", "", "clean", "", "", ""])
+
+
 def test_decontamination_without_benchmark(spark, documents, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(documents, none).where("size(spans) > 0").count() == 0
@@ -338,7 +490,7 @@ def test_embeddings_as_brute_force(spark, block, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.find_links(table).collect()}
     good = {i: (np.array(v), y) for i, v, y in rows if v and y is not None and None not in v and np.isfinite(v).all() and np.any(v)}
     near = lambda a, b: good[a][1] == good[b][1] and len(good[a][0]) == len(good[b][0]) and good[a][0] @ good[b][0] / np.linalg.norm(good[a][0]) / np.linalg.norm(good[b][0]) >= 0.93
-    want = brute_components(sorted(good), near)
+    want = brute.components(sorted(good), near)
     links = {a: sum(a != b and near(a, b) for b in good) for a in good}
     total, found = sum(links.values()), sum(got[i][0] for i in good)
     assert found >= 0.98 * total and all(got[i][0] <= links[i] for i in good)
@@ -349,3 +501,34 @@ def test_embeddings_as_brute_force(spark, block, monkeypatch):
 def test_collision_rate_decides_tables():
     k, tables = embed_dedup.plan(10_000_000, 64, 0.93)
     assert k >= 2 and tables > embed_dedup.plan(1000, 64, 0.93)[1]
+
+
+def test_few_codes_where_tables_would_be_too_many():
+    k, tables = embed_dedup.plan(1_000_000_000, 64, 0.8)
+    assert tables <= embed_dedup.TABLES and k >= 1
+    assert embed_dedup.plan(1000, 64, -1.0) == (0, 1)
+
+
+def test_embeddings_at_a_low_threshold(spark):
+    """No codes can promise such pairs: all are compared."""
+    assert embed_dedup.plan(60, 8, -0.95) == (0, 1)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(8).tolist(), i % 2) for i in range(60)]
+    got = {r.vec_id: r.n_links for r in embed_dedup.find_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=-0.95).collect()}
+    v = np.array([x for _, x, _ in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = (v @ v.T >= -0.95) & (np.arange(60)[:, None] % 2 == np.arange(60)[None, :] % 2)
+    assert got == {i: int(near[i].sum()) - 1 for i in range(60)}
+
+
+def test_pairs_at_the_threshold(spark):
+    """Cosines equal to the threshold link, whatever block they fall in; so do rows of one id with their own vectors."""
+    a, b = [3.0, 4.0, 0.0, 0.0], [0.0, 4.0, 3.0, 0.0]
+    at = embed_dedup.plain_cosine(np.array(a), np.array(b))
+    rows = [(1, a, 0), (2, b, 0), (3, [-1.0, 0.0, 0.0, 9.0], 0), (3, [6.0, 8.0, 0.0, 0.0], 0), (3, [6.0, 8.0, 0.0, 0.0], 0), (None, a, 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embed_dedup.find_links(table, threshold=at).collect())
+    assert got == [("1", 2, "1"), ("2", 2, "1"), ("3", 0, "3"), ("3", 2, "1"), ("3", 2, "1"), ("None", 0, "None")]
+    above = embed_dedup.find_links(table, threshold=float(np.nextafter(at, 1))).where("vec_id = 2").first()
+    assert above.n_links == 0
+    assert embed_dedup.find_links(table.limit(0)).count() == 0

@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from mediaframe.llm import lpf_dedup, repeats, tree_dedup
+from mediaframe.llm.common import utf8
 from mediaframe.llm.lpf_dedup import longest_previous
 
 
@@ -57,8 +58,9 @@ def test_long_prefixes(documents, corpus, monkeypatch, name, value):
     assert all(got[i] == sum(masks[i]) for i, _ in rows)
 
 
-def test_wide_anchors(documents, corpus, monkeypatch):
-    monkeypatch.setattr(repeats, "WIDE", 0)
+@pytest.mark.parametrize("limit, value", [("WIDE", 0), ("HOT", 0), ("HOT", 2)])
+def test_wide_anchors(documents, corpus, monkeypatch, limit, value):
+    monkeypatch.setattr(repeats, limit, value)
     monkeypatch.setattr(repeats, "HELD", 500)
     monkeypatch.setattr(repeats, "BUCKET_BYTES", 4000)
     rows = [(i, (t or "").encode()) for i, t in corpus]
@@ -69,6 +71,34 @@ def test_wide_anchors(documents, corpus, monkeypatch):
         assert (got[i].n_removed, got[i].kept_sha256) == (sum(masks[i]), hashlib.sha256(kept).hexdigest()), i
 
 
+def test_windows_that_differ_in_one_place(spark):
+    """Twelve shared words, then one of 1024 letters and the one with every letter changed: no window repeats; in the third all do."""
+    morse = lambda flip: "".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024))
+    shared = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{shared} {morse(0)}"), (2, f"{shared} {morse(1)}"), (3, f"{shared} {morse(0)}")]
+    got = {r.doc_id: r.n_removed for r in tree_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def all_alike(batch):
+    raw, at = utf8(batch.column("text"))
+    return np.ones(len(raw), np.uint64), at
+
+
+def test_equal_hashes_of_other_contents(documents, corpus, monkeypatch):
+    """Where all contents have one hash, the witness tells, and other hashes are taken."""
+    known, seeds = repeats.find_candidates, []
+
+    def find(docs, symbols, length, gram, name, seed=0):
+        seeds.append(seed)
+        return known(docs, symbols if seed else all_alike, length, gram, name, seed)
+
+    monkeypatch.setattr(lpf_dedup, "find_candidates", find)
+    got = {r.doc_id: len(r.kept) for r in lpf_dedup.remove_repeats(documents).collect()}
+    masks = covered([(i, (t or "").encode()) for i, t in corpus], 50)
+    assert seeds == [0, 1] and all(got[i] == len(m) - sum(m) for i, m in masks.items())
+
+
 def test_empty_tables(empty):
     assert lpf_dedup.remove_repeats(empty).count() == 0
     assert tree_dedup.remove_repeats(empty).count() == 0
