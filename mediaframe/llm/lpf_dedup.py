@@ -10,10 +10,9 @@ task, which
    next smaller values), with the least common prefix on the way; the longer of the two is the longest previous factor;
 3. gives an interval for every factor of at least ``length`` bytes.
 
-Copies of a whole stretch are one class: its first document's stretch and its second's are in the suffix array, and the
-second's longest previous factor, which must be the whole stretch, decides for all others. The windows of a hot anchor, or of
-one with more than ``repeats.WIDE`` stretches, are told by 128 bits of hashes, and their least documents found by a partial
-aggregation; no two copies of such a window need to meet.
+Copies of a whole stretch are one entry, its first document's; for the others the factor is the stretch, told by hashes of its
+anchor and of its content (``repeats``). The windows of a hot anchor, or of one with more than ``repeats.WIDE`` stretches, are
+told by 128 bits of hashes, and their least documents found by a partial aggregation; no two copies of such a window need to meet.
 
 Null and empty texts have no bytes. Rows with a null id are kept whole and remove nothing. Ids are unique, or their rows
 repeated as a whole; a document never removes its own repeats. Extra columns are ignored.
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from mediaframe.llm.common import BYTE_WORDS, chunks, grouped, materialize, mix, one_column, pack_groups, span_hashes, utf8
-from mediaframe.llm.repeats import WHOLE, WIDELY, WITNESS, covered_mask, find_candidates, intervals_by_document, requests_by_document, settled
+from mediaframe.llm.repeats import covered_mask, find_candidates, intervals_by_document, requests_by_document, settled
 from mediaframe.session import map_arrow
 
 LENGTH, GRAM = 50, 20
@@ -85,10 +84,10 @@ def longest_previous(suffixes: np.ndarray, size: np.ndarray, group: np.ndarray,
     return out
 
 
-def find_spans(docs: DataFrame, length: int, gram: int, seed: int = 0) -> DataFrame:
+def find_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc, spans) of documents with removed bytes, from (key, text)."""
-    found = find_candidates(docs, symbols, length, gram, "bytes", seed)
-    asked = requests_by_document(found, f"wide & {WIDELY} = 0")
+    found = find_candidates(docs, symbols, length, gram, "bytes")
+    asked = requests_by_document(found, "wide = 0")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -97,19 +96,18 @@ def find_spans(docs: DataFrame, length: int, gram: int, seed: int = 0) -> DataFr
             lists = batch.column("asked")
             flat = lists.flatten()
             owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
-            first, count, anchor, flags = (np.asarray(flat.field(c)).astype(np.int64) for c in ("first", "count", "anchor", "wide"))
+            first, count, anchor = (np.asarray(flat.field(c)).astype(np.int64) for c in ("first", "count", "anchor"))
             start = at[owner] + first
             pieces = [raw[a : a + n].tobytes() for a, n in zip(start.tolist(), (count - 1 + length).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key[owner]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(flags.astype(np.int32)), pa.array(pieces, pa.binary())], ["anchor", "doc", "first", "count", "flags", "piece"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key[owner]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(pieces, pa.binary())], ["anchor", "doc", "first", "count", "piece"])
 
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in pack_groups(grouped(batches, ["anchor"]), 4_000):
-            doc, first, count, flags = (np.asarray(table.column(c).combine_chunks()).astype(np.int64) for c in ("doc", "first", "count", "flags"))
+            doc, first, count = (np.asarray(table.column(c).combine_chunks()).astype(np.int64) for c in ("doc", "first", "count"))
             raw, offset = utf8(table.column("piece").combine_chunks())
             group = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            times = np.where(flags & WHOLE, 1, count)  # suffixes of each piece
-            row = np.repeat(np.arange(len(doc)), times)
-            shift = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            row = np.repeat(np.arange(len(doc)), count)
+            shift = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             size = count[row] - 1 + length - shift
             width = int(size.max())
             start = offset[row] + shift
@@ -117,25 +115,18 @@ def find_spans(docs: DataFrame, length: int, gram: int, seed: int = 0) -> DataFr
             suffixes = np.lib.stride_tricks.sliding_window_view(padded, width)[start]
             suffixes[np.arange(width)[None, :] >= size[:, None]] = 0
             factor = longest_previous(suffixes, size, group[row], doc[row])
-            checked = (flags[row] & WITNESS) > 0
-            hit = np.flatnonzero((factor >= length) & ~checked)
-            failed = np.flatnonzero(checked & (factor < size))
-            if len(hit) or len(failed):
-                both = np.concatenate([hit, failed])
-                sizes = np.concatenate([factor[hit], np.full(len(failed), -1)])
-                yield pa.RecordBatch.from_arrays([pa.array(doc[row[both]]), pa.array((first[row[both]] + shift[both]).astype(np.int32)), pa.array(sizes.astype(np.int32))], ["doc", "first", "count"])
-
-    pieces = map_arrow(docs.join(asked, docs["key"] == asked["doc"]).select("key", "text", "asked"), cut, "anchor long, doc long, first int, count int, flags int, piece binary")
+            hit = np.flatnonzero(factor >= length)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[row[hit]]), pa.array((first[row[hit]] + shift[hit]).astype(np.int32)), pa.array(factor[hit].astype(np.int32))], ["doc", "first", "count"])
+
+    pieces = map_arrow(docs.join(asked, docs["key"] == asked["doc"]).select("key", "text", "asked"), cut, "anchor long, doc long, first int, count int, piece binary")
     pieces = pieces.repartition("anchor").sortWithinPartitions("anchor")
-    factor = materialize(map_arrow(pieces, factors, "doc long, first int, count int"), "factors")
-    if not factor.where("count < 0").isEmpty():  # two contents of one hash
-        return find_spans(docs, length, gram, seed + 1)
-    return intervals_by_document(found.where("kind = 0"), factor, *hot_windows(docs, found, length))
+    return intervals_by_document(found.where("kind = 0"), map_arrow(pieces, factors, "doc long, first int, count int"), *hot_windows(docs, found, length))
 
 
 def hot_windows(docs: DataFrame, found: DataFrame, length: int) -> list[DataFrame]:
     """(doc, first, count) of the windows of hot anchors that a smaller document has."""
-    asked = requests_by_document(found, f"wide & {WIDELY} = {WIDELY}")
+    asked = requests_by_document(found, "wide = 1")
     if asked.isEmpty():
         return []
 

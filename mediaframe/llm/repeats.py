@@ -6,11 +6,9 @@ inside a passage that documents share, their stretches are the same. A stretch i
 of all its symbols, 64 bits each; about one stretch for every (length - gram + 2) / 2 symbols is sent, as packed columns, to
 the bucket of its anchor's hash.
 
-* Stretches of one content are a class. Its first stretch (of the least document) and that of its second document, the
-  witness, go through the suffix structure; the witness's longest earlier match has to be the whole stretch. That decision
-  holds for the class: all its documents but the first have the stretch earlier, a covered interval. Should a witness fail
-  (two contents of one hash), everything is done again with other hashes. Each task keeps no more than the two of a class
-  before it sends anything, so that the copies of a passage are sent twice for a task at most, however many there are.
+* Stretches of one content are a class. Documents other than the class's first (of least id) have the whole stretch earlier:
+  a covered interval. Each task sorts that out among its own documents before it sends anything, so that the copies of a
+  passage are sent once for a task, however many there are.
 * Classes that share an anchor with another class of another document may share some of their windows: the first
   document's stretches of such a class are requests, which the suffix structure decides.
 * An anchor with more than ``HOT`` contents in one task (a line that stands in ever other surroundings) is hot: its stretches
@@ -24,6 +22,7 @@ contents of an anchor from a task at most.
 from __future__ import annotations
 
 import gc
+import itertools
 import time
 from collections.abc import Callable, Iterator
 
@@ -35,13 +34,11 @@ from mediaframe.llm.common import chunks, doubled, materialize, mix, span_hashes
 from mediaframe.session import map_arrow
 
 #: Bytes of text for each bucket, and stretches that a task holds before it sends.
-BUCKET_BYTES, HELD = 16 << 20, 800_000
+BUCKET_BYTES, HELD = 8 << 20, 600_000
 #: Requests of one anchor beyond which its windows are dealt one by one, by their own hashes.
 WIDE = 20_000
 #: Contents of one anchor in a task beyond which the anchor is hot.
 HOT = 64
-#: Flags of requests: its windows are dealt one by one; only the whole stretch is asked for; it is the witness of its class.
-WIDELY, WHOLE, WITNESS = 1, 2, 4
 #: Symbols and offsets of a batch's texts: (values, n + 1 offsets).
 Symbols = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
 
@@ -149,18 +146,14 @@ def taken(part: dict[str, np.ndarray], rows: np.ndarray) -> dict[str, np.ndarray
     return {c: v[rows] for c, v in part.items()}
 
 
-def ranked(part: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """The stretches sorted by anchor, content, document; of each, its class's number, and whether it is of the class's first
-    document, and whether it is the class's witness: the first stretch of the second document."""
+def ranked(part: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The stretches sorted by anchor, content, document; of each, its class's number, and whether it is of the class's first document."""
     part = taken(part, np.lexsort((part["first"], part["doc"], part["content"], part["anchor"])))
     n = len(part["doc"])
     new = np.ones(n, bool)
     new[1:] = (part["content"][1:] != part["content"][:-1]) | (part["anchor"][1:] != part["anchor"][:-1])
     number = np.cumsum(new) - 1
-    first = part["doc"] == part["doc"][np.flatnonzero(new)][number] if n else new
-    witness = ~first
-    witness[1:] &= first[:-1]
-    return part, number, first, witness
+    return part, number, part["doc"] == part["doc"][np.flatnonzero(new)][number] if n else new
 
 
 def merged(doc: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,8 +184,8 @@ def _batch(kind: int, doc, first, count, anchor=None, wide=None) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["kind", "doc", "first", "count", "anchor", "wide"])
 
 
-def find_candidates(docs: DataFrame, symbols: Symbols, length: int, gram: int, name: str, seed: int = 0) -> DataFrame:
-    """From (key, text): covered intervals (kind 0: doc, first symbol, count of symbols) and requests (kind 1: doc, first window, count of windows, anchor, flags in wide)."""
+def find_candidates(docs: DataFrame, symbols: Symbols, length: int, gram: int, name: str) -> DataFrame:
+    """From (key, text): covered intervals (kind 0: doc, first symbol, count of symbols) and requests (kind 1: doc, first window, count of windows, anchor, wide)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total) // BUCKET_BYTES))
 
@@ -208,7 +201,7 @@ def find_candidates(docs: DataFrame, symbols: Symbols, length: int, gram: int, n
                 yield b, kind, pack(taken(part, order[edges[b] : edges[b + 1]]))
 
         def flush() -> Iterator[pa.RecordBatch]:
-            part, number, first, witness = ranked(joined(held))
+            part, number, first = ranked(joined(held))
             doc, low, high = merged(part["doc"][~first], part["first"][~first], part["first"][~first] + part["count"][~first] + (length - 1))
             covered = {"anchor": np.zeros(len(doc), np.uint64), "content": (high - low).astype(np.uint64), "doc": doc, "first": low, "count": np.zeros(len(doc), np.int64)}
             # contents of each anchor
@@ -221,16 +214,15 @@ def find_candidates(docs: DataFrame, symbols: Symbols, length: int, gram: int, n
             asked = taken(part, np.flatnonzero(hot & first))
             word = taken(part, begins[contents > HOT])
             word["count"], word["content"] = np.zeros_like(word["count"]), np.zeros_like(word["content"])
-            sent = joined([taken(part, np.flatnonzero((first | witness) & ~hot)), word])
+            sent = joined([taken(part, np.flatnonzero(first & ~hot)), word])
             # covered intervals and hot requests travel along, in the bucket of their document
-            for b, kind, data in (*dealt(0, sent, sent["anchor"] >> np.uint64(40)), *dealt(1, covered, mix(doc.view(np.uint64))), *dealt(2, asked, mix(asked["doc"].view(np.uint64)))):
+            each = (dealt(0, sent, sent["anchor"] >> np.uint64(40)), dealt(1, covered, mix(doc.view(np.uint64))), dealt(2, asked, mix(asked["doc"].view(np.uint64))))
+            for b, kind, data in itertools.chain(*each):
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], ["bucket", "kind", "data"])
 
         for batch in chunks(batches, "text"):
             key = np.asarray(batch.column("key"))
             values, at = symbols(batch)
-            if seed:
-                values = mix(values ^ np.uint64(seed))
             part = stretches(values, at, length, gram)
             part["doc"] = key[part.pop("text")]
             held.append(part)
@@ -260,7 +252,7 @@ def find_candidates(docs: DataFrame, symbols: Symbols, length: int, gram: int, n
             hot = hot[np.cumsum(new) - 1][keep]
             part["hot"] = np.zeros(len(part["doc"]), bool)
             part["hot"][order[keep]] = hot
-            part, number, first, witness = ranked(taken(part, order[keep]))
+            part, _, first = ranked(taken(part, order[keep]))
             copies = taken(part, np.flatnonzero(~first))
             yield _batch(COVERED, copies["doc"], copies["first"], copies["count"].astype(np.int64) + length - 1)
             anchor, content, hot = part["anchor"], part["content"], part["hot"]
@@ -272,14 +264,9 @@ def find_candidates(docs: DataFrame, symbols: Symbols, length: int, gram: int, n
             asked = first & (mixed | hot)
             size = np.bincount(group[asked], minlength=len(at))[group]
             wide = hot | (size > WIDE)
-            begins = np.ones(len(number), bool)
-            begins[1:] = number[1:] != number[:-1]
-            both = np.bincount(number[witness], minlength=number[-1] + 1)[number] > 0
-            alone = begins & both & ~asked & ~wide
-            flags = np.where(wide, WIDELY, 0) | np.where(alone, WHOLE, 0) | np.where(witness & ~wide, WHOLE | WITNESS, 0)
-            rows = np.flatnonzero(asked | alone | (witness & ~wide))
+            rows = np.flatnonzero(asked)
             asked = taken(part, rows)
-            yield _batch(REQUEST, asked["doc"], asked["first"], asked["count"], asked["anchor"], flags[rows])
+            yield _batch(REQUEST, asked["doc"], asked["first"], asked["count"], asked["anchor"], wide[rows])
 
         for batch in batches:
             for b, kind, data in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("data")):
@@ -291,7 +278,7 @@ def find_candidates(docs: DataFrame, symbols: Symbols, length: int, gram: int, n
                 if kind == 1:
                     yield _batch(COVERED, part["doc"], part["first"], part["content"].astype(np.int64))
                 elif kind == 2:
-                    yield _batch(REQUEST, part["doc"], part["first"], part["count"], part["anchor"], np.full(len(part["doc"]), WIDELY))
+                    yield _batch(REQUEST, part["doc"], part["first"], part["count"], part["anchor"], np.ones(len(part["doc"])))
                 else:
                     held.append(part)
         if held:

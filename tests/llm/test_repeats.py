@@ -8,7 +8,6 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from mediaframe.llm import lpf_dedup, repeats, tree_dedup
-from mediaframe.llm.common import utf8
 from mediaframe.llm.lpf_dedup import longest_previous
 
 
@@ -80,25 +79,6 @@ def test_windows_that_differ_in_one_place(spark):
     assert got == {1: 0, 2: 0, 3: 13}
 
 
-def all_alike(batch):
-    raw, at = utf8(batch.column("text"))
-    return np.ones(len(raw), np.uint64), at
-
-
-def test_equal_hashes_of_other_contents(documents, corpus, monkeypatch):
-    """Where all contents have one hash, the witness tells, and other hashes are taken."""
-    known, seeds = repeats.find_candidates, []
-
-    def find(docs, symbols, length, gram, name, seed=0):
-        seeds.append(seed)
-        return known(docs, symbols if seed else all_alike, length, gram, name, seed)
-
-    monkeypatch.setattr(lpf_dedup, "find_candidates", find)
-    got = {r.doc_id: len(r.kept) for r in lpf_dedup.remove_repeats(documents).collect()}
-    masks = covered([(i, (t or "").encode()) for i, t in corpus], 50)
-    assert seeds == [0, 1] and all(got[i] == len(m) - sum(m) for i, m in masks.items())
-
-
 def test_empty_tables(empty):
     assert lpf_dedup.remove_repeats(empty).count() == 0
     assert tree_dedup.remove_repeats(empty).count() == 0
