@@ -34,7 +34,7 @@ from mediaframe.llm.common import chunks, doubled, materialize, mix, span_hashes
 from mediaframe.session import map_arrow
 
 #: Bytes of text for each bucket, and stretches that a task holds before it sends.
-BUCKET_BYTES, HELD = 8 << 20, 600_000
+BUCKET_BYTES, HELD = 8 << 20, 400_000
 #: Requests of one anchor beyond which its windows are dealt one by one, by their own hashes.
 WIDE = 20_000
 #: Contents of one anchor in a task beyond which the anchor is hot.

@@ -108,7 +108,7 @@ def find_spans(docs: DataFrame, length: int, gram: int) -> DataFrame:
             break
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in pack_groups(grouped(batches, ["prefix"]), 40_000):
+        for table, at in pack_groups(grouped(batches, ["prefix"]), 20_000):
             doc, first = (np.asarray(table.column(c).combine_chunks()).astype(np.int64) for c in ("doc", "first"))
             lists = table.column("words").combine_chunks()
             offset = np.asarray(lists.offsets).astype(np.int64)
