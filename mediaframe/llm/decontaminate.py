@@ -90,7 +90,9 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, key: str = "d
 
     # the documents with hits, with the words at the hits: equality of the words is what counts
     places = hits.groupBy("key", "uid").agg(F.collect_set(F.struct("size", "pos")).alias("places"))
-    found = of_rows(docs, maybe_broadcast(places, BROADCAST_PLACES), "inner").select("key", "uid", words(F.col("text")).alias("words"), F.explode("places").alias("p"))
+    found = of_rows(docs, maybe_broadcast(places, BROADCAST_PLACES), "inner").select("key", "uid", words(F.col("text")).alias("words"), "places")
+    # the words are made below the explode, once for each text
+    found = found.select("key", "uid", "words", F.explode("places").alias("p"))
     found = found.select("key", "uid", "p.size", "p.pos", F.array_join(F.slice("words", F.col("p.pos") + 1, F.col("p.size")), " ").alias("text"))
     true = found.join(maybe_broadcast(windows.select("size", "text", "items"), BROADCAST_WINDOWS), ["size", "text"])
     spans = true.groupBy("key", "uid").agg(
