@@ -328,20 +328,41 @@ def resample_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.resample_rows(pcm(spark, sf_dir), 48000, 32000, scale=15).select("stream_id", "k", "v")
 
 
-@query("resample_rows")
+#: Windowed-sinc coefficients of a 3:2 conversion by their closed formula: phase ph of 2, tap i; the window's Bessel function as a series.
+TAPS_SQL = """geometry AS (SELECT 2 AS phases, least(32000 * 0.97 / 48000, 1.0) AS f),
+  sized AS (SELECT *, cast(ceil(32 / f) AS int) + cast(ceil(32 / f) AS int) % 2 AS len FROM geometry),
+  place AS (SELECT *, pi() * f * (i - (len - 1) // 2 - ph / cast(phases AS double)) AS x FROM sized, (SELECT unnest(generate_series(0, 1)) AS ph), (SELECT unnest(generate_series(0, 63)) AS i) WHERE i < len),
+  curve AS (SELECT ph, i, len, CASE WHEN x = 0 THEN 1.0 ELSE sin(x) / x END * list_sum([pow(z2 / 4, j) / pow(gamma(j + 1), 2) FOR j IN generate_series(0, 40)]) AS y
+    FROM (SELECT *, 81 * greatest(1 - pow(2 * x / (f * len) / pi(), 2), 0) AS z2 FROM place)),
+  taps AS (SELECT ph, i, len, y / (SELECT sum(y) FROM curve WHERE ph = 0) AS c FROM curve),
+  size AS (SELECT stream_id, count(*) AS n FROM pcm GROUP BY 1),
+  outs AS (SELECT stream_id, n, len, unnest(generate_series(0, cast(ceil(((1 + n + (least(n, len) + 1) // 2 - len) * 2 + 2 * ((len - 1) // 2)) / 3.0) AS bigint) - 1)) AS o FROM size, (SELECT DISTINCT len FROM taps)),
+  idx AS (SELECT *, o * 3 - 2 * ((len - 1) // 2) AS x FROM outs),
+  reads AS (SELECT stream_id, o, c, n, (x - ((x % 2) + 2) % 2) // 2 + i AS src FROM idx JOIN taps ON ph = ((x % 2) + 2) % 2),
+  folded AS (SELECT stream_id, o, c, CASE WHEN src < 0 THEN -src WHEN src >= n THEN 2 * n - 1 - src ELSE src END AS k FROM reads)"""
+RESAMPLED_SQL = f"WITH {PCM_SQL}, {TAPS_SQL} SELECT stream_id, o AS k, round(sum(v * c), 4) + 0.0 AS v FROM folded JOIN pcm USING (stream_id, k) GROUP BY stream_id, o"
+
+
+@query("resample_rows", RESAMPLED_SQL)
 def resample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """3:2 rate conversion as joins, rounded to 1e-6."""
+    """3:2 rate conversion as joins, rounded to 1e-4."""
     out = audio.resample_rows(pcm(spark, sf_dir), 48000, 32000)
-    return out.select("stream_id", "k", F.round("v", 6).alias("v"))
+    return out.select("stream_id", "k", (F.round("v", 4) + F.lit(0.0)).alias("v"))
 
 
-@query("resample_signal")
+@query("resample_signal", RESAMPLED_SQL)
 def resample_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, a whole signal at a time."""
-    return audio.resample(pcm(spark, sf_dir), 48000, 32000).select("stream_id", "k", F.round("v", 6).alias("v"))
+    return audio.resample(pcm(spark, sf_dir), 48000, 32000).select("stream_id", "k", (F.round("v", 4) + F.lit(0.0)).alias("v"))
 
 
-@query("downmix_51", None)
+@query(
+    "downmix_51",
+    f"""WITH {PCM_SQL}, s AS (SELECT stream_id, k // 6 AS k, k % 6 AS ch, v FROM pcm),
+      g(ch, side, c) AS (VALUES (0, 0, 1.0), (1, 1, 1.0), (2, 0, sqrt(0.5)), (2, 1, sqrt(0.5)), (4, 0, sqrt(0.5)), (5, 1, sqrt(0.5))),
+      o AS (SELECT stream_id, k, side AS ch, sum(v * c) / (1 + 2 * sqrt(0.5)) AS v FROM s JOIN g USING (ch) GROUP BY stream_id, k, side)
+      SELECT stream_id, ch, count(*) AS samples, round(sum(v), 3) AS total FROM o GROUP BY stream_id, ch""",
+)
 def downmix_51(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audio.remix(audio.interleave(pcm(spark, sf_dir), 6), "5.1", "stereo")
     return out.groupBy("stream_id", "ch").agg(F.count("*").alias("samples"), F.round(F.sum("v"), 3).alias("total"))
@@ -366,7 +387,11 @@ def mpeg_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.header_columns(_read(spark, sf_dir, "documents").select("doc_id", word.alias("word")), "word").select("doc_id", "layer", "sample_rate", "kbits", "frame_bytes", "channels")
 
 
-@query("nal_summary")
+@query(
+    "nal_summary",
+    """WITH piece AS (SELECT encode(unnest(string_split(text, ' '))) AS b FROM documents)
+      SELECT cast(('0x' || substr(hex(b), 1, 2)) AS int) & 31 AS type, count(*) AS units, cast(sum(octet_length(b) - 1) AS bigint) AS bytes FROM piece WHERE octet_length(b) > 0 GROUP BY 1""",
+)
 def nal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes of documents between made-up start codes, split into units and counted by type."""
     data = F.concat(F.lit(b"\0\0\1"), F.regexp_replace("text", " ", "\0\0\1").cast("binary"))
@@ -388,8 +413,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from mediaframe import catalog_values  # noqa: F401  adds its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from mediaframe import catalog_values  # noqa: F401
+
     return dict(SQL)

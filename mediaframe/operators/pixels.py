@@ -80,3 +80,21 @@ def checksum(px: DataFrame) -> DataFrame:
     """(n, pixels, checksum) for each frame: a weighted sum of the samples, independent of order."""
     weight = (F.col("p").cast("long") * 31 + F.col("y")) * 1009 + F.col("x") + 1
     return px.groupBy("n").agg(F.count("*").alias("pixels"), F.sum(weight * F.col("v")).alias("checksum"))
+
+
+def difference(a: DataFrame, b: DataFrame, tolerance: int) -> DataFrame:
+    """Per frame of two PIXEL tables: the largest difference of a value, and how many differ by more than the tolerance."""
+    both = a.join(b.withColumnRenamed("v", "w"), ["n", "p", "y", "x"])
+    away = F.abs(F.col("v") - F.col("w"))
+    return both.groupBy("n").agg(F.max(away).alias("max_diff"), F.sum((away > tolerance).cast("long")).alias("over"), F.count("*").alias("pixels"))
+
+
+def padded_rows(data: Column, line: int, rows: int, align: int) -> Column:
+    """A plane's bytes with every row of `line` bytes filled up with zeros to a multiple of `align`."""
+    stride = -(-line // align) * align
+    return F.concat(*[F.rpad(F.substring(data, 1 + r * line, line), F.lit(stride), F.lit(b"\0")) for r in range(rows)])
+
+
+def packed_rows(data: Column, line: int, rows: int, stride: int) -> Column:
+    """The rows' first `line` bytes, without what fills them up."""
+    return F.concat(*[F.substring(data, 1 + r * stride, line) for r in range(rows)])

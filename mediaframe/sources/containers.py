@@ -350,12 +350,14 @@ EXTENSIONS = {"y4m": "y4m", "yuv": "rawvideo", "rgb": "rawvideo", "wav": "wav",
 PROBE_BYTES, ENOUGH = 2048, 50
 
 
-def _run(sizes: list[int | None], limit: int) -> int:
-    """Frames from a place on, given each place's frame size."""
-    at = n = 0
-    while at < limit and (size := sizes[at]):
-        n, at = n + 1, at + size
-    return n
+def _runs(sizes: list[int | None]) -> list[tuple[int, int]]:
+    """Frames from each place on, and their bytes, given each place's frame size."""
+    out = [(0, 0)] * len(sizes)
+    for at in range(len(sizes) - 1, -1, -1):
+        if size := sizes[at]:
+            n, length = out[at + size] if at + size < len(sizes) else (0, 0)
+            out[at] = n + 1, length + size
+    return out
 
 
 def probe(data: bytes) -> dict[str, int]:
@@ -367,11 +369,14 @@ def probe(data: bytes) -> dict[str, int]:
         skip += n
     end = max(0, len(data) - 4)
     sizes = [h.frame_bytes if (h := mpeg_header(int.from_bytes(data[p : p + 4], "big"))) else None for p in range(end)]
-    runs = [_run(sizes[p:], end - p) for p in range(min(skip, end), end)] or [0]
-    scores["mp3"] = 52 if runs[0] >= 7 else 50 if max(runs) > 200 else 25 if max(runs) >= 4 else 13 if id3_bytes(data) else 1 if max(runs) >= 1 else 0
+    found = _runs(sizes)[min(skip, end) :] or [(0, 0)]
+    most = max(n for n, _ in found)
+    longest = max(length for _, length in found)
+    half, tenth = len(data) < 2 * longest, len(data) < 10 * longest  # how much of what is looked at is frames
+    scores["mp3"] = 52 if found[0][0] >= 7 else 50 if most > 200 and half else 25 if most >= 4 and half else 13 if id3_bytes(data) else 1 if most >= 1 and tenth else 0
     end = max(0, len(data) - 7)
     sizes = [h.frame_bytes if (h := adts_header(data[p : p + 7])) else None for p in range(end)]
-    runs = [_run(sizes[p:], end - p) for p in range(end)] or [0]
+    runs = [n for n, _ in _runs(sizes)] or [0]
     scores["aac"] = 51 if runs[0] >= 3 else 50 if max(runs) > 100 else 25 if max(runs) >= 3 else 1 if runs[0] else 0
     return scores
 

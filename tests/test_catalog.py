@@ -9,7 +9,7 @@ import __spark_entry__
 from mediaframe import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "embeddings events lineitem documents".split()
+TABLES = "embeddings events lineitem documents part".split()
 
 
 @pytest.fixture(scope="module")
