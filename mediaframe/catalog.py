@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from mediaframe.functions import layouts, samples
 from mediaframe.functions.fir import bank
-from mediaframe.functions.kernels import ONE_H, ONE_V, TABLE_KERNELS, tap_table
+from mediaframe.functions.kernels import ONE_H, ONE_V, TABLE_KERNELS
 from mediaframe.functions.picture import Video
 from mediaframe.functions.rational import MODES, rescale_column
 from mediaframe.operators import audio, mpeg, pixels
@@ -123,11 +123,47 @@ def _values(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join(f"({', '.join(map(str, r))})" for r in rows) + ")"
 
 
+#: Kernels over the distance x in source pixels, as SQL.
+CURVE_SQL = {
+    "gauss": "pow(2, -3 * x * x)",
+    "sinc": "CASE WHEN x = 0 THEN 1.0 ELSE sin(pi() * x) / (pi() * x) END",
+    "lanczos": "CASE WHEN x > 3 THEN 0.0 WHEN x = 0 THEN 1.0 ELSE sin(pi() * x) * sin(pi() * x / 3) / (pi() * pi() * x * x / 3) END",
+    "spline": "(SELECT a + (x - k) * (b + (x - k) * (c + (x - k) * d)) FROM piece WHERE k = greatest(cast(ceil(x) AS int) - 1, 0))",
+}
+#: Pieces of the spline: each from the one before, by the conditions at the joint.
+PIECES_SQL = """piece(k, a, b, c, d) AS (SELECT 0, cast(1 AS double), cast(0 AS double), cast(-2.196152422706632 AS double), cast(1.196152422706632 AS double)
+  UNION ALL SELECT k + 1, 0.0, b + 2 * c + 3 * d, c + 3 * d, -b - 3 * c - 6 * d FROM piece WHERE k < 20)"""
+
+
+def taps_sql(name: str, kernel: str, source: int, target: int, one: int) -> str:
+    """CTEs up to {name}(o, i, c): the integer taps by the kernel's formula, cut, folded and rounded in SQL."""
+    step = ((source << 16) + target // 2) // target
+    if kernel == "area" and step <= 65536:
+        size, centre, first = 2, f"{step // 2 - 32768} + {step} * o", "cast(floor(centre / 65536.0) AS bigint)"
+        curve, away = "greatest(1 - x, 0.0)", "abs((first + j) * 65536 - centre) / 65536.0"
+    else:
+        extent = {"area": 1, "gauss": 8, "sinc": 20, "lanczos": 6, "spline": 20}[kernel]
+        size = max(1, min(1 + (extent if step <= 65536 else -(-extent * source // target)), source - 2))
+        centre, first = f"{step - 65536} + {2 * step} * o", f"cast(trunc((centre - {(size - 2) << 16}) / 131072.0) AS bigint)"
+        away = "abs((first + j) * 131072 - centre) / 131072.0" + (f" * {target} / {source}" if step > 65536 else "")
+        edge = f"(x - 0.5) * {step / 65536!r}"
+        curve = f"CASE WHEN {edge} < -0.5 THEN 1.0 WHEN {edge} < 0.5 THEN 1 - ({edge}) ELSE 0.0 END" if kernel == "area" else CURVE_SQL[kernel]
+    return f"""{name}_at AS (SELECT o, centre, {first} AS first FROM (SELECT o, {centre} AS centre FROM (SELECT unnest(generate_series(0, {target - 1})) AS o))),
+      {name}_x AS (SELECT o, first, j, {away} AS x FROM {name}_at, (SELECT unnest(generate_series(0, {size - 1})) AS j)),
+      {name}_raw AS (SELECT o, first, j, {curve} AS c FROM {name}_x),
+      {name}_cum AS (SELECT *, sum(abs(c)) OVER (PARTITION BY o ORDER BY j) AS below, sum(abs(c)) OVER (PARTITION BY o ORDER BY j DESC) AS above FROM {name}_raw),
+      {name}_cut AS (SELECT o, any_value(first) AS first, any_value(first) + count(*) FILTER (below <= 0.002) AS begins, any_value(first) + max(j) FILTER (above > 0.002) AS ends FROM {name}_cum GROUP BY o),
+      {name}_start AS (SELECT o, min(begins) OVER (ORDER BY o DESC) AS begins, ends FROM {name}_cut),
+      {name}_size AS (SELECT max(greatest(ends - begins + 1, 1)) AS size FROM {name}_start),
+      {name}_in AS (SELECT o, least(greatest(first + j, 0), {source - 1}) AS i, sum(c) AS c FROM {name}_raw JOIN {name}_start USING (o), {name}_size WHERE first + j >= begins AND first + j < begins + size GROUP BY 1, 2),
+      {name}_sum AS (SELECT o, i, sum(c) OVER (PARTITION BY o ORDER BY i) / sum(c) OVER (PARTITION BY o) * {one} AS upto FROM {name}_in),
+      {name} AS (SELECT o, i, cast(round(upto) - coalesce(lag(round(upto)) OVER (PARTITION BY o ORDER BY i), 0) AS bigint) AS c FROM {name}_sum)"""
+
+
 def _scale(kernel: str, width: int, height: int) -> None:
-    h, v = tap_table(kernel, 8, width, ONE_H).rows(), tap_table(kernel, 8, height, ONE_V).rows()
-    sql = f"""WITH {GRAY_SQL}, th(o, x, c) AS {_values(h)}, tv(o, y, c) AS {_values(v)},
-      lines AS (SELECT n, p, y, o AS x, least(cast(sum(cast(v AS bigint) * c) AS bigint) >> 7, 32767) AS v FROM img JOIN th USING (x) GROUP BY n, p, y, o),
-      o AS (SELECT n, p, o AS y, x, greatest(0, least(255, (cast(sum(v * c) AS bigint) + 262144) >> 19)) AS v FROM lines JOIN tv USING (y) GROUP BY n, p, o, x) {_sum('o')}"""
+    sql = f"""WITH RECURSIVE {PIECES_SQL}, {GRAY_SQL}, {taps_sql('th', kernel, 8, width, ONE_H)}, {taps_sql('tv', kernel, 8, height, ONE_V)},
+      lines AS (SELECT n, p, y, o AS x, least(cast(sum(cast(v AS bigint) * c) AS bigint) >> 7, 32767) AS v FROM img JOIN th ON img.x = th.i GROUP BY n, p, y, o),
+      o AS (SELECT n, p, o AS y, x, greatest(0, least(255, (cast(sum(v * c) AS bigint) + 262144) >> 19)) AS v FROM lines JOIN tv ON lines.y = tv.i GROUP BY n, p, o, x) {_sum('o')}"""
 
     @query(f"scale_{kernel}_{width}x{height}", sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,9 +218,9 @@ def filter_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "filter_scale",
-    f"""WITH {GRAY_SQL}, th(o, x, c) AS {_values(tap_table('lanczos', 8, 4, ONE_H).rows())}, tv(o, y, c) AS {_values(tap_table('lanczos', 8, 6, ONE_V).rows())},
-      lines AS (SELECT n, y, o AS x, least(cast(sum(cast(v AS bigint) * c) AS bigint) >> 7, 32767) AS v FROM img JOIN th USING (x) GROUP BY n, y, o),
-      o AS (SELECT n, o AS y, x, greatest(0, least(255, (cast(sum(v * c) AS bigint) + 262144) >> 19)) AS v FROM lines JOIN tv USING (y) GROUP BY n, o, x) {CHAIN_SQL}""",
+    f"""WITH RECURSIVE {GRAY_SQL}, {taps_sql('th', 'lanczos', 8, 4, ONE_H)}, {taps_sql('tv', 'lanczos', 8, 6, ONE_V)},
+      lines AS (SELECT n, y, o AS x, least(cast(sum(cast(v AS bigint) * c) AS bigint) >> 7, 32767) AS v FROM img JOIN th ON img.x = th.i GROUP BY n, y, o),
+      o AS (SELECT n, o AS y, x, greatest(0, least(255, (cast(sum(v * c) AS bigint) + 262144) >> 19)) AS v FROM lines JOIN tv ON lines.y = tv.i GROUP BY n, o, x) {CHAIN_SQL}""",
 )
 def filter_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frame_sums(filter_video(frames(spark, sf_dir), GRAY, "scale=iw/2:6:flags=lanczos")[0])
