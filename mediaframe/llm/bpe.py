@@ -12,7 +12,8 @@ A piece that is itself a token takes its id at once. Pieces over ``LONG`` bytes
 done with a heap, since a row would take as many rounds as it has bytes. Decoding joins the bytes of the ids.
 
 Null and empty texts have no tokens. Any Unicode text round-trips; lone surrogates cannot occur in Spark's strings. Special
-tokens are never recognised. The ranks come from a file of `base64 rank` lines that the driver reads and broadcasts.
+tokens are never recognised. Repeated rows give the same tokens each; ties of rank go to the leftmost pair; an empty table gives
+no rows; extra columns are ignored. The ranks come from a file of `base64 rank` lines that the driver reads and broadcasts.
 """
 
 from __future__ import annotations

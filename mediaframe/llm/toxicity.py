@@ -11,7 +11,8 @@
 
 Null and empty texts have no features; their score is that of the intercept. Without labelled rows of both classes the
 score is the smoothed share of label 1 (0.5 without rows). A null or other label than 0 or 1 isn't used. Repeated training
-rows count each time. Extra columns are ignored.
+rows count each time. A score of 0.5 counts as toxic. Texts of any length are read whole; an empty table gives no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BITS = 18
 FEATURES = 4096
 SAMPLE = 4000
 SMOOTHING = 1.0
+#: n-grams of a text up to which its distinct features are found by sorting.
+SORTED = 4000
 #: Of the squared weights, for each training row.
 PENALTY = 1e-3
 
@@ -85,10 +88,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = batch.column("label").to_pylist()
         sets = list(grams(batch))
         for i, label in enumerate(labels):
-            flag[:] = False
-            for h, at in sets:
-                flag[h[at[i] : at[i + 1]]] = True
-            counts[label] += flag
+            own = [h[at[i] : at[i + 1]] for h, at in sets]
+            if sum(map(len, own)) < SORTED:
+                counts[label, np.unique(np.concatenate(own))] += 1
+            else:  # beyond some length a flag for every feature is quicker than sorting
+                flag[:] = False
+                for h in own:
+                    flag[h] = True
+                counts[label] += flag
             texts[label] += 1
     if sum(texts):
         some = np.flatnonzero(counts.any(axis=0))

@@ -9,6 +9,7 @@ import time
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -59,6 +60,14 @@ def test_bpe_any_text(library_text):
     assert raw.tobytes() == library_text.encode()
 
 
+def test_bpe_long_pieces(library):
+    """Pieces on both sides of the bound between matrix and heap."""
+    coder, rng = bpe.encoder(bpe.default_vocabulary()), random.Random(6)
+    for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 3 * bpe.LONG):
+        t = "".join(rng.choices("etaoinshrdlu", k=n))
+        assert coder.encode([t])[0].tolist() == library.encode_ordinary(t)
+
+
 def test_bpe_heap_is_the_matrix(monkeypatch):
     coder, rng = bpe.encoder(bpe.default_vocabulary()), random.Random(2)
     for _ in range(20):
@@ -85,6 +94,40 @@ def test_toxicity_learns(spark):
     assert kept == {i for i, s in got.items() if s < 0.5}
 
 
+def test_toxicity_as_brute_force(spark, documents, corpus):
+    """Scores as sums over the distinct hashed n-grams of each text, made one by one; counts by both ways of counting."""
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in corpus], "doc_id long, toxic int")
+    model = toxicity.train(documents, labels)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+
+    def features(t):
+        t, out = (t or "").lower(), set()
+        for order in toxicity.ORDERS:
+            for k in range(len(t) - order + 1):
+                h = 0
+                for c in t[k : k + order]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ ord(c)
+                h = (h + order) & 0xFFFFFFFF
+                h ^= h >> 15
+                out.add((h * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - toxicity.BITS))
+        return out
+
+    got = {r.doc_id: r.score for r in toxicity.score(documents, model).collect()}
+    for i, t in corpus:
+        z = model.bias + sum(weight.get(f, 0.0) for f in features(t))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+@pytest.mark.parametrize("length", [0, 1 << 30])
+def test_toxicity_counts(length, monkeypatch):
+    monkeypatch.setattr(toxicity, "SORTED", length)
+    batch = pa.RecordBatch.from_pydict({"text": ["abcabc", "abcd", None], "label": [0, 1, 1]})
+    got = {}
+    for b in toxicity._count(iter([batch])):
+        got |= {f: (n, y) for f, n, y in zip(*(b.column(c).to_pylist() for c in ("feature", "no", "yes")))}
+    assert got.pop(-1) == (1, 2) and max(map(sum, got.values())) == 2 and sum(n for n, _ in got.values()) == 8 and sum(y for _, y in got.values()) == 5 - 2
+
+
 def test_toxicity_without_labels(spark, documents, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(documents, labels)

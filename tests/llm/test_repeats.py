@@ -70,6 +70,13 @@ def test_wide_anchors(documents, corpus, monkeypatch, limit, value):
         assert (got[i].n_removed, got[i].kept_sha256) == (sum(masks[i]), hashlib.sha256(kept).hexdigest()), i
 
 
+def test_spans_are_joined_by_a_shuffle(documents, corpus, monkeypatch):
+    monkeypatch.setattr(repeats, "BROADCAST_SPANS", 0)
+    masks = covered([(i, (t or "").encode()) for i, t in corpus], 50)
+    got = {r.doc_id: len(r.kept) for r in lpf_dedup.remove_repeats(documents).collect()}
+    assert all(got[i] == len(m) - sum(m) for i, m in masks.items())
+
+
 def test_windows_that_differ_in_one_place(spark):
     """Twelve shared words, then one of 1024 letters and the one with every letter changed: no window repeats; in the third all do."""
     morse = lambda flip: "".join("ab"[(i.bit_count() + flip) % 2] for i in range(1024))
