@@ -47,7 +47,7 @@ STAGES = [
     ("encoding", encode),
 ]
 
-#: No SQL can express the trained classifier; the tests compare the stages with brute force.
+#: No SQL can express the trained classifier. The tests hold the other stages against plain versions, and what the first keeps against the scores.
 ORACLE_SQL = None
 
 
