@@ -11,7 +11,7 @@ from mediaframe.catalog import GRAY, GRAY_SQL, PACKETS_SQL, PCM_SQL, _frame_sums
 from mediaframe.functions import exprlang, rational, tags
 from mediaframe.functions.layouts import Layout
 from mediaframe.functions.rational import Rational
-from mediaframe.operators import pixels
+from mediaframe.operators import audio, pixels
 from mediaframe.plans.graph import filter_video
 from mediaframe.session import map_arrow
 from mediaframe.sources import containers as c
@@ -263,3 +263,31 @@ def mp3_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = packets(spark, sf_dir).select("stream_id", F.col("seq").alias("at"), F.col("duration").cast("int").alias("duration"))
     return _files(rows, "stream_id", "stream_id long, seq long, place long, pts long, frame_bytes int, rate int, kbits int", scan)
+
+
+def _mdct(window: str, size: int) -> None:
+    @query(f"mdct_{window}", f"WITH {PCM_SQL} SELECT stream_id, k, v FROM pcm")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Sound through frames of coefficients and back: what the overlaps alias cancels out."""
+        sound = pcm(spark, sf_dir)
+        back = audio.overlap_add(audio.mdct(sound, size, window), size, window)
+        return sound.select("stream_id", "k").join(back, ["stream_id", "k"]).select("stream_id", "k", F.rint("v").cast("int").alias("v"))
+
+
+_mdct("sine", 16)
+_mdct("kbd", 64)
+
+
+@query("gapless_scan", f"WITH {PACKETS_SQL}, size AS (SELECT stream_id, count(*) AS n FROM packets GROUP BY 1) SELECT stream_id, cast(576 + 529 AS bigint) AS skip, cast(n * 1152 - 1000 + 529 AS bigint) AS discard_from, cast(n * 1152 AS bigint) AS discard_to, cast(n AS bigint) AS frames FROM size")
+def gapless_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An information frame with an encoder's delays, before silent frames: what is to be cut, and that it is no frame of sound."""
+
+    def scan(stream: int, rows: list[dict]) -> list[dict]:
+        frame = bytes([0xFF, 0xFB, 0x90, 0]) + bytes(413)
+        told = b"Info" + (15).to_bytes(4, "big") + len(rows).to_bytes(4, "big") + bytes(4 + 100 + 4) + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+        data = frame[:36] + told + frame[36 + len(told) :] + frame * len(rows)
+        skip, low, high = c.mpeg_gapless(data)
+        return [{"stream_id": stream, "skip": skip, "discard_from": low, "discard_to": high, "frames": sum(1 for _ in c.mpeg_frames(data))}]
+
+    rows = packets(spark, sf_dir).select("stream_id", F.col("seq").alias("at"))
+    return _files(rows, "stream_id", "stream_id long, skip long, discard_from long, discard_to long, frames long", scan)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from mediaframe.functions import layouts, samples
+from mediaframe.functions import layouts, mdct as transform, samples
 from mediaframe.functions.fir import bank
-from mediaframe.session import ship
+from mediaframe.session import map_arrow, ship
 
 
 def cast(pcm: DataFrame, source: str, target: str) -> DataFrame:
@@ -144,3 +146,40 @@ def gapless(packets: DataFrame, skip: int, first_discard: int, last_discard: int
     over = F.least(end - first_discard, F.col("duration"))
     reach = (end > first_discard) & (F.col("pts") < last_discard) & (F.lit(first_discard) > 0)
     return packets.withColumns({"skip_samples": F.when(F.col("pts") == 0, skip).otherwise(0), "discard_padding": F.when(reach, over).otherwise(F.lit(0)).cast("bigint")})
+
+
+def mdct(pcm: DataFrame, size: int, window: str = "sine") -> DataFrame:
+    """(stream_id, ch, frame, coefficients): frames of 2 * size samples, each half a frame on, from one that ends in the first
+    half on; samples that are missing are zeros. One shuffle by frame; frames are transformed by Arrow batches."""
+    into = pcm.select("stream_id", "ch", "k", "v", F.explode(F.array(F.lit(-1), F.lit(0))).alias("back"))
+    into = into.withColumn("frame", F.floor(F.col("k") / size) + F.col("back"))
+    frames = into.groupBy("stream_id", "ch", "frame").agg(F.collect_list(F.struct((F.col("k") - F.col("frame") * size).cast("int").alias("i"), F.col("v").cast("double").alias("v"))).alias("samples"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("samples")
+            flat, row = lists.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+            x = np.zeros((batch.num_rows, 2 * size))
+            x[row, np.asarray(flat.field("i"))] = np.asarray(flat.field("v"))
+            out = pa.FixedSizeListArray.from_arrays(pa.array(transform.forward(x, window).ravel()), size).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("stream_id", "ch", "frame")), out], ["stream_id", "ch", "frame", "coefficients"])
+
+    return map_arrow(frames, run, "stream_id long, ch int, frame long, coefficients array<double>")
+
+
+def overlap_add(frames: DataFrame, size: int, window: str = "sine") -> DataFrame:
+    """Sample rows (stream_id, ch, k, v) of MDCT frames: a partial sum of at most two rows for each sample; k from 0 on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asarray(batch.column("coefficients").flatten()).reshape(batch.num_rows, size)
+            out = pa.FixedSizeListArray.from_arrays(pa.array(transform.inverse(x, window).ravel()), 2 * size).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("stream_id", "ch", "frame")), out], ["stream_id", "ch", "frame", "samples"])
+
+    made = map_arrow(frames.select("stream_id", "ch", "frame", "coefficients"), run, "stream_id long, ch int, frame long, samples array<double>")
+    each = made.select("stream_id", "ch", "frame", F.posexplode("samples").alias("i", "v")).withColumn("k", F.col("frame") * size + F.col("i"))
+    return each.where("k >= 0").groupBy("stream_id", "ch", "k").agg(F.sum("v").alias("v"))

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 
 from mediaframe.functions.picture import Video, split
 from mediaframe.functions.pixfmt import fitness, padded_bits, pixel_format
+from mediaframe.functions.rational import Rational
 from mediaframe.plans import filters
 from mediaframe.plans.filters import Apply, Bound, FilterError
-from mediaframe.plans.language import FilterCall, Graph, parse
+from mediaframe.plans.language import FilterCall, Graph, parse, parse_options
 from mediaframe.session import map_arrow
 
 
@@ -148,3 +149,54 @@ def filter_video(frames: DataFrame, source: Video, text: str, sink: list[str] |
     """The frames after the filters, and their type."""
     p = plan(text, source, sink)
     return (run(frames, p) if p.steps else frames), p.target
+
+
+#: Options of a graph's source: names, in the order in which values without a name are taken.
+SOURCE_OPTIONS = ("width", "height", "pix_fmt", "time_base", "sar")
+
+
+def source_of(text: str) -> Video:
+    """The type that a source's options tell, such as `video_size=64x48:pix_fmt=yuv420p:time_base=1/25:frame_rate=25/1`.
+
+    Size, format and time base are required; the last of an option that is given twice counts.
+    """
+    given: dict[str, object] = {}
+    for key, value in parse_options(text, SOURCE_OPTIONS):
+        if key == "video_size":
+            w, _, h = value.partition("x")
+            given |= {"width": _whole(key, w), "height": _whole(key, h)}
+        elif key in ("width", "height"):
+            given[key] = _whole(key, value)
+        elif key == "pix_fmt":
+            given[key] = pixel_format(value).name
+        elif key in ("time_base", "frame_rate", "sar", "pixel_aspect"):
+            given["sar" if key == "pixel_aspect" else key] = _ratio(key, value)
+        elif key in ("colorspace", "range"):
+            given[{"colorspace": "color_space", "range": "color_range"}[key]] = value
+        else:
+            raise FilterError(f"a source has no option {key!r}")
+    if missing := [k for k in ("width", "height", "pix_fmt", "time_base") if k not in given]:
+        raise FilterError(f"a source needs {', '.join(missing)}")
+    given.setdefault("frame_rate", Rational(0, 1))
+    given.setdefault("sar", Rational(0, 1))
+    return Video(**given)
+
+
+def source_text(video: Video) -> str:
+    """The options that tell a type: source_of() of it is the type."""
+    q = lambda r: f"{r.num}/{r.den}"
+    return f"video_size={video.width}x{video.height}:pix_fmt={video.pix_fmt}:time_base={q(video.time_base)}:frame_rate={q(video.frame_rate)}:sar={q(video.sar)}:colorspace={video.color_space}:range={video.color_range}"
+
+
+def _whole(key: str, text: str) -> int:
+    if not text.strip().isdigit() or not int(text):
+        raise FilterError(f"{key} is no positive number: {text!r}")
+    return int(text)
+
+
+def _ratio(key: str, text: str) -> Rational:
+    num, _, den = text.replace(":", "/").partition("/")
+    try:
+        return Rational(int(num), int(den or 1))
+    except ValueError:
+        raise FilterError(f"{key} is no ratio: {text!r}") from None

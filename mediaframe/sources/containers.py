@@ -277,8 +277,8 @@ def id3_bytes(data: bytes, at: int = 0) -> int:
 SAME = 0xFFE00000 | 3 << 17 | 3 << 10 | 3 << 19
 
 
-def mpeg_frames(data: bytes) -> Iterator[tuple[int, int, MpegHeader]]:
-    """(place, pts in samples, header) of each audio frame: after tags, from two headers that agree; a leading information frame is passed over."""
+def _first_frame(data: bytes) -> int:
+    """The place of the first frame: after tags, the first of two headers that agree."""
     at = 0
     while n := id3_bytes(data, at):
         at += n
@@ -286,10 +286,43 @@ def mpeg_frames(data: bytes) -> Iterator[tuple[int, int, MpegHeader]]:
     for p in range(at, min(len(data) - 4, at + 65536) + 1):
         h = mpeg_header(word(p))
         if h and (p + h.frame_bytes >= len(data) or (mpeg_header(word(p + h.frame_bytes)) and word(p) & SAME == word(p + h.frame_bytes) & SAME)):
-            at = p
-            break
-    else:
-        raise ContainerError("no MPEG audio frames found")
+            return p
+    raise ContainerError("no MPEG audio frames found")
+
+
+def _information(data: bytes, at: int, h: MpegHeader) -> int:
+    """The place of the information in the frame at `at`, or -1."""
+    side = at + 4 + (17 if h.channels == 1 else 32 if not h.lsf else 17) - (8 if h.lsf and h.channels == 1 else 0)
+    return side if data[side : side + 4] in (b"Xing", b"Info") else at + 36 if data[at + 36 : at + 40] == b"VBRI" else -1
+
+
+#: Fixed value: samples that a decoder of layer III is late by.
+DECODER_DELAY = 529
+#: Encoders whose delays are trusted; bytes from the end of the counts to the delays.
+ENCODERS, TO_DELAYS = (b"LAME", b"Lavf", b"Lavc"), 21
+
+
+def mpeg_gapless(data: bytes) -> tuple[int, int, int]:
+    """Samples to skip at the start, and between which sample numbers all are to be discarded, from the information frame; zeros if it has none."""
+    at = _first_frame(data)
+    h = mpeg_header(int.from_bytes(data[at : at + 4], "big"))
+    place = _information(data, at, h)
+    if place < 0 or data[place : place + 4] == b"VBRI" or len(data) < place + 8:
+        return 0, 0, 0
+    flags = int.from_bytes(data[place + 4 : place + 8], "big")
+    count = int.from_bytes(data[place + 8 : place + 12], "big") if flags & 1 else 0
+    place += 8 + sum(size for bit, size in ((1, 4), (2, 4), (4, 100), (8, 4)) if flags & bit)
+    if data[place : place + 4] not in ENCODERS or len(data) < place + TO_DELAYS + 3:
+        return 0, 0, 0
+    both = int.from_bytes(data[place + TO_DELAYS : place + TO_DELAYS + 3], "big")
+    end = count * h.samples
+    return (both >> 12) + DECODER_DELAY, end - (both & 4095) + DECODER_DELAY if count else 0, end
+
+
+def mpeg_frames(data: bytes) -> Iterator[tuple[int, int, MpegHeader]]:
+    """(place, pts in samples, header) of each audio frame; a leading information frame is passed over."""
+    at = _first_frame(data)
+    word = lambda p: int.from_bytes(data[p : p + 4], "big")
     pts, first = 0, True
     while at + 4 <= len(data):
         h = mpeg_header(word(at))
@@ -301,9 +334,7 @@ def mpeg_frames(data: bytes) -> Iterator[tuple[int, int, MpegHeader]]:
                 return
             at += 1
             continue
-        side = at + 4 + (17 if h.channels == 1 else 32 if not h.lsf else 17) - (8 if h.lsf and h.channels == 1 else 0)
-        information = first and (data[side : side + 4] in (b"Xing", b"Info") or data[at + 36 : at + 40] == b"VBRI")
-        first = False
+        information, first = first and _information(data, at, h) >= 0, False
         if not information:
             yield at, pts, h
             pts += h.samples

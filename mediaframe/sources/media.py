@@ -29,11 +29,16 @@ def _files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
 
 
 def head(spark: SparkSession, path: str, size: int = 65536) -> tuple[str, bytes]:
-    """Name and first bytes of the first file."""
-    row = _files(spark, path).select("path", F.substring("content", 1, size).alias("head")).orderBy("path").first()
+    """Name and first bytes of the first file: files are listed without their content, and only so much of one is read."""
+    row = spark.read.format("binaryFile").load(path).select("path").orderBy("path").first()
     if row is None:
         raise c.ContainerError(f"no file at {path!r}")
-    return row["path"], bytes(row["head"])
+    name = spark._jvm.org.apache.hadoop.fs.Path(row["path"])
+    stream = name.getFileSystem(spark._jsc.hadoopConfiguration()).open(name)
+    try:
+        return row["path"], bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
 
 
 def read_video(spark: SparkSession, path: str, format: str | None = None, pix_fmt: str = "yuv420p", size: tuple[int, int] | None = None, framerate: c.Rational = c.Rational(25, 1), stream: bool = False) -> tuple[DataFrame, Video]:
@@ -74,31 +79,34 @@ def _frame_batch(stream: int, rows: list[tuple[int, list[bytes]]]) -> pa.RecordB
 
 
 def read_packets(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """PACKET rows (stream_id, seq, pts, duration, pos, data) of WAV, MPEG audio or ADTS files."""
+    """PACKET rows (stream_id, seq, pts, duration, pos, data, skip_samples, discard_padding) of WAV, MPEG audio or ADTS files."""
     kind = c.pick(*head(spark, path), format)
     if kind not in ("wav", "mp3", "aac"):
         raise c.ContainerError(f"{kind} is not an audio format")
 
-    def packets(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    def packets(data: bytes) -> Iterator[tuple[int, int, int, bytes, int, int]]:
         if kind == "wav":
             audio, start, end = c.wav_header(data)
             size = audio.packet_bytes
             for at in range(start, end, size):
                 part = data[at : min(at + size, end)]
-                yield (at - start) // audio.block_align, len(part) // audio.block_align, at, part
+                yield (at - start) // audio.block_align, len(part) // audio.block_align, at, part, 0, 0
         else:
+            skip, low, high = c.mpeg_gapless(data) if kind == "mp3" else (0, 0, 0)
             for at, pts, h in c.mpeg_frames(data) if kind == "mp3" else c.adts_frames(data):
-                yield pts, h.samples, at, data[at : at + h.frame_bytes]
+                end = pts + h.samples
+                beyond = min(end - low, h.samples) if low and end >= low and pts < high else 0
+                yield pts, h.samples, at, data[at : at + h.frame_bytes], 0 if pts else skip, beyond
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for stream, content in zip(batch.column("stream_id").to_pylist(), batch.column("content")):
                 rows = list(packets(content.as_buffer().to_pybytes()))
-                columns = [[stream] * len(rows), list(range(len(rows))), *([r[k] for r in rows] for k in range(4))]
-                kinds = [pa.int64()] * 5 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["stream_id", "seq", "pts", "duration", "pos", "data"])
+                columns = [[stream] * len(rows), list(range(len(rows))), *([r[k] for r in rows] for k in range(6))]
+                kinds = [pa.int64()] * 5 + [pa.binary(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["stream_id", "seq", "pts", "duration", "pos", "data", "skip_samples", "discard_padding"])
 
-    return map_arrow(_files(spark, path), run, "stream_id long, seq long, pts long, duration long, pos long, data binary")
+    return map_arrow(_files(spark, path), run, "stream_id long, seq long, pts long, duration long, pos long, data binary, skip_samples long, discard_padding long")
 
 
 def wav_type(spark: SparkSession, path: str) -> c.Audio:
