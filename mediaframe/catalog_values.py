@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mediaframe.catalog import GRAY, GRAY_SQL, PACKETS_SQL, PCM_SQL, _frame_sums, _read, frames, img_gray, packets, pcm, query
-from mediaframe.functions import exprlang, rational, tags
+from mediaframe.functions import blocks, exprlang, rational, tags
 from mediaframe.functions.layouts import Layout
 from mediaframe.functions.rational import Rational
-from mediaframe.operators import audio, pixels
+from mediaframe.operators import audio, pictures, pixels
 from mediaframe.plans.graph import filter_video
 from mediaframe.session import map_arrow
 from mediaframe.sources import containers as c
@@ -291,3 +291,90 @@ def gapless_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = packets(spark, sf_dir).select("stream_id", F.col("seq").alias("at"))
     return _files(rows, "stream_id", "stream_id long, skip long, discard_from long, discard_to long, frames long", scan)
+
+
+# arithmetic of H.264 pictures
+
+
+def _blocks(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """(n, md5) of what make() gives for batches of 8x8 pictures [frames, y, x]."""
+    import hashlib
+
+    import numpy as np
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.frombuffer(b"".join(batch.column("data").to_pylist()), np.uint8).reshape(-1, 8, 8)
+                out = np.asarray(make(x)).astype(np.int16)
+                yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array([hashlib.md5(",".join(map(str, o.ravel().tolist())).encode()).hexdigest() for o in out])], ["n", "md5"])
+
+    return map_arrow(frames(spark, sf_dir).select("n", F.element_at("planes", 1).alias("data")), run, "n long, md5 string")
+
+
+_NUMBERS = "SELECT n, md5(string_agg(cast(v AS varchar), ',' ORDER BY y, x)) AS md5 FROM o GROUP BY n"
+_TAPS = "t(d, c) AS (VALUES (-2, 1), (-1, -5), (0, 20), (1, 20), (2, -5), (3, 1))"
+
+
+def _half(axis: str) -> str:
+    on = "b.y = a.y AND b.x = least(greatest(a.x + d, 0), 7)" if axis == "x" else "b.x = a.x AND b.y = least(greatest(a.y + d, 0), 7)"
+    return f"half_{axis} AS (SELECT a.n, a.y, a.x, any_value(a.v) AS whole, greatest(0, least(255, (cast(sum(b.v * c) AS int) + 16) >> 5)) AS v FROM img a, t, img b WHERE b.n = a.n AND {on} GROUP BY a.n, a.y, a.x)"
+
+
+def _motion(name: str, x: int, y: int, sql: str) -> None:
+    @query(f"motion_{name}", f"WITH {GRAY_SQL}, {_TAPS}, {sql} {_NUMBERS}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Pictures moved by parts of a pixel."""
+        return _blocks(spark, sf_dir, lambda p: blocks.moved_luma(p, x, y, 8, 8))
+
+
+_motion("half_across", 2, 0, f"{_half('x')}, o AS (SELECT n, y, x, v FROM half_x)")
+_motion("half_down", 0, 2, f"{_half('y')}, o AS (SELECT n, y, x, v FROM half_y)")
+_motion("quarter_across", 1, 0, f"{_half('x')}, o AS (SELECT n, y, x, (whole + v + 1) >> 1 AS v FROM half_x)")
+_motion("quarter_both", 1, 1, f"{_half('x')}, {_half('y')}, o AS (SELECT n, y, x, (p.v + q.v + 1) >> 1 AS v FROM half_x p JOIN half_y q USING (n, y, x))")
+
+
+@query(
+    "motion_chroma",
+    f"""WITH {GRAY_SQL}, o AS (SELECT a.n, a.y, a.x, (5 * 3 * a.v + 3 * 3 * b.v + 5 * 5 * c.v + 3 * 5 * d.v + 32) >> 6 AS v FROM img a JOIN img b ON b.n = a.n AND b.y = a.y AND b.x = least(a.x + 1, 7)
+      JOIN img c ON c.n = a.n AND c.y = least(a.y + 1, 7) AND c.x = a.x JOIN img d ON d.n = a.n AND d.y = c.y AND d.x = b.x) {_NUMBERS}""",
+)
+def motion_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures moved by 3/8 and 5/8 of a pixel."""
+    return _blocks(spark, sf_dir, lambda p: blocks.moved_chroma(p, 3, 5, 8, 8))
+
+
+def _butterfly(a: str, b: str, c: str, d: str) -> list[str]:
+    return [f"{a} + {c} + {b} + ({d} >> 1)", f"{a} - {c} + ({b} >> 1) - {d}", f"{a} - {c} - ({b} >> 1) + {d}", f"{a} + {c} - {b} - ({d} >> 1)"]
+
+
+_ROWS = ", ".join(f"{e} AS r{i}" for i, e in enumerate(_butterfly("d0", "d1", "d2", "d3")))
+_COLUMNS = ", ".join(f"max(r{x}) FILTER (y % 4 = {y}) AS c{y}{x}" for y in range(4) for x in range(4))
+_PLACES = " UNION ALL ".join(f"SELECT n, yb * 4 + {y} AS y, bx * 4 + {x} AS x, ({_butterfly(*(f'c{k}{x}' for k in range(4)))[y]} + 32) >> 6 AS v FROM cols" for y in range(4) for x in range(4))
+
+
+@query(
+    "residual_blocks",
+    f"""WITH {GRAY_SQL}, lev AS (SELECT n, y, x, ((v - 128) * CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN 13 WHEN y % 2 = 1 AND x % 2 = 1 THEN 20 ELSE 16 END) * 4 AS d FROM img),
+      lines AS (SELECT n, y, x // 4 AS bx, {', '.join(f'max(d) FILTER (x % 4 = {i}) AS d{i}' for i in range(4))} FROM lev GROUP BY n, y, x // 4),
+      done AS (SELECT n, y, bx, {_ROWS} FROM lines), cols AS (SELECT n, y // 4 AS yb, bx, {_COLUMNS} FROM done GROUP BY n, y // 4, bx), o AS ({_PLACES}) {_NUMBERS}""",
+)
+def residual_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures less 128 taken as levels of qp 14, scaled and transformed back, in blocks of 4x4."""
+
+    def make(p):
+        b = (p.astype("int64") - 128).reshape(-1, 2, 4, 2, 4).swapaxes(2, 3)
+        return blocks.residual(blocks.scaled(b, 14)).swapaxes(2, 3).reshape(-1, 8, 8)
+
+    return _blocks(spark, sf_dir, make)
+
+
+@query(
+    "display_order",
+    f"""WITH {PACKETS_SQL}, e AS (SELECT stream_id, seq, duration AS poc, sum(cast(seq % 3 = 0 AS int)) OVER (PARTITION BY stream_id ORDER BY seq) AS epoch FROM packets)
+      SELECT stream_id, seq, cast(row_number() OVER (PARTITION BY stream_id ORDER BY epoch, poc, seq) - 1 AS bigint) AS shown FROM e""",
+)
+def display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coded pictures, every third one a new start, in the order in which they are shown."""
+    coded = packets(spark, sf_dir).select("stream_id", "seq", (F.col("seq") % 3 == 0).alias("idr"), F.col("duration").alias("poc"))
+    return pictures.display_order(coded).select("stream_id", "seq", "shown")

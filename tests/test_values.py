@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from mediaframe.errors import MediaError
-from mediaframe.functions import mdct
+from mediaframe.functions import blocks, mdct
 from mediaframe.functions.rational import Rational, timestamp_string
 from mediaframe.plans.graph import source_of, source_text
 from mediaframe.sources import containers as c
@@ -71,3 +71,32 @@ def test_probe_needs_mostly_frames():
     data = mp3(5, None)
     assert c.probe(data)["mp3"] >= 25
     assert c.probe(b"\1" * 1500 + data[:417])["mp3"] <= 1
+
+
+def test_moved_pictures():
+    """Whole places copy; a flat picture stays flat; quarters are means; a slope is followed."""
+    rng = np.random.default_rng(5)
+    p = rng.integers(0, 256, (12, 16))
+    assert (blocks.moved_luma(p, 8, 4, 6, 5) == p[1:6, 2:8]).all()
+    assert (blocks.moved_luma(p, -4000, -4000, 3, 2) == p[0, 0]).all() and (blocks.moved_luma(p, 4000, 4000, 3, 2) == p[-1, -1]).all()
+    flat = np.full((12, 16), 77)
+    slope = np.tile(np.arange(16) * 8, (12, 1))
+    for x in range(4):
+        for y in range(4):
+            assert (blocks.moved_luma(flat, 16 + x, 16 + y, 4, 4) == 77).all()
+            assert (blocks.moved_luma(slope, 16 + x, 16 + y, 4, 4) == np.arange(4, 8) * 8 + 2 * x).all()
+    # turned by a quarter, a picture gives the turned block
+    for x, y in ((1, 3), (2, 1), (3, 2), (2, 2), (0, 3)):
+        assert (blocks.moved_luma(p, 12 + x, 12 + y, 4, 4) == blocks.moved_luma(p.T, 12 + y, 12 + x, 4, 4).T).all()
+    assert (blocks.moved_chroma(p, 16, 8, 4, 4) == p[1:5, 2:6]).all()
+    assert (blocks.moved_chroma(slope, 16 + 3, 8, 4, 4) == np.arange(2, 6) * 8 + 3).all()
+
+
+def test_residual_of_one_coefficient():
+    level = np.zeros((4, 4), int)
+    level[0, 0] = 5
+    for qp in (0, 14, 27, 51):
+        want = (5 * blocks.SCALES[qp % 6][0] << qp // 6) + 32 >> 6
+        assert (blocks.residual(blocks.scaled(level, qp)) == want).all()
+    level[0, 0], level[0, 1] = 0, 64
+    assert blocks.residual(level).tolist() == [[1, 1, 0, -1]] * 4
