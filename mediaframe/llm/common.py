@@ -34,7 +34,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing will read again: what was made of them has been written itself."""
+    for table in tables:
+        if path := table.__dict__.get("_written"):
+            spark = table.sparkSession
+            name = spark._jvm.org.apache.hadoop.fs.Path(path)
+            name.getFileSystem(spark._jsc.hadoopConfiguration()).delete(name, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -194,7 +205,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = materialize(star.where("a <> b").distinct(), "edges")
+        before, now = now, materialize(star.where("a <> b").distinct(), "edges")
+        discard(before)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if new == sign:
             break

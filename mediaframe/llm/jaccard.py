@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mediaframe.llm.common import LOWER, blocks, chunks, components, grouped, materialize, maybe_broadcast, mix, one_column, pack_groups, utf8, word_hashes, words_of
+from mediaframe.llm.common import LOWER, blocks, chunks, components, discard, grouped, materialize, maybe_broadcast, mix, one_column, pack_groups, utf8, word_hashes, words_of
 from mediaframe.session import map_arrow
 
 SIZE, NUM, DEN = 3, 90, 100
@@ -552,6 +552,7 @@ def similar_sets(documents: DataFrame, key: str = "doc_id", text: str = "text",
     full = ["token", "low_block", "high_block"]
     rows = rows.repartition(*full).sortWithinPartitions(*full, "n", "position", "name")
     near = materialize(map_arrow(rows, candidates(num, den), "a long, b long, votes long"), "near")
+    discard(lists)
     groups = components(near.select("a", "b"))
     member = materialize(groups.join(reps.select("name", "rep", "n"), groups["node"] == reps["name"]).select(F.col("rep").alias("key"), F.col("component").alias("group"), "name", "n"), "members")
     large = materialize(member.groupBy("group").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where(f"c > {GROUP_BLOCK} OR (s > {GROUP_TOKENS} AND c > 2)").select("group", parts(F.col("c"), F.col("s")).alias("parts")), "large")

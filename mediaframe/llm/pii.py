@@ -40,7 +40,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mediaframe.llm.common import chunks, materialize, maybe_broadcast, one_column
+from mediaframe.llm.common import chunks, discard, materialize, maybe_broadcast, one_column
 from mediaframe.session import map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
@@ -215,7 +215,8 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         live = materialize(live.where(F.col("conf") >= CONFIDENCE), "live")
         miss = F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-12)))))
         gained = edges.select("value", "pattern").join(maybe_broadcast(live), "pattern").groupBy("value", "kind").agg((1 - miss).alias("trust"))
-        trust = materialize(gained.unionByName(seeds).groupBy("value", "kind").agg(F.max("trust").alias("trust")), "trust")
+        before, trust = trust, materialize(gained.unionByName(seeds).groupBy("value", "kind").agg(F.max("trust").alias("trust")), "trust")
+        discard(live, *([] if before is seeds else [before]))
     best = trust.where(F.col("trust") >= TRUST).groupBy("value").agg(F.max(F.struct("trust", (-F.col("kind")).alias("k"))).alias("b")).select("value", (-F.col("b.k")).alias("named"))
     unknown = o.where("kind < 0").select("key", "uid", "start", "end", "value")
     places = unknown.join(maybe_broadcast(materialize(best, "values")), "value")

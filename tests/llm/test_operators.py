@@ -3,6 +3,7 @@
 import base64
 import fnmatch
 import hashlib
+import os
 import random
 import re
 import time
@@ -298,6 +299,13 @@ def test_keep_first(documents):
     assert kept.columns == documents.columns and {r.doc_id for r in kept.collect()} == want
 
 
+def test_finished_tables_are_deleted(spark, documents):
+    kept, other = (common.materialize(documents.select("doc_id"), "kept") for _ in range(2))
+    common.discard(other)
+    assert kept.count() == documents.count() and not os.path.exists(other._written.removeprefix("file:")) and os.path.exists(kept._written.removeprefix("file:"))
+    common.discard(documents)  # not written by materialize(): nothing to do
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
