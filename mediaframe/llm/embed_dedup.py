@@ -17,7 +17,7 @@ sums, so that it does not depend on the block that a pair falls in.
 
 Null, empty or zero vectors, those with null or non-finite components, and null labels link with nothing: n_links 0, their
 own component. Null ids are kept as rows without links. Repeated rows are one vector. Rows of one id with other vectors or
-labels are different vectors, each with its own links; the id itself connects nothing.
+labels share the id: its links are the sum of its vectors' links to other ids, its component holds what any of them links to.
 Vectors of other lengths never link. An empty table gives no rows. Extra columns are ignored.
 """
 

@@ -573,13 +573,13 @@ def test_embeddings_at_a_low_threshold(spark):
 
 
 def test_pairs_at_the_threshold(spark):
-    """Cosines equal to the threshold link, whatever block they fall in; so do rows of one id with their own vectors."""
+    """Cosines equal to the threshold link, whatever block they fall in; rows of one id share its links."""
     a, b = [3.0, 4.0, 0.0, 0.0], [0.0, 4.0, 3.0, 0.0]
     at = embed_dedup.plain_cosine(np.array(a), np.array(b))
     rows = [(1, a, 0), (2, b, 0), (3, [-1.0, 0.0, 0.0, 9.0], 0), (3, [6.0, 8.0, 0.0, 0.0], 0), (3, [6.0, 8.0, 0.0, 0.0], 0), (None, a, 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embed_dedup.find_links(table, threshold=at).collect())
-    assert got == [("1", 2, "1"), ("2", 2, "1"), ("3", 0, "3"), ("3", 2, "1"), ("3", 2, "1"), ("None", 0, "None")]
+    assert got == [("1", 2, "1"), ("2", 2, "1"), ("3", 2, "1"), ("3", 2, "1"), ("3", 2, "1"), ("None", 0, "None")]
     above = embed_dedup.find_links(table, threshold=float(np.nextafter(at, 1))).where("vec_id = 2").first()
     assert above.n_links == 0
     assert embed_dedup.find_links(table.limit(0)).count() == 0
