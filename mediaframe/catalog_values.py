@@ -11,10 +11,10 @@ from mediaframe.catalog import GRAY, GRAY_SQL, PACKETS_SQL, PCM_SQL, _frame_sums
 from mediaframe.functions import blocks, exprlang, rational, tags
 from mediaframe.functions.layouts import Layout
 from mediaframe.functions.rational import Rational
-from mediaframe.operators import audio, pictures, pixels
+from mediaframe.operators import audio, avc, pictures, pixels
 from mediaframe.plans.graph import filter_video
 from mediaframe.session import map_arrow
-from mediaframe.sources import containers as c
+from mediaframe.sources import containers as c, nal
 
 # expressions: x is an event's value without its fraction, y its user's number; the SQL is written by hand
 
@@ -378,3 +378,102 @@ def display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coded pictures, every third one a new start, in the order in which they are shown."""
     coded = packets(spark, sf_dir).select("stream_id", "seq", (F.col("seq") % 3 == 0).alias("idr"), F.col("duration").alias("poc"))
     return pictures.display_order(coded).select("stream_id", "seq", "shown")
+
+
+# H.264 streams of one small picture or two for each gray picture, made here and decoded
+
+
+def _avc_sets(across: int, down: int, crop: tuple[int, ...] | None, qp: int) -> bytes:
+    s, p = nal.Writer(), nal.Writer()
+    for n, v in ((8, 66), (8, 0), (8, 30)):
+        s.write(n, v)
+    for v in (0, 0, 2, 1):  # number 0, frame numbers of four bits, order of coding, one reference
+        s.ue(v)
+    s.write(1, 0), s.ue(across - 1), s.ue(down - 1), s.write(2, 3), s.write(1, crop is not None)
+    for v in crop or ():
+        s.ue(v)
+    s.write(1, 0)
+    p.ue(0), p.ue(0), p.write(2, 0), p.ue(0), p.ue(0), p.ue(0), p.write(3, 0), p.se(qp - 26), p.se(0), p.se(0), p.write(3, 0b100)
+    return s.unit(7) + p.unit(8)
+
+
+def _avc_slice(kind: int, frame: int, smoothing: int = 1) -> nal.Writer:
+    """The head of a slice over a whole picture; kinds: 0 from the picture before, 2 alone."""
+    w = nal.Writer()
+    w.ue(0), w.ue(kind), w.ue(0), w.write(4, frame)
+    if kind == 2:
+        w.ue(0), w.write(2, 0)
+    else:
+        w.write(3, 0)
+    w.se(0), w.ue(smoothing)
+    if smoothing != 1:
+        w.se(0), w.se(0)
+    return w
+
+
+def _avc_bytes(w: nal.Writer, gray: bytes, below: int = 0) -> None:
+    """A macroblock of bytes: an 8x8 picture on the left, so many rows below the upper edge, black around it; chroma in the middle."""
+    w.ue(25)
+    w.align()
+    rows = b"\0" * (16 * below) + b"".join(gray[i : i + 8] + b"\0" * 8 for i in range(0, 64, 8)) + b"\0" * (128 - 16 * below) + b"\x80" * 128
+    w.write(8 * len(rows), int.from_bytes(rows, "big"))
+
+
+def _avc_frames(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """FRAME rows of the streams that make() gives for the bytes of a picture; the stream is the picture's number."""
+    streams = _rows(frames(spark, sf_dir).select("n", F.element_at("planes", 1).alias("gray")), "n long, data binary", lambda r: {"n": r["n"], "data": make(bytes(r["gray"]))})
+    return avc.decode(streams, "n")
+
+
+def _avc_sum(df: DataFrame) -> DataFrame:
+    return df.select(F.col("stream_id").alias("n"), F.col("n").alias("shown"), F.lower(F.hex(F.element_at("planes", 1))).alias("luma"), F.octet_length(F.element_at("planes", 2)).cast("long").alias("chroma"))
+
+
+_HEX = "string_agg(lower(lpad(printf('%x', v), 2, '0')), '' ORDER BY y, x)"
+
+
+@query("h264_plain", f"WITH {GRAY_SQL}, s(shown) AS (VALUES (0), (1)) SELECT n, cast(shown AS bigint) AS shown, {_HEX} AS luma, cast(16 AS bigint) AS chroma FROM img, s GROUP BY n, shown")
+def h264_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cropped picture of bytes, and one in which all is skipped."""
+
+    def make(gray: bytes) -> bytes:
+        first, second = _avc_slice(2, 0), _avc_slice(0, 1)
+        _avc_bytes(first, gray)
+        second.ue(1)
+        return _avc_sets(1, 1, (0, 4, 0, 4), 26) + first.unit(5) + second.unit(1, 2)
+
+    return _avc_sum(_avc_frames(spark, sf_dir, make))
+
+
+@query(
+    "h264_mean",
+    f"""WITH {GRAY_SQL}, m AS (SELECT n, cast(sum(v) + 8 AS int) >> 4 AS v FROM img WHERE y = 7 GROUP BY n) SELECT n, cast(0 AS bigint) AS shown, repeat(lpad(printf('%x', v), 2, '0'), 128) AS luma, cast(32 AS bigint) AS chroma FROM m""",
+)
+def h264_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Below a macroblock of bytes one that is the mean of the row above it: the last row of the picture and eight black pixels."""
+
+    def make(gray: bytes) -> bytes:
+        w = _avc_slice(2, 0)
+        _avc_bytes(w, gray, below=8)
+        w.ue(3), w.ue(0), w.se(0), w.write(6, 3)  # with 16 levels beside it, none is written as three
+        return _avc_sets(1, 2, (0, 0, 8, 4), 26) + w.unit(5)
+
+    return _avc_sum(_avc_frames(spark, sf_dir, make))
+
+
+@query(
+    "h264_moved",
+    f"""WITH {GRAY_SQL}, w AS (SELECT i AS y, j AS x FROM generate_series(0, 7) a(i), generate_series(0, 7) b(j)),
+      o AS (SELECT p.n, w.y, w.x, coalesce(i.v, 0) AS v FROM (SELECT DISTINCT n FROM img) p CROSS JOIN w LEFT JOIN img i ON i.n = p.n AND i.y = w.y + 2 AND i.x = w.x + 3)
+      SELECT n, cast(1 AS bigint) AS shown, {_HEX} AS luma, cast(16 AS bigint) AS chroma FROM o GROUP BY n""",
+)
+def h264_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second picture that is the first one, three pixels to the right and two further down."""
+
+    def make(gray: bytes) -> bytes:
+        first, second = _avc_slice(2, 0), _avc_slice(0, 1)
+        _avc_bytes(first, gray)
+        second.ue(0), second.ue(0), second.se(12), second.se(8), second.ue(0)
+        return _avc_sets(1, 1, (0, 4, 0, 4), 26) + first.unit(5) + second.unit(1, 2)
+
+    return _avc_sum(_avc_frames(spark, sf_dir, make)).where("shown = 1")

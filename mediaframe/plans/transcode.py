@@ -91,7 +91,7 @@ def transcode(spark: SparkSession, spec: Spec) -> Summary:
         raise OptionError(f"{spec.target} exists already")
     kind = c.pick(*media.head(spark, spec.source), spec.input_format)
     began = time.time()
-    if kind in ("y4m", "rawvideo"):
+    if kind in ("y4m", "rawvideo", "h264"):
         if spec.audio_options:
             raise OptionError("audio options do not apply to a video input")
         frames, seconds, size = _video(spark, spec, kind)

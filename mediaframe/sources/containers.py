@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -377,7 +378,7 @@ def adts_frames(data: bytes) -> Iterator[tuple[int, int, AdtsHeader]]:
 
 # Choice of a format
 
-EXTENSIONS = {"y4m": "y4m", "yuv": "rawvideo", "rgb": "rawvideo", "wav": "wav", "mp3": "mp3", "aac": "aac"}
+EXTENSIONS = {"y4m": "y4m", "yuv": "rawvideo", "rgb": "rawvideo", "wav": "wav", "mp3": "mp3", "aac": "aac", "h264": "h264", "264": "h264", "avc": "h264"}
 PROBE_BYTES, ENOUGH = 2048, 50
 
 
@@ -395,6 +396,8 @@ def probe(data: bytes) -> dict[str, int]:
     """Scores from 0 to 100 by format."""
     data = data[:PROBE_BYTES]
     scores = {"y4m": 100 * data.startswith(MAGIC), "wav": 99 * (data[:4] == b"RIFF" and data[8:12] == b"WAVE")}
+    # a start code, and a sequence set or what may stand before it: a delimiter, information
+    scores["h264"] = 60 * bool(re.match(rb"\x00{2,3}\x01[\x06\x09\x27\x47\x67]", data) and re.search(rb"\x00\x00\x01[\x27\x47\x67]", data))
     skip = 0
     while n := id3_bytes(data, skip):
         skip += n

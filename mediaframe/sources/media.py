@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mediaframe.functions.picture import Video
+from mediaframe.operators import avc
 from mediaframe.plans.graph import FRAME
 from mediaframe.session import map_arrow
 from mediaframe.sources import containers as c
@@ -42,7 +43,7 @@ def head(spark: SparkSession, path: str, size: int = 65536) -> tuple[str, bytes]
 
 
 def read_video(spark: SparkSession, path: str, format: str | None = None, pix_fmt: str = "yuv420p", size: tuple[int, int] | None = None, framerate: c.Rational = c.Rational(25, 1), stream: bool = False) -> tuple[DataFrame, Video]:
-    """(FRAME rows, their type) of Y4M or raw video files; raw video needs a size. stream: files that arrive later are read as they do."""
+    """(FRAME rows, their type) of Y4M, raw video or H.264 files; raw video needs a size. stream: files that arrive later are read as they do."""
     name, first = head(spark, path)
     kind = c.pick(name, first, format)
     if kind == "y4m":
@@ -51,6 +52,8 @@ def read_video(spark: SparkSession, path: str, format: str | None = None, pix_fm
         if size is None:
             raise c.ContainerError("raw video needs a picture size")
         video = Video(pix_fmt, *size, framerate.inverse(), framerate)
+    elif kind == "h264":
+        return avc.decode(_files(spark, path, stream), data="content"), avc.video_type(first, framerate)
     else:
         raise c.ContainerError(f"{kind} is not a video format")
 
