@@ -31,6 +31,9 @@ def units(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
 class Bits:
     def __init__(self, data: bytes):
         self.data, self.size, self.at = data, len(data) * 8, 0
+        rest = data.rstrip(b"\0")
+        #: The place of the closing one bit.
+        self.end = len(rest) * 8 - (rest[-1] & -rest[-1]).bit_length() if rest else 0
 
     def peek(self, n: int) -> int:
         """The next bits, up to 57; beyond the end they are zeros."""
@@ -47,11 +50,7 @@ class Bits:
 
     def more(self) -> bool:
         """Whether anything but the closing one bit and zeros is left."""
-        rest = self.data[self.at >> 3 :].rstrip(b"\0")
-        if not rest:
-            return False
-        low = rest[-1] & -rest[-1]
-        return self.at < ((self.at >> 3) + len(rest)) * 8 - low.bit_length()
+        return self.at < self.end
 
     def aligned_bytes(self, n: int) -> bytes:
         """Whole bytes from the next byte on."""
