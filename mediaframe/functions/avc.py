@@ -288,6 +288,8 @@ class SliceDecoder:
 
     def _luma(self, coded: int, whole: bool) -> np.ndarray:
         """Residuals [row, column, 4, 4]; whole: the constant levels of the blocks come in a block of their own."""
+        if not coded & 15 and not whole:
+            return np.zeros((4, 4, 4, 4), np.int64)
         out = np.zeros((4, 4, 16), np.int64)
         constant = np.zeros(16, np.int64)
         if whole:
@@ -303,8 +305,12 @@ class SliceDecoder:
         return blocks.residual(out)
 
     def _chroma(self, coded: int, predict) -> None:
-        p = self.pic
-        constants = [np.array(cavlc.block(self.b, -1, 4)[1]).reshape(2, 2) if coded >> 4 else np.zeros((2, 2), np.int64) for _ in range(2)]
+        p, x, y = self.pic, 8 * self.mx, 8 * self.my
+        if not coded >> 4:
+            for plane in (1, 2):
+                p.planes[plane][y : y + 8, x : x + 8] = predict(plane)
+            return
+        constants = [np.array(cavlc.block(self.b, -1, 4)[1]).reshape(2, 2) for _ in range(2)]
         for plane in (1, 2):
             out = np.zeros((2, 2, 16), np.int64)
             if coded >> 5:
@@ -314,7 +320,6 @@ class SliceDecoder:
             out = blocks.scaled(out.reshape(2, 2, 4, 4), qp)
             turn = HADAMARD[:2, [0, 2]]
             out[..., 0, 0] = ((turn @ constants[plane - 1] @ turn * (16 * blocks.SCALES[qp % 6][0])) << qp // 6) >> 5
-            x, y = 8 * self.mx, 8 * self.my
             p.planes[plane][y : y + 8, x : x + 8] = self._sum(predict(plane), _joined(blocks.residual(out), 2))
 
     # prediction from other pictures

@@ -21,14 +21,14 @@ def sequence(across, down, crop=None, references=1, order_type=2):
     return w.unit(7)
 
 
-def picture(qp=26, control=1, constrained=0, references=1):
+def picture(qp=26, control=1, constrained=0, references=1, weighted=0):
     w = Writer()
-    w.ue(0), w.ue(0), w.write(1, 0), w.write(1, 0), w.ue(0), w.ue(references - 1), w.ue(0), w.write(1, 0), w.write(2, 0)
+    w.ue(0), w.ue(0), w.write(1, 0), w.write(1, 0), w.ue(0), w.ue(references - 1), w.ue(0), w.write(1, weighted), w.write(2, 0)
     w.se(qp - 26), w.se(0), w.se(0), w.write(1, control), w.write(1, constrained), w.write(1, 0)
     return w.unit(8)
 
 
-def slice_start(kind, frame, idr, first=0, smoothing=1, qp_change=0, order=None, active=None):
+def slice_start(kind, frame, idr, first=0, smoothing=1, qp_change=0, order=None, active=None, weights=None):
     w = Writer()
     w.ue(first), w.ue(5 + {"P": 0, "I": 2}[kind]), w.ue(0), w.write(4, frame)
     if idr:
@@ -40,6 +40,11 @@ def slice_start(kind, frame, idr, first=0, smoothing=1, qp_change=0, order=None,
         if active is not None:
             w.ue(active - 1)
         w.write(1, 0)
+        if weights:  # denominators, and (weight, offset) of luma and both of chroma
+            w.ue(weights[0]), w.ue(weights[1])
+            w.write(1, 1), w.se(weights[2][0]), w.se(weights[2][1]), w.write(1, 1)
+            for pair in weights[3:]:
+                w.se(pair[0]), w.se(pair[1])
     w.write(2 if idr else 1, 0)
     w.se(qp_change), w.ue(smoothing)
     if smoothing != 1:

@@ -312,6 +312,27 @@ def test_quarters_and_references():
         assert (got[2][y // 2 : (y + height) // 2, x // 2 : (x + width) // 2] == chroma).all()
 
 
+def test_weights_and_slices():
+    """A skipped picture in two slices, each with weights of its own for what it takes over."""
+    first = [noise(k, 32 >> (k > 1), 16 >> (k > 1)) for k in (1, 2, 3)]
+    s = w.slice_start("I", 0, True)
+    for at in range(2):
+        w.plain(s, *(p[at * n : at * n + n] for p, n in zip(first, (16, 8, 8))))
+    data = w.sequence(1, 2) + w.picture(weighted=1) + s.unit(5)
+    weights = ((3, 0, (5, -7), (2, 4), (-1, 100)), (0, 2, (1, 9), (3, 0), (4, -3)))
+    for at, some in enumerate(weights):
+        p = w.slice_start("P", 1, False, first=at, weights=some)
+        p.ue(1)
+        data += p.unit(1)
+    got = planes(w.frames(data)[1], 16, 32)
+    for at, some in enumerate(weights):
+        for plane, n in enumerate((16, 8, 8)):
+            shift, (weight, offset) = some[plane > 0], some[2 + plane]
+            half = 1 << shift - 1 if shift else 0
+            want = np.clip(((first[plane][at * n : at * n + n] * weight + half) >> shift) + offset, 0, 255)
+            assert (got[plane][at * n : at * n + n] == want).all()
+
+
 def test_a_file_is_read(spark, tmp_path):
     _, data = moving([(-9, 6)], 0)
     (tmp_path / "in.h264").write_bytes(data)
