@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mediaframe.catalog import GRAY, GRAY_SQL, PACKETS_SQL, PCM_SQL, _frame_sums, _read, frames, img_gray, packets, pcm, query
-from mediaframe.functions import blocks, exprlang, rational, tags
+from mediaframe.functions import blocks, exprlang, layer3, rational, tags
 from mediaframe.functions.layouts import Layout
 from mediaframe.functions.rational import Rational
 from mediaframe.operators import audio, avc, pictures, pixels
@@ -477,3 +477,33 @@ def h264_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _avc_sets(1, 1, (0, 4, 0, 4), 26) + first.unit(5) + second.unit(1, 2)
 
     return _avc_sum(_avc_frames(spark, sf_dir, make)).where("shown = 1")
+
+
+# Layer III: samples taken as levels, sides and shared lines
+
+
+@query(
+    "layer3_lines",
+    f"""WITH {PCM_SQL}, e(b, more) AS (VALUES (11, 1), (12, 1), (13, 1), (14, 1), (15, 2), (16, 2), (17, 3), (18, 3), (19, 3), (20, 2)),
+      s AS (SELECT stream_id, k, v, 214 - k % 9 AS gain, k % 5 AS factor, k % 22 AS band, k % 2 = 1 AS coarse, k % 3 = 0 AS emphasis FROM pcm),
+      t AS (SELECT s.*, CASE WHEN coarse THEN 1.0 ELSE 0.5 END * (factor + CASE WHEN emphasis THEN coalesce(more, 0) ELSE 0 END) AS lowered FROM s LEFT JOIN e ON b = band)
+      SELECT stream_id, k, round(sign(v) * pow(abs(cast(v AS double)), 4.0::double / 3) * pow(2.0::double, (gain - 210) / 4.0 - lowered), 3) + 0.0 AS line FROM t""",
+)
+def layer3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines from levels, gains, scale factors and emphasis."""
+    k = F.col("k")
+    lowered = layer3.halvings(k % 5, k % 22, k % 2 == 1, k % 3 == 0)
+    return pcm(spark, sf_dir).select("stream_id", "k", (F.round(layer3.line_value(F.col("v"), 214 - k % 9, lowered), 3) + F.lit(0.0)).alias("line"))
+
+
+@query(
+    "layer3_stereo",
+    f"""WITH {PCM_SQL}, s AS (SELECT stream_id, k, cast(v AS double) AS v, cast(k % 100 AS double) AS side, k % 8 AS position, tan(k % 8 * pi() / 12) AS ratio FROM pcm)
+      SELECT stream_id, k, round((v + side) * sqrt(0.5::double), 3) + 0.0 AS l, round((v - side) * sqrt(0.5::double), 3) + 0.0 AS r,
+        round(CASE WHEN position >= 6 THEN v ELSE v * ratio / (1 + ratio) END, 3) + 0.0 AS shared_l, round(CASE WHEN position >= 6 THEN 0 ELSE v / (1 + ratio) END, 3) + 0.0 AS shared_r FROM s""",
+)
+def layer3_stereo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples as middles, with made-up sides, and as lines that both channels share."""
+    v = F.col("v").cast("double")
+    columns = [*layer3.middle_side(v, F.col("k") % 100), *layer3.intensity(v, F.col("k") % 8)]
+    return pcm(spark, sf_dir).select("stream_id", "k", *[(F.round(c, 3) + F.lit(0.0)).alias(name) for c, name in zip(columns, ("l", "r", "shared_l", "shared_r"))])
